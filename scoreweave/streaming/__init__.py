@@ -1,0 +1 @@
+"""No streaming operators: the workload this library covers is batch only."""

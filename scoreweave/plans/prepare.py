@@ -11,6 +11,7 @@ from scoreweave.functions.scalar import nan_to_null
 from scoreweave.operators.encoding import indicator, levels
 from scoreweave.operators.sampling import assign_split
 from scoreweave.operators.scaling import apply_arrays, fit_arrays
+from scoreweave.session import cut_lineage
 from scoreweave.sources.registry import ALL, REGRESSION, Loaded, Spec, open_all
 
 
@@ -87,3 +88,8 @@ def prepared(matrix: DataFrame, seed: int = 42, fit_on: str = "train") -> DataFr
         raise ValueError("fit_on must be 'train' or 'all'")
     parted = split_matrix(matrix, seed)
     return apply_arrays(parted, fit_arrays(parted.filter("split = 'train'")))
+
+
+def prepared_table(matrix: DataFrame, seed: int = 42, fit_on: str = "train") -> DataFrame:
+    """:func:`prepared`, written once, partitioned by dataset and split."""
+    return cut_lineage(prepared(matrix, seed, fit_on), ("dataset_name", "split"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreweave.plans.prepare import load_matrices, prepared_table
+from scoreweave.plans.prepare import load_matrices, prepared_table, split_matrix
+from scoreweave.session import cut_lineage
 from scoreweave.sources.registry import ALL
 
 
@@ -38,6 +39,15 @@ def shared_prepared(spark: SparkSession, folder: str, fit_on: str = "all") -> Da
     return _PREPARED[key]
 
 
+def shared_split(spark: SparkSession, folder: str) -> DataFrame:
+    """All registered datasets, split but not scaled, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder, "raw")
+    if key not in _PREPARED:
+        matrix = load_matrices(spark, folder, ALL).union()
+        _PREPARED[key] = cut_lineage(split_matrix(matrix), ("dataset_name", "split"))
+    return _PREPARED[key]
+
+
 LINE_KEY = (
     "concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_quantity * 100) AS BIGINT), "
     "CAST(round(l_extendedprice * 100) AS BIGINT), strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'))"
@@ -144,3 +154,11 @@ fitted AS (SELECT dataset_name, feature, avg(v) AS m, stddev_pop(v) AS s FROM fl
 cells AS (SELECT dataset_name, task, split, row_id, label, CAST(feature AS INTEGER) AS feature,
     CASE WHEN s > 0 THEN (v - m) / s ELSE v - m END AS value
     FROM flat JOIN fitted USING (dataset_name, feature) JOIN parted USING (dataset_name, row_id))"""
+
+
+def raw_cells_sql(*names: str) -> str:
+    """CTEs up to ``cells`` as above, but with the values unscaled."""
+    return f"""{raw_sql(*names)}, {SPLIT_SQL},
+flat AS (SELECT dataset_name, task, row_id, label, unnest(range(len(features))) AS feature, unnest(features) AS value FROM raw),
+cells AS (SELECT dataset_name, task, split, row_id, label, CAST(feature AS INTEGER) AS feature, value
+    FROM flat JOIN parted USING (dataset_name, row_id))"""

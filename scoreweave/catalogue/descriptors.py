@@ -1 +1,187 @@
+"""Meta-features of all registered datasets and splits."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scoreweave.catalogue import register
+from scoreweave.catalogue.common import (
+    cells_sql,
+    r,
+    raw_cells_sql,
+    raw_sql,
+    rounded,
+    shared_prepared,
+    shared_split,
+)
+from scoreweave.operators import profile as p
+from scoreweave.plans.prepare import load_matrices
+from scoreweave.sources.registry import ALL
+
+_PER_FEATURE = """per_feature AS (SELECT dataset_name, split, feature, count(*) AS n, avg(value) AS mean,
+    var_pop(value) AS variance, min(value) AS low, max(value) AS high FROM cells GROUP BY ALL)"""
+
+
+@register(f"""
+    WITH {cells_sql()}, {_PER_FEATURE}
+    SELECT dataset_name, split, max(n) AS n_samples, count(*) AS n_features, {r('avg(mean)', 6)} AS feature_mean,
+      {r('avg(sqrt(variance))', 6)} AS feature_std FROM per_feature GROUP BY dataset_name, split""")
+def mf_basic(spark, folder):
+    profile = p.column_profile(shared_prepared(spark, folder))
+    out = p.summarise(profile).select("dataset_name", "split", "n_samples", "n_features", "feature_mean", "feature_std")
+    return rounded(out, 6)
+
+
+@register(f"""
+    WITH {raw_sql()}, flat AS (SELECT dataset_name, unnest(range(len(features))) AS feature, unnest(features) AS v FROM raw),
+    per AS (SELECT dataset_name, feature, stddev_pop(v) / (avg(v) + 1e-10::DOUBLE) AS cv FROM flat GROUP BY ALL)
+    SELECT dataset_name, {r('avg(cv)', 3)} AS coeff_variation FROM per WHERE dataset_name <> 'emb_class' GROUP BY dataset_name""")
+def mf_coeff_variation(spark, folder):
+    """On unscaled columns: the ratio is ill-conditioned where means are near zero."""
+    specs = [s for s in ALL if s.vector is None]
+    matrix = load_matrices(spark, folder, specs).union()
+    out = p.summarise(p.column_profile(matrix, ["dataset_name"]), ["dataset_name"])
+    return rounded(out.select("dataset_name", "coeff_variation"), 3)
+
+
+@register(f"""
+    WITH {cells_sql()}, {_PER_FEATURE},
+    shape AS (SELECT dataset_name, split, feature,
+        avg(pow(value - mean, 3)) / pow(avg(pow(value - mean, 2)), 1.5) AS sk,
+        avg(pow(value - mean, 4)) / pow(avg(pow(value - mean, 2)), 2) - 3 AS ku
+      FROM cells JOIN per_feature USING (dataset_name, split, feature) WHERE low < high GROUP BY dataset_name, split, feature),
+    all_features AS (SELECT * FROM per_feature LEFT JOIN shape USING (dataset_name, split, feature))
+    SELECT dataset_name, split, CASE WHEN bool_or(sk IS NULL) THEN 0.0::DOUBLE ELSE {r('avg(sk)', 6)} END AS avg_skewness,
+      CASE WHEN bool_or(ku IS NULL) THEN 0.0::DOUBLE ELSE {r('avg(ku)', 6)} END AS avg_kurtosis
+    FROM all_features GROUP BY dataset_name, split""")
+def mf_moments(spark, folder):
+    out = p.summarise(p.column_profile(shared_prepared(spark, folder)))
+    return rounded(out.select("dataset_name", "split", "avg_skewness", "avg_kurtosis"), 6)
+
+
+@register(f"""
+    WITH {cells_sql()}, {_PER_FEATURE}
+    SELECT dataset_name, split, count(*) FILTER (WHERE low = high) AS n_zero_variance_features,
+      {r('avg(variance)', 6)} AS mean_variance, {r('median(variance)', 6)} AS median_variance
+    FROM per_feature GROUP BY dataset_name, split""")
+def mf_variance(spark, folder):
+    out = p.summarise(p.column_profile(shared_prepared(spark, folder)))
+    return rounded(
+        out.select("dataset_name", "split", "n_zero_variance_features", "mean_variance", "median_variance"), 6
+    )
+
+
+@register(f"""
+    WITH {cells_sql()}, labels_only AS (SELECT DISTINCT dataset_name, task, split, row_id, label FROM cells)
+    SELECT dataset_name, split, {r("CASE WHEN task = 'binary' THEN avg(label) ELSE count(DISTINCT label) / count(*)::DOUBLE END", 6)} AS class_balance
+    FROM labels_only WHERE task <> 'regression' GROUP BY dataset_name, split, task""")
+def mf_class_balance(spark, folder):
+    return rounded(p.class_balance(shared_prepared(spark, folder)), 6)
+
+
+_PAIRS = """pairs AS (SELECT a.dataset_name, a.split, a.feature AS i, b.feature AS j,
+      covar_pop(a.value, b.value) AS c, var_pop(a.value) AS va, var_pop(b.value) AS vb,
+      min(a.value) < max(a.value) AND min(b.value) < max(b.value) AS varies
+    FROM cells a JOIN cells b ON a.dataset_name = b.dataset_name AND a.row_id = b.row_id AND a.feature < b.feature
+    GROUP BY a.dataset_name, a.split, a.feature, b.feature)"""
+
+
+@register(f"""
+    WITH {cells_sql()}, {_PAIRS}
+    SELECT dataset_name, split, CASE WHEN bool_or(NOT varies) THEN 0.0::DOUBLE
+      ELSE {r('avg(CASE WHEN varies THEN abs(c / sqrt(va * vb)) END)', 6)} END AS mean_abs_correlation
+    FROM pairs GROUP BY dataset_name, split""")
+def mf_correlation(spark, folder):
+    matrix = shared_prepared(spark, folder)
+    profile = p.column_profile(matrix)
+    found = p.correlations(p.comoments(matrix), profile)
+    return rounded(p.mean_abs_correlation(found, profile), 6)
+
+
+_BINNED = """edges AS (SELECT dataset_name, split, feature, min(value) AS lo, max(value) AS hi FROM cells GROUP BY ALL),
+  target AS (SELECT dataset_name, split, min(label) AS llo, max(label) AS lhi FROM cells GROUP BY ALL),
+  binned AS (SELECT dataset_name, split, feature,
+      len(list_filter(range(1, 10), lambda i: value >= lo + i * ((hi - lo) / 10))) AS bin,
+      CASE WHEN task = 'regression' THEN len(list_filter(range(1, 10), lambda i: label >= llo + i * ((lhi - llo) / 10)))
+           ELSE CAST(label AS BIGINT) END AS klass
+    FROM cells JOIN edges USING (dataset_name, split, feature) JOIN target USING (dataset_name, split))"""
+
+
+@register(f"""
+    WITH {raw_cells_sql()}, {_BINNED},
+    counts AS (SELECT dataset_name, split, feature, bin, count(*) AS c FROM binned GROUP BY ALL),
+    bins AS (SELECT dataset_name, split, feature, unnest(range(0, 10)) AS bin FROM edges),
+    filled AS (SELECT dataset_name, split, feature, coalesce(c, 0) + 1e-10::DOUBLE AS c
+      FROM bins LEFT JOIN counts USING (dataset_name, split, feature, bin)),
+    shares AS (SELECT dataset_name, split, feature, c / sum(c) OVER (PARTITION BY dataset_name, split, feature) AS q FROM filled),
+    per AS (SELECT dataset_name, split, feature, -sum(q * ln(q)) AS h FROM shares GROUP BY ALL)
+    SELECT dataset_name, split, {r('avg(h)', 6)} AS mean_feature_entropy FROM per GROUP BY dataset_name, split""")
+def mf_entropy(spark, folder):
+    """On unscaled columns: values on a bin edge would move with the last digit of a scaled one."""
+    matrix = shared_split(spark, folder)
+    return rounded(p.feature_entropy(p.binned_counts(matrix, p.column_profile(matrix))), 6)
+
+
+_INFO = """joint AS (SELECT dataset_name, split, feature, bin, klass, count(*)::DOUBLE AS c FROM binned GROUP BY ALL),
+  total AS (SELECT dataset_name, split, feature, sum(c) AS n FROM joint GROUP BY ALL),
+  hj AS (SELECT dataset_name, split, feature, -sum(c / n * ln(c / n)) AS hj FROM joint JOIN total USING (dataset_name, split, feature) GROUP BY ALL),
+  ha AS (SELECT dataset_name, split, feature, -sum(c / n * ln(c / n)) AS ha FROM (SELECT dataset_name, split, feature, bin, sum(c) AS c
+         FROM joint GROUP BY ALL) JOIN total USING (dataset_name, split, feature) GROUP BY ALL),
+  hc AS (SELECT dataset_name, split, feature, -sum(c / n * ln(c / n)) AS hc FROM (SELECT dataset_name, split, feature, klass, sum(c) AS c
+         FROM joint GROUP BY ALL) JOIN total USING (dataset_name, split, feature) GROUP BY ALL),
+  info AS (SELECT * FROM hj JOIN ha USING (dataset_name, split, feature) JOIN hc USING (dataset_name, split, feature)
+           JOIN total USING (dataset_name, split, feature))"""
+
+
+@register(f"""
+    WITH {raw_cells_sql()}, {_BINNED}, {_INFO}
+    SELECT dataset_name, split, {r('avg(ha + hc - hj)', 6)} AS avg_mutual_info_binned FROM info GROUP BY dataset_name, split""")
+def mf_mi_binned(spark, folder):
+    matrix = shared_split(spark, folder)
+    return rounded(p.binned_mutual_info(p.binned_counts(matrix, p.column_profile(matrix))), 6)
+
+
+@register(f"""
+    WITH {cells_sql('line_price', 'order_total', 'event_value')},
+    y AS (SELECT DISTINCT dataset_name, split, row_id, label FROM cells),
+    m AS (SELECT dataset_name, split, avg(label) AS mean, stddev_pop(label) AS std,
+      quantile_cont(label, 0.25) AS q1, quantile_cont(label, 0.75) AS q3 FROM y GROUP BY ALL)
+    SELECT dataset_name, split, {r('any_value(mean)', 3)} AS target_mean, {r('any_value(std)', 3)} AS target_std,
+      {r('avg(pow((label - mean) / std, 3))', 6)} AS target_skewness, {r('avg(pow((label - mean) / std, 4)) - 3', 6)} AS target_kurtosis,
+      count(*) FILTER (WHERE label < q1 - 1.5::DOUBLE * (q3 - q1) OR label > q3 + 1.5::DOUBLE * (q3 - q1)) AS n_target_outliers
+    FROM y JOIN m USING (dataset_name, split) GROUP BY dataset_name, split""")
+def mf_target_stats(spark, folder):
+    out = p.target_stats(shared_prepared(spark, folder), p.KEYS)
+    return rounded(out, 6, target_mean=3, target_std=3)
+
+
+@register(f"""
+    WITH {cells_sql('line_price', 'order_total', 'event_value')},
+    per AS (SELECT dataset_name, split, feature, covar_pop(value, label) / (stddev_pop(value) * stddev_pop(label)) AS r FROM cells GROUP BY ALL)
+    SELECT dataset_name, split, {r('avg(abs(r))', 6)} AS avg_feature_target_correlation FROM per GROUP BY dataset_name, split""")
+def mf_target_correlation(spark, folder):
+    return rounded(p.target_correlation(shared_prepared(spark, folder), p.KEYS), 6)
+
+
+@register(f"""
+    WITH {cells_sql()}, fixed AS (SELECT dataset_name, split, row_id, feature, value FROM cells
+      UNION ALL SELECT DISTINCT dataset_name, split, row_id, -1, 1.0::DOUBLE FROM cells),
+    per AS (SELECT dataset_name, split, feature, min(value) = max(value) AS constant FROM fixed GROUP BY ALL)
+    SELECT dataset_name, split, 0.0::DOUBLE AS avg_skewness, 0.0::DOUBLE AS avg_kurtosis,
+      count(*) FILTER (WHERE constant) AS n_zero_variance_features FROM per GROUP BY dataset_name, split""")
+def mf_nan_rule(spark, folder):
+    """A constant column beside the others turns the shape averages into 0."""
+    matrix = shared_prepared(spark, folder)
+    fixed = matrix.withColumn("features", F.concat(F.array(F.lit(1.0)), F.col("features")))
+    out = p.summarise(p.column_profile(fixed))
+    return out.select("dataset_name", "split", "avg_skewness", "avg_kurtosis", "n_zero_variance_features")
+
+
+@register()
+def mf_pca(spark, folder):
+    return rounded(p.pca_explained(p.comoments(shared_prepared(spark, folder))), 6)
+
+
+@register()
+def mf_all(spark, folder):
+    return rounded(p.meta_features(shared_prepared(spark, folder)), 6)

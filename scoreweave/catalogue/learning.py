@@ -1 +1,108 @@
+"""Learners on the registered datasets. Sizes are kept small enough to run in seconds."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scoreweave.catalogue import register
+from scoreweave.catalogue.common import cells_sql, r, raw_sql, rounded, shared_prepared, shared_split, SPLIT_SQL
+from scoreweave.learners.custom import Unfittable
+from scoreweave.learners.roster import roster
+from scoreweave.operators import knn
+from scoreweave.operators.profile import class_moments
+from scoreweave.plans.scores import fit_and_predict, performance
+
+_NEAREST = """pairs AS (SELECT q.row_id AS qid, t.row_id AS rid, t.label, list_distance(q.features, t.features) AS d
+    FROM held q, train t),
+  near AS (SELECT qid, unnest(min({'d': d, 'rid': rid, 'label': label}, 5)) AS z FROM pairs GROUP BY qid)"""
+
+
+def _split_ctes(name):
+    return f"""{raw_sql(name)}, {SPLIT_SQL},
+  train AS (SELECT row_id, label, features FROM raw JOIN parted USING (dataset_name, row_id) WHERE split = 'train'),
+  held AS (SELECT row_id, label, features FROM raw JOIN parted USING (dataset_name, row_id) WHERE split <> 'train')"""
+
+
+def _neighbours(spark, folder, name):
+    rows = shared_split(spark, folder).filter(F.col("dataset_name") == name)
+    return knn.knn_join(rows.filter("split <> 'train'"), rows.filter("split = 'train'"), 5)
+
+
+@register(f"""
+    WITH {_split_ctes('emb_class')}, {_NEAREST},
+    votes AS (SELECT qid, z.label AS label, count(*) AS n, max(z.d) AS far FROM near GROUP BY qid, z.label),
+    best AS (SELECT qid, label, n, row_number() OVER (PARTITION BY qid ORDER BY n DESC, label) AS k,
+      max(far) OVER (PARTITION BY qid) AS reach FROM votes)
+    SELECT qid, label AS prediction, {r('n / 5.0::DOUBLE', 6)} AS share, {r('reach', 6)} AS reach FROM best WHERE k = 1""")
+def knn_exact_classify(spark, folder):
+    found = _neighbours(spark, folder, "emb_class")
+    reach = found.groupBy("qid").agg(F.max("distance").alias("reach"))
+    out = knn.vote(found, 10).select("qid", "prediction", F.array_max("probability").alias("share"))
+    return rounded(out.join(reach, "qid"), 6, "share", "reach")
+
+
+@register(f"""
+    WITH {_split_ctes('order_total')}, {_NEAREST}
+    SELECT qid, {r('avg(z.label)', 4)} AS prediction FROM near GROUP BY qid""")
+def knn_exact_regress(spark, folder):
+    """On whole-number features: distances tie often and must be broken alike."""
+    return rounded(knn.average(_neighbours(spark, folder, "order_total")), 4)
+
+
+@register(f"""
+    WITH {cells_sql('line_status', 'return_flag', 'doc_quality', 'order_status', 'emb_class')}
+    SELECT dataset_name, label, feature, count(*) AS n, {r('avg(value)', 6)} AS mean, {r('var_pop(value)', 6)} AS variance
+    FROM cells WHERE split = 'train' GROUP BY dataset_name, label, feature""")
+def gaussian_nb(spark, folder):
+    train = shared_prepared(spark, folder).filter("split = 'train'")
+    return rounded(class_moments(train, ["dataset_name"]), 6, "mean", "variance")
+
+
+def _fit(dataset, task, *names):
+    def query(spark, folder):
+        learners = roster(task, depth=6, trees=20, rounds=10, boosts=5)
+        table = shared_prepared(spark, folder)
+        fitted = fit_and_predict(table, dataset, {n: learners[n] for n in names})
+        if fitted.failures:
+            raise RuntimeError(str(fitted.failures))
+        return rounded(performance(fitted, task), 6)
+
+    return query
+
+
+def _register_fit(key, dataset, task, *names):
+    query = _fit(dataset, task, *names)
+    query.__name__ = key
+    register()(query)
+
+
+_register_fit("fit_logreg", "line_status", "binary", "Logistic Regression")
+_register_fit("fit_logreg_multiclass", "order_status", "multiclass", "Logistic Regression")
+_register_fit("fit_rf", "order_status", "multiclass", "Random Forest")
+_register_fit("fit_rf_regress", "line_price", "regression", "Random Forest Regressor")
+_register_fit("fit_tree", "line_status", "binary", "Decision Tree")
+_register_fit("fit_tree_regress", "order_total", "regression", "Decision Tree Regressor")
+_register_fit("fit_knn", "order_status", "multiclass", "K-Nearest Neighbors")
+_register_fit("fit_knn_regress", "event_value", "regression", "K-Nearest Neighbors Regressor")
+_register_fit("fit_bagging", "return_flag", "multiclass", "Bagging Classifier")
+_register_fit("fit_bagging_regress", "order_total", "regression", "Bagging Regressor")
+_register_fit("fit_gbt", "doc_quality", "binary", "XGBoost")
+_register_fit("fit_gbt_regress", "event_value", "regression", "XGBoost Regressor")
+_register_fit("fit_linreg", "line_price", "regression", "Linear Regression")
+_register_fit("fit_naive_bayes", "doc_quality", "binary", "Naive Bayes")
+_register_fit("fit_vote", "doc_quality", "binary", "Voting Classifier")
+_register_fit("fit_vote_regress", "order_total", "regression", "Voting Regressor")
+_register_fit("fit_stack", "doc_quality", "binary", "Stacking Classifier")
+_register_fit("fit_stack_regress", "event_value", "regression", "Stacking Regressor")
+_register_fit("fit_adaboost", "order_status", "multiclass", "AdaBoost Classifier")
+_register_fit("fit_adaboost_regress", "order_total", "regression", "AdaBoost Regressor")
+_register_fit("fit_svr", "event_value", "regression", "SVR")
+
+
+@register()
+def learner_failure(spark, folder):
+    """A learner that cannot be trained is reported and skipped; its neighbour still scores."""
+    learners = {"Decision Tree": roster("binary", depth=4)["Decision Tree"], "Broken": Unfittable()}
+    fitted = fit_and_predict(shared_prepared(spark, folder), "doc_quality", learners)
+    scored = performance(fitted, "binary").groupBy("dataset_name", "model_name").agg(F.count("*").alias("n_scores"))
+    return fitted.status(spark).join(scored, ["dataset_name", "model_name"], "left")

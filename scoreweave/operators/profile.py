@@ -98,6 +98,16 @@ def class_balance(matrix: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     ).drop("task")
 
 
+def class_moments(matrix: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Per class and feature: rows, mean and variance (all a Gaussian naive Bayes model holds)."""
+    return (
+        matrix.filter(F.col("task") != REGRESSION)
+        .select(*keys, "label", F.posexplode("features").alias("feature", "value"))
+        .groupBy(*keys, "label", "feature")
+        .agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
+    )
+
+
 # -- histograms ----------------------------------------------------------------
 
 

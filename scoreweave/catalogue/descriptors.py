@@ -14,6 +14,7 @@ from scoreweave.catalogue.common import (
     shared_prepared,
     shared_split,
 )
+from scoreweave.operators import bundle as b
 from scoreweave.operators import profile as p
 from scoreweave.plans.prepare import load_matrices
 from scoreweave.sources.registry import ALL
@@ -185,3 +186,114 @@ def mf_pca(spark, folder):
 @register()
 def mf_all(spark, folder):
     return rounded(p.meta_features(shared_prepared(spark, folder)), 6)
+
+
+# -- the bundle --------------------------------------------------------------------
+
+
+@register(f"""
+    WITH {cells_sql()},
+    per AS (SELECT dataset_name, split, feature, count(*) AS n, count(DISTINCT value) AS k FROM cells GROUP BY ALL),
+    size AS (SELECT dataset_name, split, max(n) AS nr_inst, count(*) AS nr_attr, count(*) FILTER (WHERE k = 2) AS nr_bin FROM per GROUP BY ALL),
+    freq AS (SELECT dataset_name, split, label, count(*) AS c FROM (SELECT DISTINCT dataset_name, task, split, row_id, label FROM cells)
+      WHERE task <> 'regression' GROUP BY ALL),
+    classes AS (SELECT dataset_name, split, count(*) AS nr_class, avg(c / t) AS m, stddev_samp(c / t) AS s FROM (
+      SELECT *, sum(c) OVER (PARTITION BY dataset_name, split)::DOUBLE AS t FROM freq) GROUP BY ALL)
+    SELECT dataset_name, split, nr_inst, nr_attr, nr_attr AS nr_num, 0::BIGINT AS nr_cat, nr_bin, nr_class,
+      {r('m', 6)} AS freq_class_mean, {r('s', 6)} AS freq_class_sd, {r('nr_attr / nr_inst::DOUBLE', 6)} AS attr_to_inst,
+      {r('nr_inst / nr_attr::DOUBLE', 6)} AS inst_to_attr, 0.0::DOUBLE AS cat_to_num, 0.0::DOUBLE AS num_to_cat
+    FROM size LEFT JOIN classes USING (dataset_name, split)""")
+def px_general(spark, folder):
+    matrix = shared_prepared(spark, folder)
+    return rounded(b.general(matrix, p.column_profile(matrix)), 6)
+
+
+def _spread_sql(names, digits=6):
+    return ", ".join(
+        f"""CASE WHEN bool_or("{c}" IS NULL) THEN 0.0::DOUBLE ELSE {r(f'avg("{c}")', digits)} END AS {c}_mean,
+        CASE WHEN bool_or("{c}" IS NULL) THEN 0.0::DOUBLE ELSE {r(f'coalesce(stddev_samp("{c}"), 0.0)', digits)} END AS {c}_sd"""
+        for c in names
+    )
+
+
+@register(f"""
+    WITH {raw_cells_sql()},
+    base AS (SELECT dataset_name, split, feature, count(*)::DOUBLE AS n, avg(value) AS mean, median(value) AS median, min(value) AS min,
+      max(value) AS max, max(value) - min(value) AS range, stddev_samp(value) AS sd, var_samp(value) AS var,
+      avg(value) AS mu, var_pop(value) AS v2, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3,
+      quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iq_range,
+      CASE WHEN min(value) < 0 THEN NULL WHEN min(value) = 0 THEN 0.0::DOUBLE ELSE exp(avg(ln(CASE WHEN value > 0 THEN value END))) END AS g_mean,
+      CASE WHEN min(value) < 0 THEN NULL WHEN min(value) = 0 THEN 0.0::DOUBLE ELSE count(*) / sum(1 / CASE WHEN value > 0 THEN value END) END AS h_mean,
+      coalesce((count(*)::DOUBLE / count(DISTINCT value) - 1) / nullif(count(*) - 1, 0), 0) AS sparsity FROM cells GROUP BY ALL),
+    shape AS (SELECT dataset_name, split, feature, avg(pow(value - mu, 3)) AS m3, avg(pow(value - mu, 4)) AS m4,
+      median(abs(value - median)) * 1.4826::DOUBLE AS mad FROM cells JOIN base USING (dataset_name, split, feature) GROUP BY ALL),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY dataset_name, split, feature ORDER BY value) - 1 AS rk,
+      count(*) OVER (PARTITION BY dataset_name, split, feature) AS total FROM cells),
+    trimmed AS (SELECT dataset_name, split, feature, avg(value) AS t_mean FROM ordered
+      WHERE rk >= floor(0.2::DOUBLE * total) AND rk < total - floor(0.2::DOUBLE * total) GROUP BY ALL),
+    per AS (SELECT *, CASE WHEN v2 > 0 THEN m3 / pow(v2, 1.5) * pow((n - 1) / n, 1.5) END AS skewness,
+      CASE WHEN v2 > 0 THEN m4 / (v2 * v2) * pow((n - 1) / n, 2) - 3 END AS kurtosis
+      FROM base JOIN shape USING (dataset_name, split, feature) JOIN trimmed USING (dataset_name, split, feature))
+    SELECT dataset_name, split, {_spread_sql([c for c in b.COLUMN_MEASURES if c != 'var'], 5)}, {_spread_sql(['var'], 1)},
+      count(*) FILTER (WHERE min < q1 - 1.5::DOUBLE * (q3 - q1) OR max > q3 + 1.5::DOUBLE * (q3 - q1)) AS nr_outliers
+    FROM per GROUP BY dataset_name, split""")
+def px_column_stats(spark, folder):
+    """On unscaled columns, where geometric and harmonic means exist."""
+    return rounded(b.column_stats(shared_split(spark, folder)), 5, var_mean=1, var_sd=1)
+
+
+@register(f"""
+    WITH {cells_sql()}, {_PAIRS.replace('var_pop(b.value) AS vb', 'var_pop(b.value) AS vb, covar_samp(a.value, b.value) AS cs')},
+    per AS (SELECT dataset_name, split, CASE WHEN varies THEN abs(c / sqrt(va * vb)) ELSE 0 END AS cor, abs(cs) AS cov FROM pairs)
+    SELECT dataset_name, split, {_spread_sql(('cor', 'cov'))}, {r('count(*) FILTER (WHERE cor >= 0.5) / count(*)::DOUBLE', 6)} AS nr_cor_attr
+    FROM per GROUP BY dataset_name, split""")
+def px_pairwise(spark, folder):
+    matrix = shared_prepared(spark, folder)
+    return rounded(b.pairwise(p.correlations(p.comoments(matrix), p.column_profile(matrix))), 6)
+
+
+@register()
+def px_eigenvalues(spark, folder):
+    return rounded(b.eigenvalues(p.comoments(shared_prepared(spark, folder))), 6)
+
+
+@register(f"""
+    WITH {raw_cells_sql()}, {_BINNED}, {_INFO},
+    per AS (SELECT dataset_name, split, feature, ha / ln(2) AS attr_ent, hc / ln(2) AS class_ent, hj / ln(2) AS joint_ent,
+      (ha + hc - hj) / ln(2) AS mut_inf FROM info),
+    cond AS (SELECT dataset_name, split, feature, sum(c * c / (sum_bin * n)) AS explained FROM (
+      SELECT *, sum(c) OVER (PARTITION BY dataset_name, split, feature, bin) AS sum_bin FROM joint JOIN total USING (dataset_name, split, feature)) GROUP BY ALL),
+    prior AS (SELECT dataset_name, split, feature, sum(pow(c / n, 2)) AS base FROM (
+      SELECT dataset_name, split, feature, klass, sum(c) AS c FROM joint GROUP BY ALL) JOIN total USING (dataset_name, split, feature) GROUP BY ALL),
+    full_info AS (SELECT *, coalesce((explained - base) / nullif(1 - base, 0), 0) AS class_conc FROM per
+      JOIN cond USING (dataset_name, split, feature) JOIN prior USING (dataset_name, split, feature))
+    SELECT dataset_name, split, {r('avg(class_ent)', 6)} AS class_ent, {_spread_sql(('attr_ent', 'joint_ent', 'mut_inf', 'class_conc'))},
+      {r('avg(class_ent) / avg(mut_inf)', 2)} AS eq_num_attr, {r('(avg(attr_ent) - avg(mut_inf)) / avg(mut_inf)', 2)} AS ns_ratio
+    FROM full_info GROUP BY dataset_name, split""")
+def px_info(spark, folder):
+    matrix = shared_split(spark, folder)
+    binned = p.binned_counts(matrix, p.column_profile(matrix))
+    return rounded(b.info_measures(binned, p.info_terms(binned)), 6, eq_num_attr=2, ns_ratio=2)
+
+
+@register(f"""
+    WITH {raw_cells_sql()}, {_BINNED.replace('binned AS (SELECT dataset_name, split, feature,', 'binned AS (SELECT dataset_name, split, row_id, feature,')},
+    few AS (SELECT * FROM binned WHERE feature < 12),
+    joint AS (SELECT a.dataset_name, a.split, a.feature AS i, b.feature AS j, a.bin AS x, b.bin AS y, count(*)::DOUBLE AS c
+      FROM few a JOIN few b ON a.dataset_name = b.dataset_name AND a.row_id = b.row_id AND a.feature <> b.feature GROUP BY ALL),
+    cond AS (SELECT dataset_name, split, i, j, sum(c * c / (sx * n)) AS explained FROM (SELECT *,
+      sum(c) OVER (PARTITION BY dataset_name, split, i, j, x) AS sx, sum(c) OVER (PARTITION BY dataset_name, split, i, j) AS n FROM joint) GROUP BY ALL),
+    prior AS (SELECT dataset_name, split, i, j, sum(pow(sy / n, 2)) AS base FROM (SELECT dataset_name, split, i, j, y, sum(c) AS sy,
+      sum(sum(c)) OVER (PARTITION BY dataset_name, split, i, j) AS n FROM joint GROUP BY dataset_name, split, i, j, y) GROUP BY ALL),
+    per AS (SELECT *, coalesce((explained - base) / nullif(1 - base, 0), 0) AS attr_conc FROM cond JOIN prior USING (dataset_name, split, i, j))
+    SELECT dataset_name, split, {_spread_sql(('attr_conc',))} FROM per GROUP BY dataset_name, split""")
+def px_feature_concentration(spark, folder):
+    matrix = shared_split(spark, folder)
+    return rounded(b.feature_concentration(matrix, p.column_profile(matrix)), 6)
+
+
+@register()
+def px_class_stats(spark, folder):
+    matrix = shared_prepared(spark, folder)
+    labelled = p.comoments(matrix.filter("task <> 'regression'"), (*p.KEYS, "label"))
+    return rounded(b.class_stats(labelled).join(b.normal_features(p.column_profile(matrix)), list(p.KEYS)), 6)

@@ -126,7 +126,8 @@ def label_bounds(matrix: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def binned_counts(matrix: DataFrame, profile: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Contingency counts (table, feature, bin, class) over 10 equal-width bins.
 
-    A class is the label itself, or for a continuous target its own bin.
+    A class is the label itself, or for a continuous target its own bin. The
+    counts are written out: every measure below reads them several times.
     """
     keys = list(keys)
     ranged = matrix.join(F.broadcast(bounds(profile, keys)), keys).join(
@@ -138,16 +139,13 @@ def binned_counts(matrix: DataFrame, profile: DataFrame, keys: Sequence[str] = K
     exploded = ranged.select(
         *keys, klass.alias("klass"), F.posexplode(F.arrays_zip("features", "range")).alias("feature", "z")
     )
-    return (
-        exploded.select(
-            *keys,
-            "feature",
-            "klass",
-            edge_bin(F.col("z.features"), F.col("z.range.low"), F.col("z.range.high")).alias("bin"),
-        )
-        .groupBy(*keys, "feature", "bin", "klass")
-        .agg(F.count("*").alias("n"))
+    binned = exploded.select(
+        *keys,
+        "feature",
+        "klass",
+        edge_bin(F.col("z.features"), F.col("z.range.low"), F.col("z.range.high")).alias("bin"),
     )
+    return cut_lineage(binned.groupBy(*keys, "feature", "bin", "klass").agg(F.count("*").alias("n")))
 
 
 def feature_entropy(binned: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -348,7 +346,7 @@ def meta_features(matrix: DataFrame, keys: Sequence[str] = KEYS, mutual_info: Da
     # Feature-sized tables that several parts below read; the rows behind them are read once each.
     profile = cut_lineage(column_profile(matrix, keys))
     co = cut_lineage(comoments(matrix, keys))
-    binned = cut_lineage(binned_counts(matrix, profile, keys))
+    binned = binned_counts(matrix, profile, keys)
     parts = [
         class_balance(matrix, keys),
         pca_explained(co, keys=keys),

@@ -2,8 +2,9 @@
 
 Rows are ordered by the md5 text of ``seed:key``. A split is cut at exact
 counts, but no row is ranked or moved for it: buckets of the digest are
-counted, the few rows of the bucket a cut falls into are ranked, and the digest
-found there becomes a threshold every row is compared with.
+counted, the bucket a cut falls into is counted again in finer buckets, the few
+rows of the one that holds the cut are ranked, and the digest found there
+becomes a threshold every row is compared with.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreweave.functions.hashing import prefix, seeded
+from scoreweave.session import cut_lineage
 
-DIGITS = 4  # 65,536 digest buckets per stratum
+DIGITS = 2  # 256 digest buckets per stratum, twice over: rank 1 row in 65,536
 
 
 def sample_fixed(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -24,7 +26,8 @@ def sample_fixed(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 
 def _counts(keyed: DataFrame, tables: Sequence[str]) -> DataFrame:
-    return keyed.groupBy(*tables, "_stratum", "_bucket").agg(F.count("*").alias("_c"))
+    """Rows per digest bucket, written out: the quotas and the search for the cuts both read it."""
+    return cut_lineage(keyed.groupBy(*tables, "_stratum", "_bucket").agg(F.count("*").alias("_c")))
 
 
 def _allot(strata: DataFrame, tables: Sequence[str], size: str, total: str, out: str) -> DataFrame:
@@ -74,6 +77,18 @@ def quotas(strata: DataFrame, tables: Sequence[str]) -> DataFrame:
     )
 
 
+def _holding(counts: DataFrame, group: Sequence[str], bucket: str) -> DataFrame:
+    """The buckets that hold a cut, with the rows before them."""
+    earlier = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_base") + F.coalesce(F.sum("_c").over(earlier), F.lit(0))
+    holds = lambda q: (F.col(q) > F.col("_before")) & (F.col(q) <= F.col("_before") + F.col("_c"))
+    return (
+        counts.withColumn("_before", before)
+        .filter(holds("_q_test") | holds("_q_both"))
+        .select(*group, bucket, "_before", "_q_test", "_q_both")
+    )
+
+
 def assign_split(
     df: DataFrame,
     key: str,
@@ -93,27 +108,32 @@ def assign_split(
     keyed = df.withColumn("_h", seeded(F.col(key), seed)).withColumn(
         "_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
     )
-    slim = keyed.select(*group, F.col(key).alias("_key"), "_h", prefix(F.col("_h"), digits).alias("_bucket"))
+    coarse, fine = prefix(F.col("_h"), digits), prefix(F.col("_h"), 2 * digits)
+    slim = keyed.select(*group, F.col(key).alias("_key"), "_h", coarse.alias("_bucket"), fine.alias("_fine"))
     counts = _counts(slim, tables)
     strata = counts.groupBy(*group).agg(F.sum("_c").alias("_n")).withColumn("_stratified", F.col("_stratum") != "")
-    cuts = quotas(strata, tables)
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    located = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).join(cuts, group)
-    holds = lambda q: (F.col(q) > F.col("_before")) & (F.col(q) <= F.col("_before") + F.col("_c"))
+    located = counts.join(quotas(strata, tables), group).withColumn("_base", F.lit(0))
     # At most two buckets per stratum hold a cut.
-    edges = located.filter(holds("_q_test") | holds("_q_both")).select(
-        *group, "_bucket", "_before", "_q_test", "_q_both"
+    edges = _holding(located, group, "_bucket")
+    finer = (
+        slim.join(F.broadcast(edges), [*group, "_bucket"])
+        .groupBy(*group, "_bucket", "_fine", "_before", "_q_test", "_q_both")
+        .agg(F.count("*").alias("_c"))
+        .withColumnRenamed("_before", "_base")
     )
-    rank = Window.partitionBy(*group, "_bucket").orderBy("_h", "_key")
+    rank = Window.partitionBy(*group, "_fine").orderBy("_h", "_key")
     ranked = (
-        slim.join(F.broadcast(edges), [*group, "_bucket"])
+        slim.join(F.broadcast(_holding(finer, [*group, "_bucket"], "_fine").drop("_bucket")), [*group, "_fine"])
         .withColumn("_rank", F.col("_before") + F.row_number().over(rank))
         .filter("_rank = _q_test or _rank = _q_both")
     )
     at = F.struct("_h", "_key")
-    thresholds = ranked.groupBy(*group).agg(
-        F.max(F.when(F.col("_rank") == F.col("_q_test"), at)).alias("_test"),
-        F.max(F.when(F.col("_rank") == F.col("_q_both"), at)).alias("_both"),
+    # One row per stratum, so that every later reader of the split only compares digests.
+    thresholds = cut_lineage(
+        ranked.groupBy(*group).agg(
+            F.max(F.when(F.col("_rank") == F.col("_q_test"), at)).alias("_test"),
+            F.max(F.when(F.col("_rank") == F.col("_q_both"), at)).alias("_both"),
+        )
     )
     here = F.struct(F.col("_h"), F.col(key).alias("_key"))
     return keyed.join(F.broadcast(thresholds), group, "left").select(

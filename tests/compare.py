@@ -23,6 +23,9 @@ def connect(folder):
     return con
 
 
+TIMES: dict[str, float] = {}
+
+
 def _plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return ("", "null")
@@ -37,6 +40,7 @@ def _rows(columns, rows):
 def differences(spark_df, con, sql):
     """Empty if both give the same columns and rows, else a short report."""
     got_cols, got = _rows(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    TIMES["spark"] = time.time()
     cursor = con.execute(sql)
     want_cols, want = _rows([d[0] for d in cursor.description], cursor.fetchall())
     if got_cols != want_cols:
@@ -61,16 +65,17 @@ def main():
         start = time.time()
         try:
             df = queries[name](spark, folder)
+            TIMES["spark"] = None
             if name in oracles:
                 report = differences(df, con, oracles[name])
-                kind = "oracle"
+                kind = f"oracle, spark {TIMES['spark'] - start:.1f}s"
             else:
                 n = len(df.collect())
                 report, kind = ("" if n else "no rows"), f"rows={n}"
         except Exception as err:
             report, kind = f"{type(err).__name__}: {str(err)[:600]}", "error"
         failed += bool(report)
-        print(f"{'FAIL' if report else 'ok  '} {name:28s} {kind:8s} {time.time() - start:6.1f}s {report}", flush=True)
+        print(f"{'FAIL' if report else 'ok  '} {name:28s} {kind:22s} {time.time() - start:6.1f}s {report}", flush=True)
     print(f"{len(names) - failed} of {len(names)} fine")
     return failed
 

@@ -43,14 +43,14 @@ def shared_split(spark: SparkSession, folder: str) -> DataFrame:
     """All registered datasets, split but not scaled, written once per session and folder."""
     key = (spark.sparkContext.applicationId, folder, "raw")
     if key not in _PREPARED:
-        matrix = load_matrices(spark, folder, ALL).union()
+        matrix = cut_lineage(load_matrices(spark, folder, ALL).union(), ("dataset_name",))
         _PREPARED[key] = cut_lineage(split_matrix(matrix), ("dataset_name", "split"))
     return _PREPARED[key]
 
 
 LINE_KEY = (
     "concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_quantity * 100) AS BIGINT), "
-    "CAST(round(l_extendedprice * 100) AS BIGINT), strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'))"
+    "CAST(round(l_extendedprice * 100) AS BIGINT), date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)))"
 )
 
 

@@ -91,5 +91,10 @@ def prepared(matrix: DataFrame, seed: int = 42, fit_on: str = "train") -> DataFr
 
 
 def prepared_table(matrix: DataFrame, seed: int = 42, fit_on: str = "train") -> DataFrame:
-    """:func:`prepared`, written once, partitioned by dataset and split."""
-    return cut_lineage(prepared(matrix, seed, fit_on), ("dataset_name", "split"))
+    """:func:`prepared`, written once, partitioned by dataset and split.
+
+    The encoded matrix is written first: counting, cutting, measuring and
+    scaling each pass over it, and would otherwise repeat the sources' joins.
+    """
+    encoded = cut_lineage(matrix, ("dataset_name",))
+    return cut_lineage(prepared(encoded, seed, fit_on), ("dataset_name", "split"))

@@ -165,7 +165,7 @@ def _line_key():
         "l_linenumber",
         cents("l_quantity"),
         cents("l_extendedprice"),
-        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"),
+        F.unix_date(F.to_date("l_shipdate")),
     )
 
 

@@ -14,7 +14,9 @@ from scoreweave.catalogue.common import (
     shared_prepared,
     shared_split,
 )
+from scoreweave.learners.landmarks import landmark_summary, landmarks, tree_shape
 from scoreweave.operators import bundle as b
+from scoreweave.operators import mutual_info as mi
 from scoreweave.operators import profile as p
 from scoreweave.plans.prepare import load_matrices
 from scoreweave.sources.registry import ALL
@@ -297,3 +299,27 @@ def px_class_stats(spark, folder):
     matrix = shared_prepared(spark, folder)
     labelled = p.comoments(matrix.filter("task <> 'regression'"), (*p.KEYS, "label"))
     return rounded(b.class_stats(labelled).join(b.normal_features(p.column_profile(matrix)), list(p.KEYS)), 6)
+
+
+@register()
+def px_tree(spark, folder):
+    rows = shared_prepared(spark, folder).filter("dataset_name = 'doc_quality'")
+    return rounded(tree_shape(rows), 6)
+
+
+@register()
+def px_landmarks(spark, folder):
+    rows = shared_prepared(spark, folder).filter("dataset_name = 'doc_quality'")
+    return rounded(landmark_summary(landmarks(rows, folds=2)), 6)
+
+
+@register()
+def mf_mi_knn(spark, folder):
+    return rounded(mi.average(mi.discrete_terms(shared_prepared(spark, folder))), 6)
+
+
+@register()
+def mf_mi_knn_regression(spark, folder):
+    """Against a continuous target."""
+    values = shared_prepared(spark, folder).filter("task = 'regression'")
+    return rounded(mi.average(mi.continuous_terms(values)), 6)

@@ -33,18 +33,19 @@ def _stack(series: pd.Series) -> np.ndarray:
     return np.vstack(series.to_numpy())
 
 
-def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
-    """Powered distances: squared for p=2, plain for p=1."""
-    if p == 1:
+def _distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
+    """Powered distances: squared for p=2, plain for p=1 and for the largest coordinate (inf)."""
+    if p != 2:
+        fold = np.add if p == 1 else np.maximum
         out = np.zeros((len(a), len(b)))
         for i in range(a.shape[1]):
-            out += np.abs(a[:, i, None] - b[None, :, i])
+            fold(out, np.abs(a[:, i, None] - b[None, :, i]), out=out)
         return out
     out = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.maximum(out, 0.0)
 
 
-def _root(powered: np.ndarray, p: int) -> np.ndarray:
+def _root(powered: np.ndarray, p: float) -> np.ndarray:
     return np.sqrt(powered) if p == 2 else powered
 
 
@@ -62,7 +63,7 @@ def _nearest(block: np.ndarray, k: int) -> np.ndarray:
 class _Pivots:
     """Pivot coordinates and what they say about cells; small and shipped with the tasks."""
 
-    def __init__(self, points: np.ndarray, p: int):
+    def __init__(self, points: np.ndarray, p: float):
         self.points, self.p = points, p
         self.between = _root(_distances(points, points, p), p)
 
@@ -96,7 +97,7 @@ def _pieces(sizes: dict[int, int]):
 
 
 def _tile_join(
-    queries: DataFrame, q_sizes: dict[int, int], refs: DataFrame, r_sizes: dict[int, int], k: int, p: int, carry: dict[str, str]
+    queries: DataFrame, q_sizes: dict[int, int], refs: DataFrame, r_sizes: dict[int, int], k: int, p: float, carry: dict[str, str]
 ) -> DataFrame:
     """Up to k nearest per query and tile, for queries and references of the same cell."""
     q_pieces, r_pieces = _pieces(q_sizes or {-1: 1}), _pieces(r_sizes or {-1: 1})
@@ -144,17 +145,19 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def knn_join(
-    queries: DataFrame, refs: DataFrame, k: int, carry: Sequence[str] = ("label",), p: int = 2
+    queries: DataFrame, refs: DataFrame, k: int, carry: Sequence[str] = ("label",), p: float = 2,
+    max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """Rows (qid, rid, rank, distance, *carry): the k nearest references of every query.
 
     Both inputs have ``row_id`` and ``features``; ``carry`` names reference
-    columns to bring along. ``p`` is 1 (city block) or 2 (Euclidean).
+    columns to bring along. ``p`` is 1
+    (city block), 2 (Euclidean) or infinity (largest coordinate).
     """
     typed = {c: refs.schema[c].dataType.simpleString() for c in carry}
     n_refs = refs.count()
-    wanted = int(min(MAX_PIVOTS, max(1, n_refs // ROWS_PER_PIVOT)))
-    # At most MAX_PIVOTS vectors reach the driver.
+    wanted = int(min(max_pivots, max(1, n_refs // ROWS_PER_PIVOT)))
+    # At most max_pivots vectors reach the driver.
     points = np.array(
         [row[0] for row in refs.orderBy(seeded(F.col("row_id"), 7), "row_id").limit(wanted).select("features").collect()],
         dtype=float,
@@ -193,12 +196,17 @@ def knn_join(
 
     @F.pandas_udf("array<int>")
     def still_to_visit(x: pd.Series, cell: pd.Series, theta: pd.Series) -> pd.Series:
-        d, own = pivots.to_pivots(_stack(x)), cell.to_numpy()
-        reach = np.minimum(theta.to_numpy(), pivots.reach_of_k(d, counts, radius, k))
-        open_cells = pivots.lower_bounds(d, own, radius) <= (reach * (1 + SLACK) + SLACK)[:, None]
-        open_cells &= counts[None, :] > 0
-        open_cells[np.arange(len(own)), own] = False
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in open_cells])
+        points_in, cells_in, known_in = _stack(x), cell.to_numpy(), theta.to_numpy()
+        out = []
+        for start in range(0, len(points_in), QUERY_BLOCK):
+            block = slice(start, start + QUERY_BLOCK)
+            d, own = pivots.to_pivots(points_in[block]), cells_in[block]
+            reach = np.minimum(known_in[block], pivots.reach_of_k(d, counts, radius, k))
+            open_cells = pivots.lower_bounds(d, own, radius) <= (reach * (1 + SLACK) + SLACK)[:, None]
+            open_cells &= counts[None, :] > 0
+            open_cells[np.arange(len(own)), own] = False
+            out.extend(np.flatnonzero(row).astype("int32") for row in open_cells)
+        return pd.Series(out)
 
     visits = cut_lineage(
         bounded.select("qid", "x", F.explode(still_to_visit("x", "cell", "theta")).alias("cell"))
@@ -208,7 +216,7 @@ def knn_join(
     return _finish(near.unionByName(far), k, p, list(carry))
 
 
-def _finish(found: DataFrame, k: int, p: int, carry: list[str]) -> DataFrame:
+def _finish(found: DataFrame, k: int, p: float, carry: list[str]) -> DataFrame:
     distance = F.sqrt("powered") if p == 2 else F.col("powered")
     return _best(found, k).select("qid", "rid", "rank", distance.alias("distance"), *carry)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreweave.plans.prepare import load_matrices, prepared_table, split_matrix
+from scoreweave.operators.scaling import apply_arrays, fit_arrays
+from scoreweave.plans.prepare import load_matrices, split_matrix
 from scoreweave.session import cut_lineage
 from scoreweave.sources.registry import ALL
 
@@ -28,24 +29,25 @@ def r(expression: str, digits: int) -> str:
     return f"CASE WHEN {v} = 0 THEN 0.0::DOUBLE ELSE {v} END"
 
 
-_PREPARED: dict[tuple, DataFrame] = {}
-
-
-def shared_prepared(spark: SparkSession, folder: str, fit_on: str = "all") -> DataFrame:
-    """All registered datasets, prepared and written once per session and folder."""
-    key = (spark.sparkContext.applicationId, folder, fit_on)
-    if key not in _PREPARED:
-        _PREPARED[key] = prepared_table(load_matrices(spark, folder, ALL).union(), fit_on=fit_on)
-    return _PREPARED[key]
+_WRITTEN: dict[tuple, DataFrame] = {}
 
 
 def shared_split(spark: SparkSession, folder: str) -> DataFrame:
-    """All registered datasets, split but not scaled, written once per session and folder."""
-    key = (spark.sparkContext.applicationId, folder, "raw")
-    if key not in _PREPARED:
-        matrix = cut_lineage(load_matrices(spark, folder, ALL).union(), ("dataset_name",))
-        _PREPARED[key] = cut_lineage(split_matrix(matrix), ("dataset_name", "split"))
-    return _PREPARED[key]
+    """All registered datasets, encoded and split, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder, "split")
+    if key not in _WRITTEN:
+        encoded = cut_lineage(load_matrices(spark, folder, ALL).union(), ("dataset_name",))
+        _WRITTEN[key] = cut_lineage(split_matrix(encoded), ("dataset_name", "split"))
+    return _WRITTEN[key]
+
+
+def shared_prepared(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows imputed and standardised on all rows, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder, "prepared")
+    if key not in _WRITTEN:
+        rows = shared_split(spark, folder)
+        _WRITTEN[key] = cut_lineage(apply_arrays(rows, fit_arrays(rows)), ("dataset_name", "split"))
+    return _WRITTEN[key]
 
 
 LINE_KEY = (

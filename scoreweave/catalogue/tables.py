@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import functions as F
 
 from scoreweave.catalogue import register
-from scoreweave.catalogue.common import RAW, SPLIT_SQL, r, raw_sql, rounded
+from scoreweave.catalogue.common import RAW, SPLIT_SQL, r, raw_sql, rounded, shared_split
 from scoreweave.functions.scalar import flatten_image
 from scoreweave.operators import cleaning, sampling
 from scoreweave.plans.prepare import load_matrices, split_matrix
@@ -163,5 +163,5 @@ def split_by_threshold(spark, folder):
     WITH {raw_sql()}, {SPLIT_SQL}
     SELECT dataset_name, split, count(*) AS n FROM parted GROUP BY ALL""")
 def split_sizes(spark, folder):
-    parts = split_matrix(load_matrices(spark, folder).union())
+    parts = shared_split(spark, folder)
     return parts.groupBy("dataset_name", "split").agg(F.count("*").alias("n"))

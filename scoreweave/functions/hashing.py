@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 
 def seeded(key: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    # A digest that cannot be null spares the optimizer a null check that computes it twice.
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def prefix(digest: Column, digits: int) -> Column:

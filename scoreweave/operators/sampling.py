@@ -36,7 +36,9 @@ def _allot(strata: DataFrame, tables: Sequence[str], size: str, total: str, out:
     ``strata`` has one row per (table, class), so the windows are small.
     """
     table = Window.partitionBy(*tables)
-    exact = F.col(total) * F.col(size) / F.sum(size).over(table)
+    # Nothing is left to share out when a tiny table went to test whole.
+    share = F.try_divide((F.col(total) * F.col(size)).cast("double"), F.sum(size).over(table).cast("double"))
+    exact = F.coalesce(share, F.lit(0.0))
     with_floor = strata.withColumn("_exact", exact).withColumn("_floor", F.floor("_exact"))
     order = table.orderBy(F.round(F.col("_exact") - F.col("_floor"), 9).desc(), F.col("_stratum"))
     return with_floor.select(

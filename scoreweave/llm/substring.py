@@ -130,13 +130,14 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     judged = seeded.join(firsts, ["_h1", "_h2"])
     copies = judged.where("_doc > first and size(seeds) > 0").select("_doc", "_h1").distinct()
     alone = judged.where("_doc = first").select("_doc", "_h1", F.explode("seeds").alias("seed"))
-    shared = alone.groupBy("seed").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi")).where("lo < hi").select("seed")
+    # Written before it is joined, so that the join has an exchange of its own that adaptive execution can split.
+    shared = cut_lineage(alone.groupBy("seed").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi")).where("lo < hi").select("seed"))
     wanted = alone.join(shared, "seed").groupBy("_doc", "_h1").agg(F.collect_set("seed").alias("shared"))
     found = texts.select("_doc", "_h1", "text").join(wanted, ["_doc", "_h1"])
     stretches = cut_lineage(
         found.mapInArrow(_stretches(min_words), "_doc long, _h1 long, seed long, whole long, start long, n long, windows array<long>")
     )
-    wholes = stretches.groupBy("seed", "whole").agg(F.min("_doc").alias("first"))
+    wholes = cut_lineage(stretches.groupBy("seed", "whole").agg(F.min("_doc").alias("first")))
     unsettled = wholes.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1").select("seed")
     known = stretches.drop("windows").join(wholes, ["seed", "whole"])
     repeats = known.where("_doc > first").select("_doc", "_h1", "start", "n")
@@ -144,7 +145,8 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     single = heads.select("_doc", "_h1", "seed", "start", F.posexplode("windows").alias("i", "window")).select(
         "_doc", "_h1", "seed", "window", (F.col("start") + F.col("i")).alias("start")
     )
-    earliest = single.groupBy("seed", "window").agg(F.min("_doc").alias("first"))
+    bounds = single.groupBy("seed", "window").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"))
+    earliest = cut_lineage(bounds.where("first < last").drop("last"))
     matched = single.join(earliest, ["seed", "window"]).where("_doc > first").select("_doc", "_h1", "start", F.lit(1).cast("long").alias("n"))
     whole = copies.select("_doc", "_h1", F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("n"))
     return repeats.unionByName(matched).unionByName(whole).select(F.col("_doc").alias("doc"), F.col("_h1").alias("text_hash"), "start", "n")

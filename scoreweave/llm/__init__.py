@@ -30,4 +30,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import every operator, so that its query is registered."""
-    from scoreweave.llm import substring  # noqa: F401
+    from scoreweave.llm import decontaminate, jaccard_join, packing, quality, substring, token_counts  # noqa: F401

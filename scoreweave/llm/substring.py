@@ -138,7 +138,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
         found.mapInArrow(_stretches(min_words), "_doc long, _h1 long, seed long, whole long, start long, n long, windows array<long>")
     )
     wholes = cut_lineage(stretches.groupBy("seed", "whole").agg(F.min("_doc").alias("first")))
-    unsettled = wholes.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1").select("seed")
+    unsettled = cut_lineage(wholes.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1").select("seed"))
     known = stretches.drop("windows").join(wholes, ["seed", "whole"])
     repeats = known.where("_doc > first").select("_doc", "_h1", "start", "n")
     heads = stretches.join(wholes.join(unsettled, "seed"), ["seed", "whole"]).where("_doc = first")

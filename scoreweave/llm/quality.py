@@ -31,7 +31,9 @@ _KINDS[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(o
 def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of all words and word pairs of all texts, the texts they are in, and how many each text has.
 
-    A word is a run of letters and digits, lower-cased in ASCII, or a run of signs.
+    A word is a run of letters and digits, lower-cased in ASCII, or a run of
+    signs. A pair of equal words, next to each other or with one between,
+    also counts as the n-gram "x x" or "x _ x", whatever the word.
     """
     data, at = text_buffer(column)
     kinds = _KINDS[data]
@@ -46,8 +48,10 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     docs = np.searchsorted(at, starts, side="right") - 1
     near = docs[1:] == docs[:-1]
     pairs = mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])[near]
-    slots = np.concatenate([hashes, pairs]) >> np.uint64(64 - bits)
-    of = np.concatenate([docs, docs[1:][near]])
+    twice = [docs[gap:][(docs[gap:] == docs[:-gap]) & (hashes[gap:] == hashes[:-gap])] for gap in (1, 2)]
+    shapes = [np.full(len(x), mix(np.array([gap], np.uint64))[0]) for gap, x in enumerate(twice, 1)]
+    slots = np.concatenate([hashes, pairs, *shapes]) >> np.uint64(64 - bits)
+    of = np.concatenate([docs, docs[1:][near], *twice])
     return slots.astype(np.int64), of, np.bincount(of, minlength=len(column))
 
 

@@ -30,4 +30,15 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import every operator, so that its query is registered."""
-    from scoreweave.llm import decontaminate, jaccard_join, packing, quality, substring, token_counts, warc  # noqa: F401
+    from scoreweave.llm import (  # noqa: F401
+        decontaminate,
+        jaccard_join,
+        lattice,
+        packing,
+        quality,
+        quotations,
+        substring,
+        surrogates,
+        token_counts,
+        warc,
+    )

@@ -105,7 +105,7 @@ def _write(folder: str):
             for page, url, html, digest, first in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "digest", "first")), strict=True):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
-                    out = system.open_output_stream(f"{path}/{name}")
+                    out = system.open_output_stream(f"{path}/{name}", compression=None)
                 data = _member(record(page, url, (html or "").encode(), digest, first))
                 rows.append((reversed_key(url), page, name, out.tell(), len(data)))
                 out.write(data)
@@ -172,7 +172,7 @@ def _write_index(folder: str, block_lines: int):
             for row in zip(*(batch[c].to_pylist() for c in ("key", "page_id", "file", "offset", "length")), strict=True):
                 if out is None:
                     system.create_dir(path, recursive=True)
-                    out = system.open_output_stream(f"{path}/{name}.idx.gz")
+                    out = system.open_output_stream(f"{path}/{name}.idx.gz", compression=None)
                 block.append(row)
                 if len(block) == block_lines:
                     flush()
@@ -181,7 +181,7 @@ def _write_index(folder: str, block_lines: int):
         if block:
             flush()
         out.close()
-        with system.open_output_stream(f"{path}/{name}.dir") as directory:
+        with system.open_output_stream(f"{path}/{name}.dir", compression=None) as directory:
             directory.write("".join(f"{k} {at} {n}\n" for k, at, n in starts).encode())
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([starts[0][0]])], ["file", "first"])
 
@@ -211,7 +211,7 @@ class Reader:
 
     def _directory(self, name: str) -> tuple[list[str], list[tuple[int, int]]]:
         with self.system.open_input_file(f"{self.path}/{name}.dir") as f:
-            rows = [x.split(" ") for x in f.read().decode().splitlines()]
+            rows = [x.split(" ") for x in f.read().decode().split("\n")[:-1]]
         return [r[0] for r in rows], [(int(r[1]), int(r[2])) for r in rows]
 
     def member(self, name: str, offset: int, length: int) -> bytes:
@@ -255,7 +255,7 @@ def read_captures(keys: DataFrame, index: Index, archives: str, with_payload: bo
         for batch in batches:
             for row in batch.to_pylist():
                 wanted, entries = set(row["keys"]), []
-                for line in lines.member(row["file"], row["offset"], row["length"]).decode().splitlines():
+                for line in lines.member(row["file"], row["offset"], row["length"]).decode().split("\n")[:-1]:
                     key, page, file, offset, length = line.split(" ")
                     if key in wanted:
                         entries.append((file, int(offset), int(length), key, int(page) if page else None))

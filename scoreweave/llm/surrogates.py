@@ -133,7 +133,8 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         head, _, top = host.rpartition(".")
         # A host is drawn from itself alone: mail of one host stays mail of one host.
         place = _Stream(key, "host", host, 0)
-        return f"{draw.shaped(name)}{draw.below(10)}@{place.shaped(head)}.{top}" if attempt > 3 else f"{draw.shaped(name)}@{place.shaped(head)}.{top}"
+        # From the fifth draw on the name grows by a digit a draw, so that short names cannot run out.
+        return f"{draw.shaped(name + '0' * max(0, attempt - 3))}@{place.shaped(head)}.{top}"
     if kind == "phone":
         country, _, digits = canonical.rpartition(":")
         keep = len(country) - 1 if country else 0
@@ -155,8 +156,10 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     if kind == "name":
         gender, script, said = canonical.split(":", 2)
         starts = STARTS[script]
-        given = (starts[draw.below(len(starts))] + starts[draw.below(len(starts))] * (attempt > 5), GIVEN_ENDS[script, gender])
-        family = (starts[draw.below(len(starts))] + starts[draw.below(len(starts))], FAMILY_ENDS.get((script, gender), FAMILY_ENDS[script, "m"]))
+        # A syllable more every other draw: names cannot run out either.
+        syllables = "".join(starts[draw.below(len(starts))] for _ in range(2 + attempt // 2))
+        given = (starts[draw.below(len(starts))], GIVEN_ENDS[script, gender])
+        family = (syllables, FAMILY_ENDS.get((script, gender), FAMILY_ENDS[script, "m"]))
         parts = [given, family] if re.search(r"[ -]", said) else [family]
         words = [(a + e[draw.below(len(e))]).capitalize() for a, e in parts]
         return f"{gender}:{script}:{' '.join(words)}"

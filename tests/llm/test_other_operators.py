@@ -1,0 +1,178 @@
+"""WARC round trip, vectors, classifier, surrogates and quotations."""
+
+import numpy as np
+import pytest
+
+from scoreweave.llm.lattice import embedding_components, nearest_e8, neighbours
+from scoreweave.llm.quality import fit, op3_quality_classifier, score
+from scoreweave.llm.quotations import link_replies, op10_quotation_linking
+from scoreweave.llm.storage import shared_folder
+from scoreweave.llm.surrogates import DEMO_KEY, assign_surrogates, find_entities, op4_pii_surrogates, replace_personal_data, surrogate
+from scoreweave.llm.warc import op1_warc_index, read_captures, reversed_key, write_archives, write_index
+from tests.compare import connect, differences
+from tests.llm import brute
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_warc_round_trip(spark):
+    from scoreweave.llm import ORACLES
+
+    assert differences(op1_warc_index(spark, SMALL), connect(SMALL), ORACLES["op1_warc_index"]) == ""
+    long = "é" * 80
+    rows = [(3, "http://A.example.com:81/x?y=1", long), (1, "http://a.example.com/x", long), (2, None, None), (4, "http://[bad", "small"), (5, "http://a.example.com/x", "small"), (None, "u \r\n v", long), (1, "http://a.example.com/x", long), (6, "http://b.example.com/ ", "x" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS file").repartition(3)
+    home = shared_folder(spark, "warc")
+    entries = write_archives(pages.drop("digest", "file"), f"{home}/a")
+    index = write_index(entries, f"{home}/i", block_lines=2, file_lines=3)
+    got = read_captures(entries.select("key").distinct(), index, f"{home}/a", with_payload=True).collect()
+    assert sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == sorted(
+        [(3, 160, "revisit", 1), (1, 160, "response", None), (2, 0, "response", None), (4, 5, "response", None), (5, 5, "response", None), (0, 160, "response", None), (1, 160, "response", None), (6, 300_000, "response", None)],
+        key=str,
+    ) or sorted(map(str, got))
+    assert {r["payload"].decode() for r in got if r["record_type"] == "response" and r["payload_bytes"] == 160} == {long}
+    one = spark.createDataFrame([(reversed_key("http://a.example.com/x"),), ("org,nothing)/",), (None,)], "key string")
+    assert sorted(r["page_id"] for r in read_captures(one, index, f"{home}/a").collect()) == [1, 1, 5]
+    assert reversed_key("http://A.b.Org:8080/p?q") == "org,b,a:8080)/p?q"
+    none = write_archives(pages.limit(0).drop("digest", "file"), f"{home}/n")
+    assert read_captures(one, write_index(none, f"{home}/m"), f"{home}/n").count() == 0
+
+
+def test_nearest_lattice_point():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(200, 8)) * 2
+    near = nearest_e8(x)
+    for root in neighbours():
+        assert (((x - near) ** 2).sum(1) <= ((x - near - root) ** 2).sum(1) + 1e-9).all()
+    assert len(neighbours()) == 240
+
+
+def test_vectors(spark):
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(300, 64))
+    x = np.concatenate([centres, centres[:150] + 0.35 * r.normal(size=(150, 64)), centres[:50] + 0.2 * r.normal(size=(50, 64)), centres[:20], centres[:20] * 2])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    cos = u @ u.T
+    np.fill_diagonal(cos, 0)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    rows += [(1000, None), (1001, []), (1002, [0.0] * 64), (1003, [1.0, None]), (1004, [float("nan")] * 64), (1005, [float("inf")] * 64), (1006, [1.0, 2.0]), (1007, [2.0, 4.0]), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS h1", "2 AS size", "3 AS component")
+    got = {r["vec_id"]: r for r in embedding_components(df).collect()}
+    assert len(got) == len(rows)
+    want = (cos >= 0.9).sum(axis=1)
+    found = sum(got[i]["n_links"] for i in range(len(x)))
+    assert all(got[i]["n_links"] <= want[i] for i in range(len(x))) and found >= 0.95 * want.sum()
+    for i in range(1000, 1006):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+    assert got[1007]["component_id"] == 1006 and not got[1007]["kept"]
+    assert embedding_components(df.limit(0)).count() == 0
+
+
+def test_quality_held_out(spark):
+    folder = "/root/testdata/sf0.1"
+    got = {r["doc_id"]: r for r in op3_quality_classifier(spark, folder).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [(got[d]["predicted"], y) for d, y in labels.items() if d in got and got[d]["held_out"]]
+    assert len(held) > 500 and sum(p == y for p, y in held) / len(held) > 0.98
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_quality_edges(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None), (3, ""), (None, "x"), (4, "y " * 9000)], "doc_id long, text string").selectExpr("*", "7 AS score", "8 AS label")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 0), (4, 1)], "doc_id long, quality int")
+    model = fit(docs, labels)
+    out = score(docs, model).collect()
+    assert len(out) == 6 and all(0 <= r["score"] <= 1 for r in out)
+    assert {r["score"] for r in score(docs, fit(docs, labels.limit(0))).collect()} == {0.5}
+    assert score(docs.limit(0), model).count() == 0
+
+
+def test_surrogates(spark):
+    texts = {
+        1: "Mail ann.7@mail.example.com or ANN.7@MAIL.EXAMPLE.COM, call +1 (017) 555-7713 now.",
+        2: 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" from 152.143.123.131 and 4111 1111 1111 1111',
+        3: "4111111111111111 again; +1 017 555 7713; Frau Anna Schmidt and Господин Иванов, Mr Smith",
+        4: "Licensed under CC BY-NC 4.0. License, version 3.\n1 2 3",
+        5: None,
+        6: "",
+        7: "IBAN DE89370400440532013000 ssn 123-45-6789 " + "word " * 20_000,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "1 AS n_entities", "2 AS kind", "3 AS _text1")
+    got = {r["doc_id"]: r for r in replace_personal_data(docs).collect()}
+    assert [got[i]["n_entities"] for i in range(1, 8)] == [3, 3, 5, 0, 0, 0, 2]
+    assert all(got[i]["text"] == texts[i] for i in (4, 5, 6))
+    found = {i: find_entities(got[i]["text"]) for i in (1, 2, 3, 7)}
+    assert found[1][0].canonical == found[1][1].canonical and found[1][1].text.isupper()
+    assert found[1][2].canonical == found[3][1].canonical and found[1][2].text.startswith("+1 (")
+    assert found[2][2].canonical == found[3][0].canonical and found[2][2].text.count(" ") == 3
+    assert [m.kind for m in found[3]] == ["card", "phone", "name", "name", "name"] and found[3][3].canonical.startswith("m:cyrillic:")
+    originals = {m.canonical for t in texts.values() for m in find_entities(t or "")}
+    assert not originals & {m.canonical for f in found.values() for m in f}
+    number = found[7][0].canonical
+    assert int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
+    assert replace_personal_data(docs.limit(0)).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    """More names than a first draw can tell apart: collisions are drawn anew until none is left."""
+    names = spark.createDataFrame([("name", f"m:greek:N{i}") for i in range(1500)], "kind string, canonical string")
+    got = assign_surrogates(names).collect()
+    first = [surrogate(DEMO_KEY, "name", f"m:greek:N{i}") for i in range(1500)]
+    assert len(set(first)) < 1500 and len({r["drawn"] for r in got}) == len(got) == 1500
+
+
+def test_surrogates_drawn_again_are_used(spark):
+    from scoreweave.llm.surrogates import STARTS
+
+    rows = [(i, f"Κύριος {a.capitalize()}{b}{c}") for i, (a, b, c) in enumerate((a, b, c) for a in STARTS["greek"] for b in STARTS["greek"] for c in "αε")]
+    got = replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["text"] for r in got}) == len(rows)
+
+
+def test_surrogate_query(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = op4_pii_surrogates(spark, SMALL).collect()
+    chosen = {}
+    for r in got:
+        before, after = find_entities(docs[r["doc_id"]]), find_entities(r["text"])
+        assert len(before) == len(after) == r["n_entities"] and (before or r["text"] == docs[r["doc_id"]])
+        for a, b in zip(before, after, strict=True):
+            assert a.kind == b.kind and a.text != b.text and chosen.setdefault(a.canonical, b.canonical) == b.canonical
+    assert len(got) == len(docs) and len(set(chosen.values())) == len(chosen) > 10
+
+
+def test_quotations(spark):
+    rows = [
+        (1, 0, "u", "Hello there\nhow are you?"),
+        (1, 1, "a", "Fine. What about lunch?"),
+        (1, 2, "u", "On Mon X wrote:\n> Hello there\n> how are you?\nI am well."),
+        (1, 3, "a", ">> Hello there\n>> how  are YOU?\n> I am well.\nGood"),
+        (1, 4, "u", "nothing"),
+        (1, 5, "u", "> nothing\r\n> nowhere\r\nz"),
+        (2, 0, "u", "> Fine. What about lunch?\nyes"),
+        (3, 0, "u", None),
+        (None, 1, "u", "x"),
+        (4, 0, "u", "> " * 3 + "unknown\nq"),
+        (4, 0, "u", "> " * 3 + "unknown\nq"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS depth", "2 AS level")
+    got = {(r["conv_id"], r["turn"]): r for r in link_replies(df).collect()}
+    assert [got[1, t]["text"] for t in range(2, 6)] == ["I am well.", "Good", "nothing", "z"]
+    assert [got[1, t]["parent_turn"] for t in range(6)] == [None, None, 0, 2, None, 4]
+    assert got[1, 3]["reply_path"] == [0, 2, 3] and got[1, 3]["depth"] == 2 and got[1, 3]["n_quoted"] == 2
+    assert (got[2, 0]["quoted_conv"], got[2, 0]["quoted_turn"], got[2, 0]["text"]) == (1, 1, "yes")
+    assert got[3, 0]["text"] == "" and got[None, 1]["text"] == "x" and got[4, 0]["n_quoted"] == 0
+    assert link_replies(df).count() == len(rows) and link_replies(df.limit(0)).count() == 0
+
+
+def test_quotation_query(spark):
+    source = spark.read.parquet(f"{SMALL}/conversations.parquet")
+    got = brute.rows(op10_quotation_linking(spark, SMALL).select("conv_id", "turn", "role", "text"))
+    assert got == brute.rows(source.select("conv_id", "turn", "role", "text")) and len(got) > 0
+
+
+@pytest.mark.parametrize("name", [f"op{i}_" for i in range(1, 11)] + ["pipeline"])
+def test_registered(name):
+    import __spark_entry__ as entry
+
+    assert sum(q.startswith(name) for q in entry.queries()) == 1

@@ -19,6 +19,7 @@ from scoreweave.operators import bundle as b
 from scoreweave.operators import mutual_info as mi
 from scoreweave.operators import profile as p
 from scoreweave.plans.prepare import load_matrices
+from scoreweave.plans.record import full_record
 from scoreweave.sources.registry import ALL
 
 _PER_FEATURE = """per_feature AS (SELECT dataset_name, split, feature, count(*) AS n, avg(value) AS mean,
@@ -187,7 +188,8 @@ def mf_pca(spark, folder):
 
 @register()
 def mf_all(spark, folder):
-    return rounded(p.meta_features(shared_prepared(spark, folder)), 6)
+    """The whole record: meta-features, mutual information, target statistics and the bundle."""
+    return rounded(full_record(shared_prepared(spark, folder)), 6)
 
 
 # -- the bundle --------------------------------------------------------------------
@@ -254,8 +256,16 @@ def px_pairwise(spark, folder):
     return rounded(b.pairwise(p.correlations(p.comoments(matrix), p.column_profile(matrix))), 6)
 
 
-@register()
+@register(f"""
+    WITH {cells_sql()},
+    pairs AS (SELECT a.dataset_name, a.split, a.feature AS i, b.feature AS j, covar_samp(a.value, b.value) AS c
+      FROM cells a JOIN cells b ON a.dataset_name = b.dataset_name AND a.row_id = b.row_id GROUP BY ALL),
+    sums AS (SELECT dataset_name, split, sum(CASE WHEN i = j THEN c ELSE 0 END) AS trace, sum(c * c) AS squares, sqrt(count(*)) AS d
+      FROM pairs GROUP BY ALL)
+    SELECT dataset_name, split, {r('trace / d', 6)} AS eigenvalues_mean,
+      {r('CASE WHEN d > 1 THEN sqrt(greatest(squares - trace * trace / d, 0) / (d - 1)) ELSE 0 END', 6)} AS eigenvalues_sd FROM sums""")
 def px_eigenvalues(spark, folder):
+    """Their sum is the trace and the sum of their squares that of all covariances."""
     return rounded(b.eigenvalues(p.comoments(shared_prepared(spark, folder))), 6)
 
 
@@ -280,9 +290,8 @@ def px_info(spark, folder):
 
 @register(f"""
     WITH {raw_cells_sql()}, {_BINNED.replace('binned AS (SELECT dataset_name, split, feature,', 'binned AS (SELECT dataset_name, split, row_id, feature,')},
-    few AS (SELECT * FROM binned WHERE feature < 12),
     joint AS (SELECT a.dataset_name, a.split, a.feature AS i, b.feature AS j, a.bin AS x, b.bin AS y, count(*)::DOUBLE AS c
-      FROM few a JOIN few b ON a.dataset_name = b.dataset_name AND a.row_id = b.row_id AND a.feature <> b.feature GROUP BY ALL),
+      FROM binned a JOIN binned b ON a.dataset_name = b.dataset_name AND a.row_id = b.row_id AND a.feature <> b.feature GROUP BY ALL),
     cond AS (SELECT dataset_name, split, i, j, sum(c * c / (sx * n)) AS explained FROM (SELECT *,
       sum(c) OVER (PARTITION BY dataset_name, split, i, j, x) AS sx, sum(c) OVER (PARTITION BY dataset_name, split, i, j) AS n FROM joint) GROUP BY ALL),
     prior AS (SELECT dataset_name, split, i, j, sum(pow(sy / n, 2)) AS base FROM (SELECT dataset_name, split, i, j, y, sum(c) AS sy,

@@ -117,10 +117,10 @@ def meta_dataset(spark, folder):
 
 
 @register(f"""
-    WITH {_VALUE_SQL} SELECT dataset_name, split, model_name, n_samples, n_features, {r('mse', 0)} AS mse,
-      {', '.join(f'{r(c, 4)} AS {c}' for c in ('mae', 'rmse', 'r2', 'feature_std', 'mean_variance'))} FROM meta""")
+    WITH {_VALUE_SQL} SELECT dataset_name, split, model_name, n_samples, n_features, {r('mse', 1)} AS mse,
+      {', '.join(f'{r(c, 6)} AS {c}' for c in ('mae', 'rmse', 'r2', 'feature_std', 'mean_variance'))} FROM meta""")
 def meta_dataset_regression(spark, folder):
-    return rounded(_value_meta(spark, folder), 4, mse=0)
+    return rounded(_value_meta(spark, folder), 6, mse=1)
 
 
 _COLUMNS = ("n_samples", "n_features", "feature_std", "mean_variance")
@@ -136,42 +136,43 @@ def _z(column, metric=False):
     WITH {_BINARY_SQL},
     wide AS (SELECT *, [{', '.join(f'CAST({_z(c)} AS DOUBLE)' for c in _COLUMNS)}, {', '.join(f"CAST(model_name = '{m}' AS DOUBLE)" for m in ('Constant', 'Digest', 'Noisy'))}] AS f,
       coalesce(auc_roc, avg(auc_roc) OVER (PARTITION BY split)) AS auc_target FROM meta)
-    SELECT dataset_name, split, model_name, CAST(i AS INTEGER) AS feature, {r('v', 5)} AS value,
-      {r('accuracy', 6)} AS accuracy_target, {r('auc_target', 6)} AS auc_roc_target FROM (
+    SELECT dataset_name, split, model_name, CAST(i AS INTEGER) AS feature, {r('v', 6)} AS value,
+      {r('accuracy', 6)} AS accuracy_target, {r('f1_score', 6)} AS f1_score_target, {r('auc_target', 6)} AS auc_roc_target FROM (
       SELECT *, unnest(range(len(f))) AS i, unnest(f) AS v FROM wide)""")
 def meta_prepare(spark, folder):
     ready = meta.meta_prepare(_binary_meta(spark, folder), "binary")
     out = ready.rows.select(
         "dataset_name", "split", "model_name", F.posexplode("features").alias("feature", "value"),
-        "accuracy_target", "auc_roc_target",
+        "accuracy_target", "f1_score_target", "auc_roc_target",
     )
-    return rounded(out, 6, "accuracy_target", "auc_roc_target", value=5)
+    return rounded(out, 6, "accuracy_target", "f1_score_target", "auc_roc_target", value=6)
 
 
 @register(f"""
     WITH {_VALUE_SQL} SELECT dataset_name, split, model_name,
-      {', '.join(f'{r(_z(m), 5)} AS {m}_target' for m in _VALUE_METRICS)} FROM meta""")
+      {', '.join(f'{r(_z(m), 6)} AS {m}_target' for m in _VALUE_METRICS)} FROM meta""")
 def meta_prepare_targets(spark, folder):
     ready = meta.meta_prepare(_value_meta(spark, folder), "regression")
-    return rounded(ready.rows.select("dataset_name", "split", "model_name", *[f"{m}_target" for m in _VALUE_METRICS]), 5)
+    return rounded(ready.rows.select("dataset_name", "split", "model_name", *[f"{m}_target" for m in _VALUE_METRICS]), 6)
 
 
 @register(f"""
-    WITH {_VALUE_SQL} SELECT 'mae' AS metric, {r('avg(mae)', 3)} AS mean, {r('stddev_pop(mae)', 3)} AS std FROM meta WHERE split = 'val'
-    UNION ALL SELECT 'rmse', {r('avg(rmse)', 3)}, {r('stddev_pop(rmse)', 3)} FROM meta WHERE split = 'val'
-    UNION ALL SELECT 'r2', {r('avg(r2)', 3)}, {r('stddev_pop(r2)', 3)} FROM meta WHERE split = 'val'""")
+    WITH {_VALUE_SQL} SELECT 'mae' AS metric, {r('avg(mae)', 6)} AS mean, {r('stddev_pop(mae)', 6)} AS std FROM meta WHERE split = 'val'
+    UNION ALL SELECT 'mse', {r('avg(mse)', 1)}, {r('stddev_pop(mse)', 1)} FROM meta WHERE split = 'val'
+    UNION ALL SELECT 'rmse', {r('avg(rmse)', 6)}, {r('stddev_pop(rmse)', 6)} FROM meta WHERE split = 'val'
+    UNION ALL SELECT 'r2', {r('avg(r2)', 6)}, {r('stddev_pop(r2)', 6)} FROM meta WHERE split = 'val'""")
 def target_scalers(spark, folder):
     ready = meta.meta_prepare(_value_meta(spark, folder), "regression")
-    return rounded(ready.scalers.filter("metric <> 'mse'"), 3)
+    return _by_metric(ready.scalers, "mean", "std")
 
 
 # A stand-in for the predicting model: a fixed affine map of the actual score.
 def _predicted(df, names):
-    return df.withColumns({f"predicted_{m}": F.col(m) * 0.9 + 0.05 for m in names})
+    return df.withColumns({f"predicted_{m}": F.col(m) * 0.917303 + 0.051719 for m in names})
 
 
 def _predicted_sql(names):
-    return ", ".join(f"{m} * 0.9::DOUBLE + 0.05::DOUBLE AS predicted_{m}" for m in names)
+    return ", ".join(f"{m} * 0.917303::DOUBLE + 0.051719::DOUBLE AS predicted_{m}" for m in names)
 
 
 @register(f"""
@@ -190,29 +191,37 @@ def mae_summary(spark, folder):
     return rounded(reports.mae_summary(_predicted(_binary_meta(spark, folder), _BINARY_METRICS), _BINARY_METRICS), 6)
 
 
-def _compare_sql(names, digits):
+def _by_metric(df, *columns):
+    """Rounded to six decimals; squared errors, which are as large as the squared target, to one."""
+    squared = F.col("metric") == "mse"
+    return df.withColumns({c: F.when(squared, F.round(c, 1)).otherwise(F.round(c, 6)) for c in columns})
+
+
+def _compare_sql(names):
+    digits_of = lambda m: 1 if m == "mse" else 6
     return " UNION ALL ".join(
         f"""SELECT dataset_name, CASE split WHEN 'val' THEN 'Validation' ELSE 'Test' END AS split, model_name, '{m}' AS metric,
-          {r(f'avg({m})', digits)} AS actual, {r(f'avg(predicted_{m})', digits)} AS predicted,
-          {r(f'avg(predicted_{m}) - avg({m})', digits)} AS difference,
+          {r(f'avg({m})', digits_of(m))} AS actual, {r(f'avg(predicted_{m})', digits_of(m))} AS predicted,
+          {r(f'avg(predicted_{m}) - avg({m})', digits_of(m))} AS difference,
           CASE WHEN avg(predicted_{m}) - avg({m}) {'<=' if m in ('mae', 'mse', 'rmse') else '>='} 0 THEN 'green' ELSE 'red' END AS direction
         FROM p GROUP BY dataset_name, split, model_name"""
         for m in names
     )
 
 
-@register(f"WITH {_BINARY_SQL}, p AS (SELECT *, {_predicted_sql(_BINARY_METRICS)} FROM meta) {_compare_sql(_BINARY_METRICS, 6)}")
+@register(f"WITH {_BINARY_SQL}, p AS (SELECT *, {_predicted_sql(_BINARY_METRICS)} FROM meta) {_compare_sql(_BINARY_METRICS)}")
 def compare_table(spark, folder):
     return rounded(reports.comparison(_predicted(_binary_meta(spark, folder), _BINARY_METRICS), _BINARY_METRICS), 6)
 
 
-@register(f"WITH {_VALUE_SQL}, p AS (SELECT *, {_predicted_sql(_VALUE_METRICS)} FROM meta) {_compare_sql(_VALUE_METRICS, 0)}")
+@register(f"WITH {_VALUE_SQL}, p AS (SELECT *, {_predicted_sql(_VALUE_METRICS)} FROM meta) {_compare_sql(_VALUE_METRICS)}")
 def compare_table_regression(spark, folder):
-    return rounded(reports.comparison(_predicted(_value_meta(spark, folder), _VALUE_METRICS), _VALUE_METRICS), 0)
+    compared = reports.comparison(_predicted(_value_meta(spark, folder), _VALUE_METRICS), _VALUE_METRICS)
+    return _by_metric(compared, "actual", "predicted", "difference")
 
 
 @register(f"""
-    WITH {_BINARY_SQL}, p AS (SELECT *, {_predicted_sql(_BINARY_METRICS)} FROM meta), c AS ({_compare_sql(_BINARY_METRICS, 6)})
+    WITH {_BINARY_SQL}, p AS (SELECT *, {_predicted_sql(_BINARY_METRICS)} FROM meta), c AS ({_compare_sql(_BINARY_METRICS)})
     SELECT dataset_name, split, metric, model_name, 'Actual' AS "Metric_Type", actual AS "Value" FROM c
     UNION ALL SELECT dataset_name, split, metric, model_name, 'Predicted', predicted FROM c""")
 def compare_long(spark, folder):
@@ -229,13 +238,13 @@ def compare_columns(spark, folder):
 
 @register(f"""
     WITH {_VALUE_SQL}
-    SELECT dataset_name, split, model_name, CASE WHEN split = 'val' THEN {r('mae', 4)} END AS mae_val,
-      CASE WHEN split = 'val' THEN {r('r2', 4)} END AS r2_val, CASE WHEN split = 'test' THEN {r('mae', 4)} END AS mae_test,
-      CASE WHEN split = 'test' THEN {r('r2', 4)} END AS r2_test FROM meta""")
+    SELECT dataset_name, split, model_name, CASE WHEN split = 'val' THEN {r('mae', 6)} END AS mae_val,
+      CASE WHEN split = 'val' THEN {r('r2', 6)} END AS r2_val, CASE WHEN split = 'test' THEN {r('mae', 6)} END AS mae_test,
+      CASE WHEN split = 'test' THEN {r('r2', 6)} END AS r2_test FROM meta""")
 def union_predictions(spark, folder):
     scores = _value_scores(spark, folder).select("dataset_name", "split", "model_name", "mae", "r2")
     sides = [meta.with_scores_named_by_split(scores, ("mae", "r2"), s) for s in ("val", "test")]
-    return rounded(reports.union_predictions(*sides), 4)
+    return rounded(reports.union_predictions(*sides), 6)
 
 
 _SMALL = {"n_estimators": [5, 10], "max_depth": [2, 3], "learning_rate": [0.1, 0.2]}

@@ -88,7 +88,7 @@ _DIMS = ", ".join(f"{{p}}CAST(embedding[{i + 1}] AS DOUBLE) AS pixel_{i}" for i
 @register(f"SELECT vec_id, label, {_DIMS} FROM embeddings")
 def vector_to_columns(spark, folder):
     emb = table(spark, folder, "embeddings")
-    parts = [emb.filter("label < 5"), emb.filter("label >= 5")]
+    parts = [emb.filter("label < 5"), emb.filter("NOT label < 5 OR label IS NULL")]
     width = emb.agg(F.max(F.size("embedding"))).first()[0]
     return vector_columns(concat_parts(parts), "embedding", width)
 

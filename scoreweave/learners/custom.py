@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +16,6 @@ from scoreweave.functions.hashing import fold_of
 from scoreweave.learners.base import (
     Learner,
     Model,
-    SparkLearner,
-    class_sizes,
     n_classes,
     tree_expression,
     with_vector,
@@ -369,17 +367,3 @@ class Unfittable:
 
     def fit(self, train: DataFrame) -> Model:
         raise ValueError("not trainable")
-
-
-__all__ = [
-    "AdaBoostClassifier",
-    "AdaBoostRegressor",
-    "LogisticRegression",
-    "NearestNeighbours",
-    "SparkLearner",
-    "Stacking",
-    "SupportVectorRegressor",
-    "Unfittable",
-    "Voting",
-    "class_sizes",
-]

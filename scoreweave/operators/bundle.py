@@ -7,25 +7,26 @@ its mean and its sample deviation over the features.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreweave.functions.scalar import edge_bin, mean_or_zero
+from scoreweave.functions.scalar import HISTOGRAM_BINS, edge_bin, mean_or_zero
 from scoreweave.operators.order_stats import Point, exact_points, exact_quantiles
 from scoreweave.operators.profile import KEYS, bounds, cells, class_counts, covariance_matrix
 from scoreweave.session import cut_lineage
 
 # Trimmed share on each side, outlier reach in IQRs, normal-consistency factor of
-# the median deviation, threshold of a notable correlation, and features compared pairwise.
+# the median deviation, and threshold of a notable correlation.
 TRIM = 0.2
 WHISKER = 1.5
 MAD_FACTOR = 1.4826
 NOTABLE = 0.5
-MAX_PAIRED = 12
+#: Features whose bins are counted against each other in one array.
+PAIR_BLOCK = 64
 
 
 def spread(values: Sequence[str]) -> list[Column]:
@@ -328,16 +329,55 @@ def info_measures(binned: DataFrame, terms: DataFrame, keys: Sequence[str] = KEY
 
 
 def feature_concentration(matrix: DataFrame, profile: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Concentration between ordered pairs of the first 12 features, binned."""
+    """Concentration between all ordered pairs of features, binned.
+
+    A task counts bins of PAIR_BLOCK features against PAIR_BLOCK others in one
+    array per key and sends the counts that are not zero; those of all tasks
+    are added up by pair.
+    """
     keys = list(keys)
-    ranged = matrix.join(F.broadcast(bounds(profile, keys)), keys)
+    ranged = matrix.join(bounds(profile, keys), keys)
     bins = F.transform(
-        F.slice(F.arrays_zip("features", "range"), 1, MAX_PAIRED),
-        lambda z: edge_bin(z["features"], z["range"]["low"], z["range"]["high"]),
+        F.arrays_zip("features", "range"), lambda z: edge_bin(z["features"], z["range"]["low"], z["range"]["high"])
     )
-    left = ranged.select(*keys, bins.alias("bins")).select(*keys, "bins", F.posexplode("bins").alias("i", "bin_i"))
-    # Every row gives at most 12 * 12 pairs, which collapse into counts before the shuffle.
-    pairs = left.select(*keys, "i", "bin_i", F.posexplode("bins").alias("j", "bin_j")).filter("i <> j")
-    counts = cut_lineage(pairs.groupBy(*keys, "i", "j", "bin_i", "bin_j").agg(F.count("*").alias("n")))
+    binned = ranged.select(*keys, bins.alias("bins"))
+    types = {k: matrix.schema[k].dataType.simpleString() for k in keys}
+    schema = ", ".join(f"{k} {t}" for k, t in types.items()) + ", i int, j int, bin_i int, bin_j int, n long"
+    partial = binned.mapInPandas(_pair_counts(keys), schema)
+    counts = cut_lineage(partial.groupBy(*keys, "i", "j", "bin_i", "bin_j").agg(F.sum("n").alias("n")))
     tau = _concentration(counts, [*keys, "i", "j"], "bin_i", "bin_j").withColumnRenamed("tau", "attr_conc")
     return tau.groupBy(*keys).agg(*spread(["attr_conc"]))
+
+
+def _pair_counts(keys: list[str]):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, rows in batch.groupby(keys, sort=False):
+                bins = np.vstack(rows["bins"].to_numpy()).astype(np.int64)
+                for left in range(0, bins.shape[1], PAIR_BLOCK):
+                    for right in range(0, bins.shape[1], PAIR_BLOCK):
+                        a, b = (_one_hot(bins[:, at : at + PAIR_BLOCK]) for at in (left, right))
+                        table = a.T @ b
+                        x, y = np.nonzero(table)
+                        i, j = left + x // HISTOGRAM_BINS, right + y // HISTOGRAM_BINS
+                        keep = i != j
+                        yield pd.DataFrame(
+                            {
+                                **{k: v for k, v in zip(keys, key, strict=True)},
+                                "i": i[keep],
+                                "j": j[keep],
+                                "bin_i": (x % HISTOGRAM_BINS)[keep],
+                                "bin_j": (y % HISTOGRAM_BINS)[keep],
+                                "n": table[x, y][keep].astype(np.int64),
+                            }
+                        )
+
+    return count
+
+
+def _one_hot(bins: np.ndarray) -> np.ndarray:
+    """One column per feature and bin."""
+    out = np.zeros((len(bins), bins.shape[1] * HISTOGRAM_BINS))
+    at = bins + np.arange(bins.shape[1]) * HISTOGRAM_BINS
+    out[np.arange(len(bins))[:, None], at] = 1.0
+    return out

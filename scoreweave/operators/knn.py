@@ -41,8 +41,35 @@ def _distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
         for i in range(a.shape[1]):
             fold(out, np.abs(a[:, i, None] - b[None, :, i]), out=out)
         return out
-    out = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(out, 0.0)
+    out = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        gap = a[:, i, None] - b[None, :, i]
+        out += gap * gap
+    return out
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Squared distances of all pairs that can be among the k nearest, infinity for the others.
+
+    A matrix product around the references' centre finds them with a bound on
+    its error; those within the bound are computed from the differences.
+    """
+    centre = b.mean(axis=0)
+    u, v = a - centre, b - centre
+    nu, nv = (u * u).sum(1), (v * v).sum(1)
+    rough = nu[:, None] + nv[None, :] - 2.0 * (u @ v.T)
+    error = 8 * a.shape[1] * np.finfo(float).eps * (nu + nv.max())[:, None]
+    # Coordinates far from zero are themselves rounded when the centre is taken off.
+    shift = np.finfo(float).eps * max(np.abs(a).max(), np.abs(b).max()) * np.sqrt(a.shape[1])
+    error = error + 4 * shift * (np.sqrt(nu)[:, None] + np.sqrt(nv.max()) + shift)
+    kth = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1 : min(k, rough.shape[1])]
+    row, col = np.nonzero(rough <= kth + 2 * error)
+    out = np.full(rough.shape, np.inf)
+    for start in range(0, len(row), 1 << 16):
+        r, c = row[start : start + (1 << 16)], col[start : start + (1 << 16)]
+        gap = a[r] - b[c]
+        out[r, c] = (gap * gap).sum(axis=1)
+    return out
 
 
 def _root(powered: np.ndarray, p: float) -> np.ndarray:
@@ -119,7 +146,8 @@ def _tile_join(
         a, b = _stack(left["x"]), _stack(right["x"])
         found = []
         for start in range(0, len(a), QUERY_BLOCK):
-            block = np.round(_distances(a[start : start + QUERY_BLOCK], b, p), TIE_DIGITS)
+            part = a[start : start + QUERY_BLOCK]
+            block = np.round(_candidates(part, b, k) if p == 2 else _distances(part, b, p), TIE_DIGITS)
             row, col = np.nonzero(_nearest(block, k))
             found.append((row + start, col, block[row, col]))
         row, col, powered = (np.concatenate(part) for part in zip(*found, strict=True))

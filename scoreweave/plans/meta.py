@@ -262,7 +262,7 @@ def search(
             model = candidate(family, settings[at]).fit(folded.filter(F.col("_fold") != fold).drop("_fold"))
             return at, fold, _mae(model, folded.filter(F.col("_fold") == fold).drop("_fold")), ""
         except Exception as err:
-            return at, fold, None, f"{type(err).__name__}: {err}"[:200]
+            return at, fold, None, f"{type(err).__name__}: {err}"
 
     jobs = [(at, fold) for at in range(len(settings)) for fold in present]
     with ThreadPoolExecutor(parallelism) as pool:

@@ -50,7 +50,7 @@ def fit_and_predict(
             )
             into.models[(dataset, name)] = model
         except Exception as err:  # one learner must not stop the others
-            into.failures[(dataset, name)] = f"{type(err).__name__}: {err}"[:200]
+            into.failures[(dataset, name)] = f"{type(err).__name__}: {err}"
     return into
 
 

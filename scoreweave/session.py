@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,23 @@ def local_session(app: str = "scoreweave", cores: str | int = "*", **conf: str)
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the executors, once per application, so that tasks import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        home = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="scoreweave-ship-")) / f"{home.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(home.rglob("*.py")):
+                out.write(file, file.relative_to(home.parent))
+        sc.addPyFile(str(archive))
+        _SHIPPED.add(sc.applicationId)
     return spark
 
 

@@ -75,13 +75,21 @@ def open_all(spark: SparkSession, folder: str, specs: Iterable[Spec]) -> Loaded:
     return Loaded(frames, failures)
 
 
-def label_counts(frames: dict[str, tuple[Spec, DataFrame]]) -> DataFrame:
-    """Rows per (dataset, label) for the classification datasets, in one job."""
+def label_counts(frames: dict[str, tuple[Spec, DataFrame]], targets: bool = True) -> DataFrame:
+    """Rows per (dataset, label), in one job.
+
+    Without ``targets`` the values of a regression target count as one label,
+    so that they are not shuffled merely to count rows.
+    """
     parts = [
         df.select(
             F.lit(spec.name).alias("dataset_name"),
             F.lit(spec.task).alias("task"),
-            F.col(spec.label).cast("string").alias("label"),
+            (
+                F.when(F.col(spec.label).isNotNull(), F.lit("value"))
+                if spec.task == REGRESSION and not targets
+                else F.col(spec.label).cast("string")
+            ).alias("label"),
         )
         for spec, df in frames.values()
     ]
@@ -101,7 +109,7 @@ def cardinality_ok(task, n_labels):
 def status(spark: SparkSession, loaded: Loaded) -> DataFrame:
     """One row per dataset: ``ok``, ``rejected`` by a guard, or ``failed`` to open."""
     counts = (
-        label_counts(loaded.frames)
+        label_counts(loaded.frames, targets=False)
         .groupBy("dataset_name", "task")
         .agg(F.sum("n").alias("n_rows"), F.count("label").alias("n_labels"))
     )

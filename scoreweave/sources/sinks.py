@@ -48,7 +48,7 @@ class RunLog:
     def start_run(self, name: str | None = None) -> str:
         stamp = dt.datetime.now(dt.UTC)
         self.run_id = uuid.uuid4().hex
-        self._add("run", "start", name or f"META_RUN_{stamp:%Y%m%d_%H%M%S}")
+        self._add("run", "start", name or f"run-{stamp:%Y-%m-%dT%H:%M:%S}")
         return self.run_id
 
     def end_run(self) -> None:
@@ -70,7 +70,7 @@ class RunLog:
         try:
             model.save(f"{folder}/{key}")
         except Exception as err:
-            self._add("error", key, f"{type(err).__name__}: {err}"[:200])
+            self._add("error", key, f"{type(err).__name__}: {err}")
             return False
         self._add("model", key, f"{folder}/{key}")
         return True

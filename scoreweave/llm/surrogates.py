@@ -101,7 +101,7 @@ class _Stream:
 
     def shaped(self, text: str) -> str:
         """Letters for letters, digits for digits, all else as it is."""
-        hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) is not None
+        hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) is not None and not text.isdigit()
         out = []
         for c in text:
             if hexadecimal and len(text) >= 16:

@@ -91,6 +91,7 @@ def test_surrogates(spark):
     texts = {
         1: "Mail ann.7@mail.example.com or ANN.7@MAIL.EXAMPLE.COM, call +1 (017) 555-7713 now.",
         2: 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" from 152.143.123.131 and 4111 1111 1111 1111',
+        8: "1234567890123456789",
         3: "4111111111111111 again; +1 017 555 7713; Frau Anna Schmidt and Господин Иванов, Mr Smith",
         4: "Licensed under CC BY-NC 4.0. License, version 3.\n1 2 3",
         5: None,
@@ -99,9 +100,9 @@ def test_surrogates(spark):
     }
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "1 AS n_entities", "2 AS kind", "3 AS _text1")
     got = {r["doc_id"]: r for r in replace_personal_data(docs).collect()}
-    assert [got[i]["n_entities"] for i in range(1, 8)] == [3, 3, 5, 0, 0, 0, 2]
+    assert [got[i]["n_entities"] for i in range(1, 9)] == [3, 3, 5, 0, 0, 0, 2, 1]
     assert all(got[i]["text"] == texts[i] for i in (4, 5, 6))
-    found = {i: find_entities(got[i]["text"]) for i in (1, 2, 3, 7)}
+    found = {i: find_entities(got[i]["text"]) for i in (1, 2, 3, 7, 8)}
     assert found[1][0].canonical == found[1][1].canonical and found[1][1].text.isupper()
     assert found[1][2].canonical == found[3][1].canonical and found[1][2].text.startswith("+1 (")
     assert found[2][2].canonical == found[3][0].canonical and found[2][2].text.count(" ") == 3

@@ -20,7 +20,7 @@ SHINGLE, PERCENT = 5, 75
 #: The frequency order reads a table of 2**SKETCH_BITS counters, whatever the corpus.
 SKETCH_BITS, BLOCK = 20, 1 << 14
 #: Postings of a join task, about; documents of one n-gram in a task; texts verified together; partial tables summed together.
-BUCKET, HOT, TOGETHER, FAN_IN = 200_000, 100_000, 64, 256
+BUCKET, HOT, TOGETHER, FAN_IN = 200_000, 100_000, 128, 256
 _BASE = 0xA0761D6478BD642F
 
 
@@ -163,7 +163,7 @@ def _postings(sketch, buckets: int, hot: int):
     return each
 
 
-_FOUND = "kind string, token long, salt int, shares int, a long, an int, b long, bn int, members array<long>, sizes array<int>, same long"
+_FOUND = "kind string, token long, salt int, shares int, a long, an int, b long, bn int, members array<long>, same long"
 
 
 def _similar_size(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -189,11 +189,11 @@ def _bucket_join(percent: int):
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(token)))
         head = np.repeat(first, size)
-        out = {k: [] for k in ("kind", "token", "salt", "shares", "a", "an", "b", "bn", "members", "sizes", "same")}
+        out = {k: [] for k in ("kind", "token", "salt", "shares", "a", "an", "b", "bn", "members", "same")}
 
         def add(kind, count, **values):
             out["kind"].append(pa.array([kind] * count, pa.string()))
-            for name, type_ in (("token", pa.int64()), ("salt", pa.int32()), ("shares", pa.int32()), ("a", pa.int64()), ("an", pa.int32()), ("b", pa.int64()), ("bn", pa.int32()), ("members", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("same", pa.int64())):
+            for name, type_ in (("token", pa.int64()), ("salt", pa.int32()), ("shares", pa.int32()), ("a", pa.int64()), ("an", pa.int32()), ("b", pa.int64()), ("bn", pa.int32()), ("members", pa.list_(pa.int64())), ("same", pa.int64())):
                 v = values.get(name)
                 out[name].append(pa.nulls(count, type_) if v is None else v.cast(type_) if isinstance(v, pa.Array) else pa.array(v, type_))
 
@@ -217,7 +217,7 @@ def _bucket_join(percent: int):
             at = pa.array(np.concatenate([[0], np.cumsum(size[group])]).astype(np.int32))
             add(
                 "group", len(group), token=token[first[group]], salt=salt[first[group]], shares=shares[first[group]], same=signed(same[group]),
-                members=pa.ListArray.from_arrays(at, pa.array(doc[take])), sizes=pa.ListArray.from_arrays(at, pa.array(n[take].astype(np.int32))),
+                members=pa.ListArray.from_arrays(at, pa.array(doc[take])),
             )
         if not out["kind"]:
             add("pair", 0)
@@ -272,48 +272,79 @@ def _verify(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return carried.groupBy("a", "part").applyInArrow(_verified(size, percent), "a long, b long")
 
 
-def _across(percent: int):
-    """Pairs of a tile whose documents lie in different components: one side's documents against the other's."""
+def _crossed(size: int, percent: int):
+    """Links of a tile that join components: each document of one block against all of the other block."""
 
     def each(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("salt", "ascending")])
-        docs, sizes, comps = ([np.asarray(x) for x in rows[c].to_pylist()] for c in ("members", "sizes", "comps"))
-        left, right = 0, len(docs) - 1
-        found = []
-        for i in range(len(docs[left])):
-            begin = i + 1 if left == right else 0
-            hit = (comps[right][begin:] != comps[left][i]) & (docs[right][begin:] != docs[left][i])
-            hit &= _similar_size(sizes[right][begin:], sizes[left][i], percent)
-            other = docs[right][begin:][hit]
-            found.append(np.stack([np.minimum(other, docs[left][i]), np.maximum(other, docs[left][i])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        batch = table.combine_chunks().to_batches()[0]
+        lo, hi = batch["lo"][0].as_py(), batch["hi"][0].as_py()
+        sets, docs, comps, blocks = [], [], [], []
+        for run in runs(iter([batch]), lower=True):
+            shingles, _, n = shingle_sets(run, size)
+            sets += np.split(shingles, np.cumsum(n)[:-1])
+            docs += run.table["doc"].to_pylist()
+            comps += run.table["component"].to_pylist()
+            blocks += run.table["block"].to_pylist()
+        docs, comps, blocks = np.array(docs), np.array(comps), np.array(blocks)
+        other = np.flatnonzero(blocks == hi)
+        sizes = np.array([len(sets[i]) for i in other])
+        at = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        known, where = np.unique(np.concatenate([sets[i] for i in other]), return_inverse=True) if len(other) else (np.zeros(0, np.uint64), None)
+        mark, links = np.zeros(len(known), np.int32), []
+        for x in np.flatnonzero(blocks == lo):
+            if not len(known) or not ((comps[other] != comps[x]) & _similar_size(sizes, len(sets[x]), percent)).any():
+                continue
+            spot = np.minimum(np.searchsorted(known, sets[x]), len(known) - 1)
+            spot = spot[known[spot] == sets[x]]
+            mark[spot] = 1
+            both = np.add.reduceat(mark[where], at)
+            mark[spot] = 0
+            near = 100 * both >= percent * (len(sets[x]) + sizes - both)
+            for y in other[near]:
+                if comps[y] != comps[x]:
+                    links.append((docs[x], docs[y]))
+                    comps[comps == comps[y]] = comps[x]
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return each
 
 
-def _unsettled(groups: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components within the groups that lie in several."""
-    one = groups.groupBy("same").agg(F.first(F.struct("token", "salt", "shares", "members", "sizes")).alias("g")).select("same", "g.*")
-    one = cut_lineage(one)
-    members = one.select("same", F.when(F.col("shares") > 1, F.col("token")).alias("wide"), F.posexplode("members").alias("i", "id"))
-    labelled = members.join(comps, "id", "left").select("same", "wide", "i", F.coalesce("component", "id").alias("component"))
-    labelled = cut_lineage(labelled)
-    mixed = labelled.groupBy("same").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("same")
-    wide = (
-        labelled.where("wide is not null").groupBy("wide").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("wide")
-    )
-    open_groups = mixed.unionByName(labelled.join(wide, "wide").select("same")).distinct()
-    lists = labelled.join(open_groups, "same").groupBy("same").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "component"))), lambda x: x["component"]).alias("comps")
+def _unsettled_links(texts: DataFrame, groups: DataFrame, heads: DataFrame, comps: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links across components within n-gram groups that still lie in several.
+
+    Open groups are gathered by their smallest document. Its family splits
+    into those in its component and the others, both dealt into blocks of
+    TOGETHER documents; a block of others meets every block of the family in a
+    tile. A text travels once per tile and no pair is ever a row.
+    """
+    one = groups.groupBy("same").agg(F.first(F.struct("token", "shares", "members")).alias("g")).select("same", "g.*")
+    wide = F.col("shares") > 1
+    led = one.join(heads, (one["token"] == heads["token"]) & wide, "left").select(
+        "same", F.when(wide, one["token"]).alias("wide"), F.coalesce(F.when(wide, F.col("head")), F.col("members")[0]).alias("leader"), "members"
     )
-    full = one.join(lists, "same")
-    # A dealt n-gram's shares meet pairwise; others are a tile by themselves.
-    tiles = full.withColumn("other", F.explode(F.when(F.col("shares") > 1, F.expr("sequence(0, shares - 1)")).otherwise(F.array("salt"))))
-    tiles = tiles.withColumns(
-        {"lo": F.least("salt", "other"), "hi": F.greatest("salt", "other"), "key": F.when(F.col("shares") > 1, F.col("token")).otherwise(F.col("same"))}
+    members = led.select("same", "wide", "leader", F.explode("members").alias("id"))
+    labelled = cut_lineage(members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    # Groups of one dealt n-gram are open together.
+    key = F.coalesce("wide", "same").alias("key"), F.col("wide").isNotNull().alias("dealt")
+    keyed = labelled.select(*key, "leader", "id", "component")
+    mixed = cut_lineage(keyed.groupBy("key", "dealt").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key", "dealt"))
+    family = cut_lineage(keyed.join(mixed, ["key", "dealt"]).select("leader", "id", "component").distinct())
+    own = comps.select(F.col("id").alias("leader"), F.col("component").alias("home"))
+    placed = family.join(own, "leader", "left").withColumn("outside", F.col("component") != F.coalesce("home", "leader")).drop("home")
+    counts = cut_lineage(placed.groupBy("leader").agg(
+        F.ceil(F.count_if("outside") / TOGETHER).cast("int").alias("outer"), F.ceil(F.count_if(~F.col("outside")) / TOGETHER).cast("int").alias("inner")
+    ).where("outer > 0"))
+    # Blocks of others are 0, 1, ..; blocks of the leader's component follow them.
+    block = F.when(F.col("outside"), F.expr("pmod(xxhash64(id), outer)")).otherwise(F.expr("outer + pmod(xxhash64(id), greatest(inner, 1))")).cast("int")
+    dealt = placed.join(counts, "leader").withColumn("block", block)
+    partners = F.when(F.col("outside"), F.expr("sequence(0, outer + inner - 1)")).otherwise(F.expr("sequence(0, outer - 1)"))
+    tiles = dealt.withColumn("other", F.explode(partners)).select(
+        F.col("id").alias("doc"), "leader", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     )
-    return tiles.groupBy("key", "shares", "lo", "hi").applyInArrow(_across(percent), "a long, b long").distinct()
+    tiles = cut_lineage(tiles)
+    carried = texts.withColumnRenamed("_doc", "doc").join(tiles, "doc")
+    return carried.groupBy("leader", "lo", "hi").applyInArrow(_crossed(size, percent), "a long, b long")
 
 
 def jaccard_components(
@@ -339,12 +370,12 @@ def jaccard_components(
     2. Each class posts its rarest shingles, as many as any partner must meet.
     3. Per n-gram every class is paired with the smallest one, under length
        and positional filters, and each distinct pair is verified once.
-    4. Where a group of an n-gram still lies in several components, its pairs
-       across components are verified too. Pairs inside a component would not
-       change the result, so they are never built.
+    4. Where a group of an n-gram still lies in several components, its
+       documents are compared across components, block by block inside tasks.
+       Pairs inside a component would not change the result.
 
     N-grams that may be in over `hot` documents are dealt over several groups,
-    whose leaders are paired, and which step 4 crosses tile by tile.
+    whose leaders are paired; step 4 takes them together again, in blocks.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -364,15 +395,14 @@ def jaccard_components(
     found = cut_lineage(spread.groupBy("bucket").applyInArrow(_bucket_join(percent), _FOUND))
     pairs = found.where("kind = 'pair'").select("a", "b")
     leaders = found.where("kind = 'leader'").select("token", "a")
-    heads = leaders.groupBy("token").agg(F.min("a").alias("head"))
+    heads = cut_lineage(leaders.groupBy("token").agg(F.min("a").alias("head")))
     led = leaders.join(heads, "token").where("a > head").select(F.col("head").alias("a"), F.col("a").alias("b"))
     pairs = cut_lineage(pairs.unionByName(led).distinct())
     links = cut_lineage(_verify(named, pairs, size, percent))
     comps = cut_lineage(components(links))
-    rest = _unsettled(found.where("kind = 'group'").select("same", "token", "salt", "shares", "members", "sizes"), comps, percent)
-    rest = cut_lineage(rest.join(pairs, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        more = cut_lineage(_verify(named, rest, size, percent))
+    open_groups = found.where("kind = 'group'").select("same", "token", "shares", "members")
+    more = cut_lineage(_unsettled_links(named, open_groups, heads, comps, size, percent))
+    if more.limit(1).count():
         comps = cut_lineage(components(links.unionByName(more)))
     firsts = rows.where("_doc is not null and n > 0").groupBy("s1", "s2").agg(F.min("_doc").alias("id"))
     labels = firsts.join(comps, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))

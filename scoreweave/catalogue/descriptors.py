@@ -39,11 +39,10 @@ def mf_basic(spark, folder):
 @register(f"""
     WITH {raw_sql()}, flat AS (SELECT dataset_name, unnest(range(len(features))) AS feature, unnest(features) AS v FROM raw),
     per AS (SELECT dataset_name, feature, stddev_pop(v) / (avg(v) + 1e-10::DOUBLE) AS cv FROM flat GROUP BY ALL)
-    SELECT dataset_name, {r('avg(cv)', 3)} AS coeff_variation FROM per WHERE dataset_name <> 'emb_class' GROUP BY dataset_name""")
+    SELECT dataset_name, {r('avg(cv)', 3)} AS coeff_variation FROM per GROUP BY dataset_name""")
 def mf_coeff_variation(spark, folder):
     """On unscaled columns: the ratio is ill-conditioned where means are near zero."""
-    specs = [s for s in ALL if s.vector is None]
-    matrix = load_matrices(spark, folder, specs).union()
+    matrix = load_matrices(spark, folder, ALL).union()
     out = p.summarise(p.column_profile(matrix, ["dataset_name"]), ["dataset_name"])
     return rounded(out.select("dataset_name", "coeff_variation"), 3)
 

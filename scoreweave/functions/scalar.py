@@ -51,11 +51,6 @@ def mean_or_zero(value: Column) -> Column:
     return F.when(F.bool_or(missing), F.lit(0.0)).otherwise(F.avg(value))
 
 
-def entropy_term(probability: Column) -> Column:
-    """``-p ln p`` with the limit 0 at ``p = 0``."""
-    return F.when(probability > 0, -probability * F.ln(probability)).otherwise(F.lit(0.0))
-
-
 def edge_bin(value: Column, low: Column, high: Column, bins: int = HISTOGRAM_BINS) -> Column:
     """0-based equal-width bin, found by comparing with the explicit edges.
 
@@ -84,11 +79,6 @@ def flatten_image(rows: Column) -> Column:
     return F.flatten(rows)
 
 
-def array_mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    return F.try_divide(total, F.size(values).cast("double"))
-
-
 def binary_search(sorted_values: Column, value: Column, steps: int) -> Column:
     """How many of ``2**steps - 1`` ascending values lie strictly below ``value``."""
     jumps = F.array(*[F.lit(1 << s) for s in reversed(range(steps))])

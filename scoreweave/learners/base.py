@@ -41,11 +41,11 @@ class SparkModel:
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        _save_note(rows_session(self), path, {"kind": type(self.model).__module__ + "." + type(self.model).__name__,
+        _save_note(rows_session(), path, {"kind": type(self.model).__module__ + "." + type(self.model).__name__,
                                               "classifier": self.classifier})
 
 
-def rows_session(_owner=None):
+def rows_session():
     from pyspark.sql import SparkSession
 
     return SparkSession.getActiveSession()

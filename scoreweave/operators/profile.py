@@ -19,7 +19,6 @@ from scoreweave.functions.scalar import (
     EPSILON,
     HISTOGRAM_BINS,
     edge_bin,
-    entropy_term,
     guarded_ratio,
     mean_or_zero,
 )

@@ -42,7 +42,7 @@ def item_windows(items: DataFrame, size: int, item_col: str, text_col: str) -> D
 
 
 def contained_windows(docs: DataFrame, items: DataFrame, size: int = WINDOW, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """(_h1, _h2, hits) per distinct text with candidates: where in its words which window may lie.
+    """(_h1, _h2, _found) per distinct text with candidates: where in its words which window may lie.
 
     Words are ordered by the number of documents they are in. A window lies in
     a document only if its rarest word does, so that word is its whole prefix;
@@ -69,7 +69,7 @@ def contained_windows(docs: DataFrame, items: DataFrame, size: int = WINDOW, tex
         .select("_h1", "_h2", (F.col("pos") - F.col("at")).alias("start"), "window", "items")
         .distinct()
     )
-    return found.groupBy("_h1", "_h2").agg(F.collect_list(F.struct("start", "window", "items")).alias("hits"))
+    return found.groupBy("_h1", "_h2").agg(F.collect_list(F.struct("start", "window", "items")).alias("_found"))
 
 
 def decontaminate(
@@ -89,11 +89,13 @@ def decontaminate(
     candidates = cut_lineage(contained_windows(docs, items, size, text_col, item_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*keep, F.xxhash64(text).alias("_h1"), F.hash(text).alias("_h2"))
-    joined = rows.join(candidates, ["_h1", "_h2"], "left").withColumn("_w", words(F.col(text_col)))
+    joined = rows.join(candidates, ["_h1", "_h2"], "left")
+    # A generated column stays one: a projected one may be moved into the lambda below and split the text for every hit.
+    joined = joined.select("*", F.explode(F.array(words(F.col(text_col)))).alias("_w"))
     sure = joined.withColumn(
         "_hits",
         F.filter(
-            F.coalesce("hits", F.array().cast(candidates.schema["hits"].dataType)),
+            F.coalesce("_found", F.array().cast(candidates.schema["_found"].dataType)),
             lambda h: F.slice(F.col("_w"), h["start"] + 1, F.size(h["window"])) == h["window"],
         ),
     )

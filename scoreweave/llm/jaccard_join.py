@@ -12,6 +12,7 @@ from pyspark.taskcontext import TaskContext
 
 from scoreweave.llm import query
 from scoreweave.llm.components import components
+from scoreweave.llm.storage import bounded
 from scoreweave.llm.words import Run, mix, runs, signed, span_hashes
 from scoreweave.session import cut_lineage
 
@@ -19,8 +20,9 @@ from scoreweave.session import cut_lineage
 SHINGLE, PERCENT = 5, 75
 #: The frequency order reads a table of 2**SKETCH_BITS counters, whatever the corpus.
 SKETCH_BITS, BLOCK = 20, 1 << 14
-#: Postings of a join task, about; documents of one n-gram in a task; texts verified together; partial tables summed together.
-BUCKET, HOT, TOGETHER, FAN_IN = 200_000, 100_000, 128, 256
+#: Postings of a join task, about; documents of one n-gram in a task; texts verified together; documents of a block;
+#: partial tables summed together.
+BUCKET, HOT, TOGETHER, BLOCK_DOCS, FAN_IN = 200_000, 100_000, 64, 256, 256
 _BASE = 0xA0761D6478BD642F
 
 
@@ -262,14 +264,19 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of `wanted` with their documents' texts; others' texts stay where they are while the list of ids is small."""
+    named = texts.withColumnRenamed("_doc", "doc")
+    return named.join(bounded(wanted.select("doc").distinct()), "doc", "left_semi").join(wanted, "doc")
+
+
 def _verify(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links among distinct pairs. A text travels once by its id and once per pair; a leader's once per TOGETHER partners."""
     counts = cut_lineage(pairs.groupBy("a").agg(F.count("*").alias("k")))
     dealt = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / TOGETHER)))
     dealt = cut_lineage(dealt.select("a", "b", "part"))
     roles = dealt.select(F.col("b").alias("doc"), "a", "part").unionByName(dealt.select(F.col("a").alias("doc"), "a", "part").distinct())
-    carried = texts.withColumnRenamed("_doc", "doc").join(roles, "doc").select("a", "part", "doc", "text")
-    return carried.groupBy("a", "part").applyInArrow(_verified(size, percent), "a long, b long")
+    return _texts_of(texts, roles).select("a", "part", "doc", "text").groupBy("a", "part").applyInArrow(_verified(size, percent), "a long, b long")
 
 
 def _crossed(size: int, percent: int):
@@ -310,41 +317,35 @@ def _crossed(size: int, percent: int):
     return each
 
 
-def _unsettled_links(texts: DataFrame, groups: DataFrame, heads: DataFrame, comps: DataFrame, size: int, percent: int) -> DataFrame:
+def _unsettled_links(texts: DataFrame, groups: DataFrame, comps: DataFrame, size: int, percent: int) -> DataFrame:
     """Links across components within n-gram groups that still lie in several.
 
-    Open groups are gathered by their smallest document. Its family splits
-    into those in its component and the others, both dealt into blocks of
-    TOGETHER documents; a block of others meets every block of the family in a
-    tile. A text travels once per tile and no pair is ever a row.
+    Open groups are gathered by the component most of their documents are in.
+    Such a family splits into that component and the others, both dealt into
+    blocks of BLOCK_DOCS documents; a block of others meets every block of the
+    family in a tile. A text travels once per tile and no pair is ever a row.
     """
     one = groups.groupBy("same").agg(F.first(F.struct("token", "shares", "members")).alias("g")).select("same", "g.*")
+    # Groups of one dealt n-gram are one.
     wide = F.col("shares") > 1
-    led = one.join(heads, (one["token"] == heads["token"]) & wide, "left").select(
-        "same", F.when(wide, one["token"]).alias("wide"), F.coalesce(F.when(wide, F.col("head")), F.col("members")[0]).alias("leader"), "members"
-    )
-    members = led.select("same", "wide", "leader", F.explode("members").alias("id"))
+    members = one.select(F.when(wide, F.col("token")).otherwise(F.col("same")).alias("key"), wide.alias("dealt"), F.explode("members").alias("id"))
     labelled = cut_lineage(members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    # Groups of one dealt n-gram are open together.
-    key = F.coalesce("wide", "same").alias("key"), F.col("wide").isNotNull().alias("dealt")
-    keyed = labelled.select(*key, "leader", "id", "component")
-    mixed = cut_lineage(keyed.groupBy("key", "dealt").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key", "dealt"))
-    family = cut_lineage(keyed.join(mixed, ["key", "dealt"]).select("leader", "id", "component").distinct())
-    own = comps.select(F.col("id").alias("leader"), F.col("component").alias("home"))
-    placed = family.join(own, "leader", "left").withColumn("outside", F.col("component") != F.coalesce("home", "leader")).drop("home")
-    counts = cut_lineage(placed.groupBy("leader").agg(
-        F.ceil(F.count_if("outside") / TOGETHER).cast("int").alias("outer"), F.ceil(F.count_if(~F.col("outside")) / TOGETHER).cast("int").alias("inner")
-    ).where("outer > 0"))
-    # Blocks of others are 0, 1, ..; blocks of the leader's component follow them.
+    parts = labelled.groupBy("key", "dealt", "component").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("key", "dealt").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("top")).where("kinds > 1")
+    homes = cut_lineage(open_.select("key", "dealt", F.col("top.component").alias("home")))
+    placed = cut_lineage(labelled.join(homes, ["key", "dealt"]).select("home", "id", "component").distinct()).withColumn("outside", F.col("component") != F.col("home"))
+    counts = cut_lineage(placed.groupBy("home").agg(
+        F.ceil(F.count_if("outside") / BLOCK_DOCS).cast("int").alias("outer"), F.ceil(F.count_if(~F.col("outside")) / BLOCK_DOCS).cast("int").alias("inner")
+    ))
+    # Blocks of others are 0, 1, ..; blocks of the home component follow them.
     block = F.when(F.col("outside"), F.expr("pmod(xxhash64(id), outer)")).otherwise(F.expr("outer + pmod(xxhash64(id), greatest(inner, 1))")).cast("int")
-    dealt = placed.join(counts, "leader").withColumn("block", block)
+    dealt = placed.join(counts, "home").withColumn("block", block)
     partners = F.when(F.col("outside"), F.expr("sequence(0, outer + inner - 1)")).otherwise(F.expr("sequence(0, outer - 1)"))
     tiles = dealt.withColumn("other", F.explode(partners)).select(
-        F.col("id").alias("doc"), "leader", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+        F.col("id").alias("doc"), "home", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     )
     tiles = cut_lineage(tiles)
-    carried = texts.withColumnRenamed("_doc", "doc").join(tiles, "doc")
-    return carried.groupBy("leader", "lo", "hi").applyInArrow(_crossed(size, percent), "a long, b long")
+    return _texts_of(texts, tiles).groupBy("home", "lo", "hi").applyInArrow(_crossed(size, percent), "a long, b long")
 
 
 def jaccard_components(
@@ -395,13 +396,13 @@ def jaccard_components(
     found = cut_lineage(spread.groupBy("bucket").applyInArrow(_bucket_join(percent), _FOUND))
     pairs = found.where("kind = 'pair'").select("a", "b")
     leaders = found.where("kind = 'leader'").select("token", "a")
-    heads = cut_lineage(leaders.groupBy("token").agg(F.min("a").alias("head")))
+    heads = leaders.groupBy("token").agg(F.min("a").alias("head"))
     led = leaders.join(heads, "token").where("a > head").select(F.col("head").alias("a"), F.col("a").alias("b"))
     pairs = cut_lineage(pairs.unionByName(led).distinct())
     links = cut_lineage(_verify(named, pairs, size, percent))
     comps = cut_lineage(components(links))
     open_groups = found.where("kind = 'group'").select("same", "token", "shares", "members")
-    more = cut_lineage(_unsettled_links(named, open_groups, heads, comps, size, percent))
+    more = cut_lineage(_unsettled_links(named, open_groups, comps, size, percent))
     if more.limit(1).count():
         comps = cut_lineage(components(links.unionByName(more)))
     firsts = rows.where("_doc is not null and n > 0").groupBy("s1", "s2").agg(F.min("_doc").alias("id"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreweave.catalogue import register
@@ -20,7 +23,7 @@ from scoreweave.operators import mutual_info as mi
 from scoreweave.operators import profile as p
 from scoreweave.plans.prepare import load_matrices
 from scoreweave.plans.record import full_record
-from scoreweave.sources.registry import ALL
+from scoreweave.sources.registry import ALL, REGRESSION
 
 _PER_FEATURE = """per_feature AS (SELECT dataset_name, split, feature, count(*) AS n, avg(value) AS mean,
     var_pop(value) AS variance, min(value) AS low, max(value) AS high FROM cells GROUP BY ALL)"""
@@ -309,16 +312,22 @@ def px_class_stats(spark, folder):
     return rounded(b.class_stats(labelled).join(b.normal_features(p.column_profile(matrix)), list(p.KEYS)), 6)
 
 
+def _per_classified(spark, folder, measure):
+    """The measures of every classification dataset, one after the other, as each trains learners."""
+    matrix = shared_prepared(spark, folder)
+    names = [s.name for s in ALL if s.task != REGRESSION]
+    parts = [measure(matrix.filter(F.col("dataset_name") == n)).select(F.lit(n).alias("dataset_name"), "*") for n in names]
+    return rounded(reduce(DataFrame.unionByName, parts), 6)
+
+
 @register()
 def px_tree(spark, folder):
-    rows = shared_prepared(spark, folder).filter("dataset_name = 'doc_quality'")
-    return rounded(tree_shape(rows), 6)
+    return _per_classified(spark, folder, tree_shape)
 
 
 @register()
 def px_landmarks(spark, folder):
-    rows = shared_prepared(spark, folder).filter("dataset_name = 'doc_quality'")
-    return rounded(landmark_summary(landmarks(rows, folds=2)), 6)
+    return _per_classified(spark, folder, lambda rows: landmark_summary(landmarks(rows)))
 
 
 @register()

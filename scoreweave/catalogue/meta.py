@@ -16,9 +16,11 @@ from scoreweave.catalogue.common import cells_sql, r, rounded, shared_prepared
 from scoreweave.functions.hashing import prefix
 from scoreweave.operators import metrics, profile
 from scoreweave.plans import meta, reports
+from scoreweave.plans.record import full_record
 from scoreweave.session import ensure_checkpoint_dir
 from scoreweave.sources import readers
 from scoreweave.sources.readers import table
+from scoreweave.sources.registry import BINARY, REGRESSION
 from scoreweave.sources.sinks import RunLog, write_table
 
 _BINARY_SETS = ("line_status", "doc_quality")
@@ -247,21 +249,24 @@ def union_predictions(spark, folder):
     return rounded(reports.union_predictions(*sides), 6)
 
 
-_SMALL = {"n_estimators": [5, 10], "max_depth": [2, 3], "learning_rate": [0.1, 0.2]}
+def _full_meta(spark, folder, names, scores):
+    """The whole meta-feature record of the held-out splits beside their scores."""
+    matrix = shared_prepared(spark, folder).filter(F.col("dataset_name").isin(*names) & (F.col("split") != "train"))
+    return meta.meta_dataset(full_record(matrix), scores)
 
 
 @register()
 def meta_search(spark, folder):
-    ready = meta.meta_prepare(_binary_meta(spark, folder), "binary")
+    ready = meta.meta_prepare(_full_meta(spark, folder, _BINARY_SETS, _binary_scores(spark, folder)), BINARY)
     train = ready.rows.filter("split = 'val'").select("row_id", "features", F.col("accuracy_target").alias("label"))
-    return meta.search(train, None, "xgb", _SMALL, n_iter=3, folds=2).trials
+    n_iter, folds = meta.SEARCH[BINARY]
+    return meta.search(train, None, "xgb", meta.spaces(BINARY)["xgb"], n_iter, folds).trials
 
 
 @register()
 def meta_predict(spark, folder):
-    ready = meta.meta_prepare(_value_meta(spark, folder), "regression")
-    models = meta.train_meta_models(ready, "regression", n_iter=1, folds=2, space=_SMALL)
-    return meta.predict_scores(ready, models, "regression")
+    ready = meta.meta_prepare(_full_meta(spark, folder, _VALUE_SETS, _value_scores(spark, folder)), REGRESSION)
+    return meta.predict_scores(ready, meta.train_meta_models(ready, REGRESSION), REGRESSION)
 
 
 # Trials of a search whose errors are known: the price of parts by size, as (setting, fold) errors.

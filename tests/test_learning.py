@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scoreweave.learners.base import load_spark_model
 from scoreweave.learners.custom import Unfittable
@@ -78,3 +79,50 @@ def test_nothing_loads(spark):
     broken = registry.Spec("x", "binary", lambda s, d: s.read.parquet(d + "/absent"), "y")
     with pytest.raises(registry.NoDatasets):
         registry.open_all(spark, "/nowhere", [broken])
+
+
+def test_tree_grows_past_five_levels(spark, matrix):
+    from scoreweave.learners.landmarks import tree_shape
+
+    x = [[float(i % 24), 0.0] for i in range(240)]
+    shape = tree_shape(matrix(x, [i % 24 % 2 for i in range(240)])).first()
+    assert (shape["leaves"], shape["nodes"]) == (24, 23) and abs(shape["leaves_corrob_mean"] - 1 / 24) < 1e-9
+
+
+def test_discriminant_equals_numpy(spark, matrix):
+    from scoreweave.learners.landmarks import Discriminant
+
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 3, 400)
+    x = rng.normal(size=(400, 4)) @ rng.normal(size=(4, 4)) + y[:, None]
+    model = Discriminant().fit(matrix(x, y, "multiclass"))
+    pooled = sum((x[y == k] - x[y == k].mean(0)).T @ (x[y == k] - x[y == k].mean(0)) for k in range(3)) / 397
+    for k, (label, w, b) in enumerate(model.classes):
+        want = np.linalg.pinv(pooled) @ x[y == k].mean(0)
+        assert label == k and np.allclose(w, want) and np.isclose(b, np.log((y == k).mean()) - 0.5 * want @ x[y == k].mean(0))
+
+
+def test_registered_learning_is_the_whole_job(spark, monkeypatch):
+    """Ten folds of every classification dataset, and the searches with their own budget, space and meta-features."""
+    from scoreweave.catalogue import descriptors
+    from scoreweave.catalogue import meta as catalogue
+
+    folder, seen = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(descriptors, "landmarks", lambda rows, **k: seen.append(k) or spark.createDataFrame([("one_nn", 0, 1.0)], "landmark string, fold int, accuracy double"))
+    names = {r["dataset_name"] for r in descriptors.px_landmarks(spark, folder).collect()}
+    assert names == {s.name for s in registry.ALL if s.task != "regression"} and seen == [{}] * len(names)
+
+    searches = []
+
+    def search(train, test, family, space, n_iter=50, folds=5, **_):
+        searches.append((family, space, n_iter, folds, len(train.first()["features"])))
+        return meta.Searched(None, None, None, None, spark.range(1))
+
+    record = lambda matrix: matrix.groupBy("dataset_name", "split").agg(*[F.avg(F.lit(i)).alias(f"f{i}") for i in range(60)])
+    monkeypatch.setattr(meta, "search", search)
+    monkeypatch.setattr(catalogue, "full_record", record, raising=False)
+    catalogue.meta_search(spark, folder)
+    catalogue.meta_predict(spark, folder)
+    assert len(searches) == 5
+    for family, space, n_iter, folds, width in searches:
+        assert (family, space, n_iter, folds) == ("xgb", meta.WIDE_SPACES["xgb"], 50, 5) and width > 50

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreweave.llm import query
@@ -195,25 +195,34 @@ def _draw(key: bytes):
     return each
 
 
+def _form(kind: Column, canonical: Column) -> Column:
+    """What a reader sees of a canonical form: names without gender and script, in one case; digits without the country."""
+    name = F.translate(F.lower(F.regexp_replace(canonical, "^[^:]*:[^:]*:", "")), "ς", "σ")
+    return F.when(kind.isin("name", "given"), name).when(kind == "phone", F.regexp_replace(canonical, "^.*:", "")).otherwise(canonical)
+
+
 def assign_surrogates(entities: DataFrame, key: bytes = DEMO_KEY, rounds: int = ROUNDS) -> DataFrame:
     """(kind, canonical, attempt, drawn): distinct entities with surrogates no two of them share, none of them an entity itself.
 
-    All draw at once; of those that drew the same, the first keeps it and the
-    others draw again, until all are settled. Every round is a join of keys.
+    All draw at once; of those that drew what reads the same, the first keeps
+    it and the others draw again, until all are settled. Every round is a join
+    of keys.
     """
     known = cut_lineage(entities.select("kind", "canonical").distinct())
+    taken = cut_lineage(known.select("kind", _form(F.col("kind"), F.col("canonical")).alias("form")).distinct())
     settled, open_ = None, known.withColumn("attempt", F.lit(0))
     for _ in range(rounds):
-        drawn = cut_lineage(open_.mapInArrow(_draw(key), "kind string, canonical string, attempt int, drawn string"))
-        firsts = drawn.groupBy("kind", "drawn").agg(F.min("canonical").alias("canonical"))
-        free = firsts.join(known.select("kind", F.col("canonical").alias("drawn")), ["kind", "drawn"], "left_anti")
+        drawn = open_.mapInArrow(_draw(key), "kind string, canonical string, attempt int, drawn string")
+        drawn = cut_lineage(drawn.withColumn("form", _form(F.col("kind"), F.col("drawn"))))
+        firsts = drawn.groupBy("kind", "form").agg(F.min("canonical").alias("canonical"))
+        free = firsts.join(taken, ["kind", "form"], "left_anti")
         if settled is not None:
-            free = free.join(settled, ["kind", "drawn"], "left_anti")
-        kept = cut_lineage(drawn.join(free, ["kind", "drawn", "canonical"]).select(drawn.columns))
+            free = free.join(settled, ["kind", "form"], "left_anti")
+        kept = cut_lineage(drawn.join(free, ["kind", "form", "canonical"]).select(drawn.columns))
         settled = kept if settled is None else settled.unionByName(kept)
         open_ = drawn.join(kept.select("kind", "canonical"), ["kind", "canonical"], "left_anti").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt"))
         if not open_.limit(1).count():
-            return settled
+            return settled.drop("form")
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 

@@ -122,6 +122,16 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(first)) < 1500 and len({r["drawn"] for r in got}) == len(got) == 1500
 
 
+def test_surrogates_of_mixed_genders_stay_distinct(spark):
+    """Latin names of all genders share their endings; none may read like another or like a known name."""
+    names = spark.createDataFrame([("name", f"{g}:latin:n{i}") for g in "mfn" for i in range(300)], "kind string, canonical string")
+    got = assign_surrogates(names).collect()
+    assert len(got) == 900 and len({r["drawn"].split(":", 2)[2].casefold() for r in got}) == 900
+    taken = surrogate(DEMO_KEY, "name", "m:latin:n0").split(":", 2)[2]
+    known = spark.createDataFrame([("name", "m:latin:n0"), ("name", f"f:latin:{taken}")], "kind string, canonical string")
+    assert taken not in {r["drawn"].split(":", 2)[2] for r in assign_surrogates(known).collect()}
+
+
 def test_surrogates_drawn_again_are_used(spark):
     from scoreweave.llm.surrogates import STARTS
 

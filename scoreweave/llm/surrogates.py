@@ -29,7 +29,12 @@ STARTS = {"latin": "ba be da de fa ga ha ja ka la le li ma me mi na ne ra re ri
 GIVEN_ENDS = {("latin", "m"): "ron las ton vin mer rik".split(), ("latin", "f"): "na la ria sa nia ta".split(), ("latin", "n"): "ren lin kim ris".split(), ("cyrillic", "m"): "мир слав дан рий".split(), ("cyrillic", "f"): "на ра ля ния".split(), ("cyrillic", "n"): "ша ня".split(), ("greek", "m"): "νος ρης κος".split(), ("greek", "f"): "να ρα νη".split(), ("greek", "n"): "λι ρι".split()}
 FAMILY_ENDS = {("latin", "m"): "son man berg ley ford well".split(), ("cyrillic", "m"): "ов ин ский".split(), ("cyrillic", "f"): "ова ина ская".split(), ("greek", "m"): "δης ου κης".split()}
 
+TITLES |= {t.upper(): g for t, g in TITLES.items()}
+#: Country codes of telephone numbers; all others have three digits.
+COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3}")
+
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
+_NAME = r"[^\W\d_a-z][^\W\d_]+(?:-[^\W\d_a-z][^\W\d_]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: In order of precedence; each kind is one named group.
 ENTITIES = re.compile(
@@ -37,12 +42,14 @@ ENTITIES = re.compile(
     r"|(?i:\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b[ \t]*[:=][ \t]*[\"'])(?P<secret>[^\"'\s]{6,})(?=[\"'])"
     r"|\b(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b"
     rf"|(?<![\w.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?!\.?[0-9])"
-    r"|(?P<phone>\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))"
+    r"|(?P<phone>\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
+    r"|(?<![\w.-])(?:1(?:[ .-]|(?=\()))?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-]))"
     r"|(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"
     r"|(?<![\w.])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])"
-    rf"|\b(?P<title>{_TITLE})\b\.?[ ](?P<name>[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+)?)"
+    rf"|\b(?P<title>{_TITLE})\b\.?[ ](?P<name>{_NAME}(?:[ ]{_NAME})?)"
 )
 #: What any entity needs; most texts have none of it and skip the search.
+WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 TRIGGER = re.compile(rf"[0-9@]|[\"']|\b(?:{_TITLE})\b")
 
 
@@ -54,13 +61,59 @@ class Mention:
     canonical: str
     text: str
 
+    def entities(self) -> list[tuple[str, str]]:
+        """What has a surrogate of its own: of a name, the given and the family name."""
+        if self.kind != "name":
+            return [(self.kind, self.canonical)]
+        gender, script, said = self.canonical.split(":", 2)
+        *given, family = said.split(" ")
+        return [("given", f"{gender}:{script}:{g}") for g in given] + [("name", f"{_family_gender(gender, script, family)}:{script}:{family}")]
+
 
 def _script(text: str) -> str:
     return next((s for s, lo, hi in (("cyrillic", "\u0400", "\u04ff"), ("greek", "\u0370", "\u03ff")) if any(lo <= c <= hi for c in text)), "latin")
 
 
+def _family_gender(gender: str, script: str, family: str) -> str:
+    """Only Cyrillic family names show a gender; after a title of none it is read off the ending."""
+    if script != "cyrillic":
+        return "m"
+    return gender if gender != "n" else "f" if family.endswith(("а", "я")) else "m"
+
+
+def _name(gender: str, said: str) -> str:
+    """The canonical form of a name: case folded, with the title's gender where the form shows one."""
+    script, folded = _script(said), said.casefold()
+    return f"{gender if ' ' in said else _family_gender(gender, script, folded)}:{script}:{folded}"
+
+
+def _untitled(text: str, named: list[Mention]) -> list[Mention]:
+    """Mentions without a title of the family names in `named`, alone or after a given name they have there."""
+    families: dict[str, str] = {}
+    full: dict[str, str] = {}
+    for m in sorted(named, key=lambda m: (m.canonical[:2] == "n:", m.start)):
+        said = m.canonical.split(":", 2)[2]
+        families.setdefault(said.rpartition(" ")[2], m.entities()[-1][1])
+        if " " in said:
+            full.setdefault(said, m.canonical)
+    out, before = [], None
+    for w in WORD.finditer(text):
+        folded = w[0].casefold()
+        if folded in families:
+            at, canonical = w.start(), families[folded]
+            if before and before.end() + 1 == at and text[at - 1] == " ":
+                both = full.get(f"{before[0].casefold()} {folded}")
+                at, canonical = (before.start(), both) if both else (at, canonical)
+            out.append(Mention(at, w.end(), "name", canonical, text[at : w.end()]))
+        before = w
+    return out
+
+
 def find_entities(text: str) -> list[Mention]:
-    """Mentions in order. What differs only in spacing, punctuation or case has one canonical form, so it keeps one surrogate."""
+    """Mentions in order. What differs only in spacing, punctuation or case has one canonical form, so it keeps one surrogate.
+
+    A name found after a title is found without one too in the same text.
+    """
     if not text or not TRIGGER.search(text):
         return []
     out = []
@@ -68,21 +121,33 @@ def find_entities(text: str) -> list[Mention]:
         kind = "name" if m.lastgroup == "name" else next(k for k, v in m.groupdict().items() if v is not None)
         said = m.group(kind)
         if kind == "name":
-            if not said[0].isupper():
+            if not said[0].isupper() or (m["title"].isupper() and not said.isupper()):
                 continue
-            canonical = f"{TITLES[m['title']]}:{_script(said)}:{said}"
+            canonical = _name(TITLES[m["title"]], said)
         elif kind == "email":
             canonical = said.lower()
         elif kind in ("phone", "card", "ssn"):
             canonical = "".join(c for c in said if c.isdigit())
-            if kind == "phone" and said.startswith("+"):
-                canonical = f"+{re.match(r'.([0-9]{1,3})', said)[1]}:{canonical}"
+            if kind == "phone":
+                # A number without country code has the form of those of country 1.
+                canonical = canonical if said.startswith("+") or len(canonical) == 11 else f"1{canonical}"
+                canonical = f"+{COUNTRY.match(canonical)[0]}:{canonical}"
         elif kind == "iban":
             canonical = said.replace(" ", "")
         else:
             canonical = said
         out.append(Mention(*m.span(kind), kind, canonical, said))
-    return out
+    named = [m for m in out if m.kind == "name"]
+    if not named:
+        return out
+    # Both lists are in order; a mention that meets a found one is part of it.
+    free, at = [], 0
+    for m in _untitled(text, named):
+        while at < len(out) and out[at].end <= m.start:
+            at += 1
+        if at == len(out) or m.end <= out[at].start:
+            free.append(m)
+    return sorted(out + free, key=lambda m: m.start)
 
 
 class _Stream:
@@ -153,33 +218,34 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         private = re.match(r"10\.|192\.168\.|127\.", canonical)
         head = private[0] if private else ""
         return head + ".".join(str((1 if i == 0 and not head else 0) + draw.below(223)) for i in range(4 - head.count(".")))
-    if kind == "name":
+    if kind in ("name", "given"):
         gender, script, said = canonical.split(":", 2)
         starts = STARTS[script]
         # A syllable more every other draw: names cannot run out either.
         syllables = "".join(starts[draw.below(len(starts))] for _ in range(2 + attempt // 2))
         given = (starts[draw.below(len(starts))], GIVEN_ENDS[script, gender])
         family = (syllables, FAMILY_ENDS.get((script, gender), FAMILY_ENDS[script, "m"]))
-        parts = [given, family] if re.search(r"[ -]", said) else [family]
+        parts = [(syllables, GIVEN_ENDS[script, gender])] if kind == "given" else [given, family] if " " in said else [family]
         words = [(a + e[draw.below(len(e))]).capitalize() for a, e in parts]
         return f"{gender}:{script}:{' '.join(words)}"
     return draw.shaped(canonical)
 
 
-def rendered(mention: Mention, chosen: str) -> str:
-    """A surrogate in the format of one mention."""
+def rendered(mention: Mention, chosen: list[str]) -> str:
+    """The surrogates of a mention's entities in its format."""
     if mention.kind in ("phone", "card", "ssn", "iban"):
-        digits = iter(chosen.rpartition(":")[2])
+        drawn, n = chosen[0].rpartition(":")[2], sum(c.isalnum() for c in mention.text)
+        digits = iter(drawn[len(drawn) - n :])
         return "".join(next(digits) if c.isalnum() else c for c in mention.text)
     if mention.kind == "name":
-        said = chosen.split(":", 2)[2]
-        return said.upper() if mention.text.isupper() else said
-    return chosen.upper() if mention.kind == "email" and mention.text.isupper() else chosen
+        words = zip(mention.text.split(" "), (c.split(":", 2)[2] for c in chosen), strict=True)
+        return " ".join(new.upper() if old.isupper() else new for old, new in words)
+    return chosen[0].upper() if mention.kind == "email" and mention.text.isupper() else chosen[0]
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        rows = {(m.kind, m.canonical) for text in batch["text"].to_pylist() for m in find_entities(text)}
+        rows = {e for text in batch["text"].to_pylist() for m in find_entities(text) for e in m.entities()}
         if rows:
             kinds, forms = zip(*sorted(rows), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(forms)], ["kind", "canonical"])
@@ -231,18 +297,32 @@ def _redrawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         rows = []
         for h1, h2, text in zip(*(batch[c].to_pylist() for c in ("_h1", "_h2", "text")), strict=True):
-            rows += [(h1, h2, *m) for m in {(m.kind, m.canonical) for m in find_entities(text)}]
+            rows += [(h1, h2, *e) for e in {e for m in find_entities(text) for e in m.entities()}]
         if rows:
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["_h1", "_h2", "kind", "canonical"])
 
 
+def _looked_up(assigned: DataFrame) -> DataFrame:
+    """(kind, canonical, drawn) of entities that a task cannot draw by itself.
+
+    These are those drawn again, and given names after a title of no gender
+    that some text has after one of a gender: the person keeps that surrogate.
+    """
+    said = F.regexp_replace("canonical", "^[^:]*:", "")
+    given = cut_lineage(assigned.where("kind = 'given'").select("canonical", "drawn", said.alias("said")))
+    twins = given.where("canonical not like 'n:%'").groupBy("said").agg(F.min_by("drawn", "canonical").alias("drawn"))
+    twins = cut_lineage(given.where("canonical like 'n:%'").drop("drawn").join(twins, "said").select(F.lit("given").alias("kind"), "canonical", "drawn"))
+    return assigned.where("attempt > 0").select("kind", "canonical", "drawn").join(twins, ["kind", "canonical"], "left_anti").unionByName(twins)
+
+
 def replace_personal_data(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
     """`docs` with `text_col` rewritten and `count_col`, the number of mentions replaced; all columns and rows stay.
 
     E-mail addresses, secrets in quotes after their name, IBANs, IPv4
     addresses, phone numbers, social security numbers, card numbers and names
-    after a title are replaced. The same entity gets the same surrogate in
+    after a title are replaced, and those names without one in the same text.
+    Given and family names have surrogates of their own. The same entity gets the same surrogate in
     every document and format, different ones get different ones. A surrogate
     keeps country code, top domain, Luhn and check-digit validity, letter case,
     separators, script and gender. Null texts stay null. A column already
@@ -253,7 +333,8 @@ def replace_personal_data(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     entities = texts.mapInArrow(_entities, "kind string, canonical string")
-    again = cut_lineage(assign_surrogates(entities, key).where("attempt > 0").select("kind", "canonical", "drawn"))
+    assigned = assign_surrogates(entities, key)
+    again = cut_lineage(_looked_up(assigned))
     hashes = {"_h1": F.xxhash64("text"), "_h2": F.hash("text")}
     keep = [c for c in docs.columns if c.lower() != count_col.lower()]
     # No mention is listed at all when nothing was drawn again.
@@ -273,7 +354,7 @@ def replace_personal_data(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str
             for text, redrawn in zip(batch["_text"].to_pylist(), batch["_again"].to_pylist(), strict=True):
                 known, found, parts, at = dict(redrawn or ()), find_entities(text), [], 0
                 for m in found:
-                    chosen = known.get(f"{m.kind}\0{m.canonical}") or surrogate(key, m.kind, m.canonical)
+                    chosen = [known.get("\0".join(e)) or surrogate(key, *e) for e in m.entities()]
                     parts += [text[at : m.start], rendered(m, chosen)]
                     at = m.end
                 texts.append("".join(parts) + text[at:] if found else text)

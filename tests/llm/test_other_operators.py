@@ -132,6 +132,22 @@ def test_surrogates_of_mixed_genders_stay_distinct(spark):
     assert taken not in {r["drawn"].split(":", 2)[2] for r in assign_surrogates(known).collect()}
 
 
+def test_surrogates_of_one_person_and_number(spark):
+    texts = [
+        "Mr John Smith met Dr Smith; MR SMITH and Mr SMITH left. John Smith stayed, Smith too, SMITHS and smith not. Dr John Smith; Mrs Jones-Brown.",
+        "Dr John Smith called +15551234567, +1 555 123 4567, 1-800-555-1234, 555 123 4567, (555) 123-4567, +4930123456 and +49 30 123456.",
+    ]
+    got = [r["text"] for r in replace_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    given, family = got[0].split()[1:3]
+    assert (given, family) != ("John", "Smith") and family.istitle() and "-" not in got[0]
+    last = got[0].split()[-1]
+    assert got[0] == f"Mr {given} {family} met Dr {family}; MR {family.upper()} and Mr {family.upper()} left. {given} {family} stayed, {family} too, SMITHS and smith not. Dr {given} {family}; Mrs {last}"
+    assert got[1].startswith(f"Dr {given} {family} called ")
+    numbers = ["".join(c for c in m.text if c.isdigit()) for m in find_entities(got[1]) if m.kind == "phone"]
+    assert len(numbers) == 7 and numbers[0] == numbers[1] == "1" + numbers[3] == "1" + numbers[4] and numbers[5] == numbers[6]
+    assert numbers[2][0] == "1" and not any(n in got[1] for n in ("800-555", "555 123", "5551234567", "123456"))
+
+
 def test_surrogates_drawn_again_are_used(spark):
     from scoreweave.llm.surrogates import STARTS
 

@@ -217,6 +217,8 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     if kind == "ip":
         private = re.match(r"10\.|192\.168\.|127\.", canonical)
         head = private[0] if private else ""
+        if head == "192.168." and attempt > 3:
+            head = "10."  # the larger private range, so that addresses cannot run out
         return head + ".".join(str((1 if i == 0 and not head else 0) + draw.below(223)) for i in range(4 - head.count(".")))
     if kind in ("name", "given"):
         gender, script, said = canonical.split(":", 2)

@@ -148,6 +148,12 @@ def test_surrogates_of_one_person_and_number(spark):
     assert numbers[2][0] == "1" and not any(n in got[1] for n in ("800-555", "555 123", "5551234567", "123456"))
 
 
+def test_private_addresses_do_not_run_out(spark):
+    rows = [("ip", f"192.168.{i // 256}.{i % 256}") for i in range(1 << 16)]
+    got = [r["drawn"] for r in assign_surrogates(spark.createDataFrame(rows, "kind string, canonical string")).collect()]
+    assert len(set(got)) == 1 << 16 and all(d.startswith("10.") for d in got)
+
+
 def test_surrogates_drawn_again_are_used(spark):
     from scoreweave.llm.surrogates import STARTS
 

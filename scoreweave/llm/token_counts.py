@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from scoreweave.llm.pretokens import Memo, Splitter
 from scoreweave.llm.words import pieces, text_buffer
 
 END = "</w>"
+#: Bytes of the longest pre-token whose prefixes are kept as states.
+SHORT = 128
 
 
 def byte_symbols() -> list[str]:
@@ -80,30 +82,42 @@ class Transducer:
                 self.pairs = {key: known}
         return known
 
-    def _move(self, prefix: str, end: bool) -> tuple[str, int]:
-        """Last token and token count of a prefix, from the states of shorter ones."""
-        n, known = len(prefix), self.ends if end else self.plain
+    def _move(self, word: str, n: int, end: bool, state: Callable[[int], tuple[str, int]]) -> tuple[str, int]:
+        """Last token and token count of the first n symbols, from the states of shorter prefixes."""
+        known = self.ends if end else self.plain
         for size in range(min(n, self.longest), 0, -1):
-            last = prefix[n - size :]
+            last = word[n - size : n]
             if last in known:
-                before, count = self.moves[prefix[: n - size]]
+                before, count = state(n - size)
                 if not before or self._fits(before, last, end):
                     return last, count + 1
-        raise ValueError(f"no token for {prefix!r}")
+        raise ValueError(f"no token for {word[max(0, n - self.longest) : n]!r}")
+
+    def _count_long(self, word: str) -> int:
+        """Tokens of a pre-token of any length, with the states of its last positions alone."""
+        width = self.longest + 1
+        ring = [("", 0)] * width
+        state = lambda i: ring[i % width]
+        for i in range(1, len(word)):
+            ring[i % width] = self._move(word, i, False, state)
+        return self._move(word, len(word), True, state)[1]
 
     def count(self, word: str) -> int:
         """Tokens of one pre-token given as byte symbols."""
+        n = len(word)
+        if n > SHORT:
+            return self._count_long(word)
         moves = self.moves
         if len(moves) > self.limit:
             self._clear()
             moves = self.moves
-        n = len(word)
+        state = lambda i: moves[word[:i]]
         known = n - 1
         while word[:known] not in moves:
             known -= 1
         for i in range(known + 1, n):
-            moves[word[:i]] = self._move(word[:i], False)
-        return self._move(word, True)[1]
+            moves[word[:i]] = self._move(word, i, False, state)
+        return self._move(word, n, True, state)[1]
 
     def counts(self, words: list[str]) -> np.ndarray:
         table = self.symbols

@@ -73,6 +73,18 @@ def test_token_counts(spark):
     assert token_counts(frame(spark, []), PATH).count() == 0
 
 
+def test_token_counts_of_a_long_word_keep_few_states():
+    from tokenizers import Tokenizer
+
+    from scoreweave.llm.token_counts import SHORT, Counter
+
+    library, r = Tokenizer.from_file(PATH), random.Random(8)
+    texts = ["".join(r.choice("acgt") for _ in range(20_000)), "=" * 5000, "x" * SHORT, "y" * (SHORT + 1), "ab" * 100]
+    counter = Counter(PATH)
+    assert counter(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert sum(map(len, counter.machine.moves)) < 100_000
+
+
 def similar_texts():
     r = random.Random(4)
     base = [[r.choice("abcdefghij") for _ in range(60)] for _ in range(6)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreweave.llm import query
@@ -14,6 +14,9 @@ QUOTED = r"^((?:[ ]?>)+)[ ]?"
 #: Stretches of quoted lines, with a line before them that says who wrote.
 STRETCH = r"(?m)(?:^[^\n>]{0,300}(?:wrote|schrieb|a écrit|escribió):[ \t]*\n)?(?:^[ ]?>[^\n]*(?:\n|\z))+"
 
+#: Between two sentences.
+SENTENCE = r"(?<=[.!?…])\s+|(?<=[。！？])"
+
 
 def normalised(text: Column) -> Column:
     """Lower case, blanks as one space, none at the ends."""
@@ -35,11 +38,21 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), F.length(text).alias("chars")]
 
 
+def _fine(text: Column) -> Column:
+    """(rank, par, unit) of each paragraph, as 1, and each of its sentences, as 2; both may be wrapped anew."""
+    pars = F.transform(F.split(text, r"\n\s*\n"), normalised)
+    unit = lambda rank, par, x: F.struct(F.lit(rank).alias("rank"), par.alias("par"), x.alias("unit"))
+    return F.flatten(
+        F.transform(pars, lambda p, i: F.concat(F.array(unit(1, i, p)), F.transform(F.split(p, SENTENCE), lambda x: unit(2, i, x))))
+    )
+
+
 def quoted_passages(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, k1, k2, chars) of every quoted passage and of every line of one.
+    """(conv_id, turn, level, stretch, par, rank, k1, k2, chars) of every quoted passage, and of its lines, paragraphs and sentences.
 
     A passage is a stretch of lines of one quote level; the text inside is
-    normalised and hashed. Passages of blanks alone are left out.
+    normalised and hashed. Passages of blanks alone are left out. The rank is 0
+    for passages, -1 for lines, 1 for paragraphs and 2 for sentences.
     """
     lines = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
     marked = F.transform(
@@ -56,17 +69,18 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
     )
     cut = quoting.withColumn("starts", starts)
     passages = F.transform("starts", lambda s, i: F.slice("lines", s, F.coalesce(F.get("starts", i + 1), F.size("lines") + 1) - s))
-    single = cut.select("conv_id", "turn", F.explode(passages).alias("p")).where("p[0].level > 0")
-    units = F.array_union(F.array(F.array_join(F.col("p.body"), " ")), F.col("p.body"))
-    texts = single.select("conv_id", "turn", F.col("p")[0]["level"].alias("level"), F.explode(units).alias("unit"))
-    texts = texts.select("conv_id", "turn", "level", normalised(F.col("unit")).alias("unit")).where("unit <> ''")
-    return texts.select("conv_id", "turn", "level", *_key(F.col("unit"))).distinct()
+    single = cut.select("conv_id", "turn", F.posexplode(passages).alias("stretch", "p")).where("p[0].level > 0")
+    unit = lambda rank, x: F.struct(F.lit(rank).alias("rank"), F.lit(0).alias("par"), x.alias("unit"))
+    units = F.concat(F.array(unit(0, F.array_join(F.col("p.body"), " "))), F.transform(F.col("p.body"), lambda x: unit(-1, x)), _fine(F.array_join(F.col("p.body"), "\n")))
+    texts = single.select("conv_id", "turn", "stretch", F.col("p")[0]["level"].alias("level"), F.explode(units).alias("u"))
+    texts = texts.select("conv_id", "turn", "level", "stretch", "u.par", "u.rank", normalised(F.col("u.unit")).alias("unit")).where("unit <> ''")
+    return texts.select("conv_id", "turn", "level", "stretch", "par", "rank", *_key(F.col("unit"))).distinct()
 
 
 def original_units(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, k1, k2, chars): whole own texts and their lines, which others may quote."""
+    """(conv_id, turn, k1, k2, chars): whole own texts, their lines, paragraphs and sentences, which others may quote."""
     own = messages.select("conv_id", "turn", without_quotes(F.col("text")).alias("own"))
-    units = own.select("conv_id", "turn", F.explode(F.array_union(F.array("own"), F.split("own", "\n"))).alias("unit"))
+    units = own.select("conv_id", "turn", F.explode(F.array_union(F.array_union(F.array("own"), F.split("own", "\n")), _fine(F.col("own"))["unit"])).alias("unit"))
     return units.select("conv_id", "turn", normalised(F.col("unit")).alias("unit")).where("unit <> ''").select("conv_id", "turn", *_key(F.col("unit")))
 
 
@@ -77,7 +91,8 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     before the quoting one that has it, and else anywhere, as the smallest
     (conv_id, turn) that has it. Each side keeps one row per hash before it is
     joined, so a line that a third of all messages have makes no more links
-    than it is quoted.
+    than it is quoted. Paragraphs of a passage count where the passage is not
+    found whole, and sentences where their paragraph is not found either.
     """
     passages = cut_lineage(quoted_passages(messages))
     wanted = bounded(passages.select("k1", "k2", "chars").distinct())
@@ -89,7 +104,12 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     source = F.when(F.col("inside"), F.struct(F.col("conv_id").alias("conv"), F.col("first").alias("turn"))).otherwise(
         F.when(F.col("far.conv") != F.col("conv_id"), F.col("far"))
     )
-    found = both.select("conv_id", "turn", "level", "chars", source.alias("source")).where("source is not null")
+    part = ["conv_id", "turn", "level", "stretch"]
+    found = both.select(*part, "par", "rank", "k1", "k2", "chars", source.alias("source")).where("source is not null")
+    whole = F.max(F.col("rank") == 0).over(Window.partitionBy(*part))
+    paragraph = F.max(F.col("rank") == 1).over(Window.partitionBy(*part, "par"))
+    found = found.withColumns({"whole": whole, "paragraph": paragraph}).where("rank <= 0 or not whole and (rank = 1 or not paragraph)")
+    found = found.select("conv_id", "turn", "level", "k1", "k2", "chars", "source").distinct()
     return found.groupBy("conv_id", "turn", "level", F.col("source.conv").alias("from_conv"), F.col("source.turn").alias("from_turn")).agg(
         F.sum("chars").alias("chars")
     )

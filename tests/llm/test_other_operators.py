@@ -198,6 +198,17 @@ def test_quotations(spark):
     assert link_replies(df).count() == len(rows) and link_replies(df.limit(0)).count() == 0
 
 
+def test_quoted_paragraphs_and_sentences(spark):
+    first = "The first paragraph is here and says little.\n\nThe second one is long enough. It has two sentences in it.\n\nThe third ends."
+    rows = [
+        (1, 0, "u", first),
+        (1, 1, "a", "> The first paragraph is\n> here and says little.\n>\n> The second one is long\n> enough. It has two sentences\n> in it.\nAgreed."),
+        (1, 2, "u", "> It has two\n> sentences in it.\nReally"),
+    ]
+    got = {r["turn"]: r for r in link_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[t]["parent_turn"], got[t]["n_quoted"], got[t]["text"]) for t in (1, 2)] == [(0, 1, "Agreed."), (0, 1, "Really")]
+
+
 def test_quotation_query(spark):
     source = spark.read.parquet(f"{SMALL}/conversations.parquet")
     got = brute.rows(op10_quotation_linking(spark, SMALL).select("conv_id", "turn", "role", "text"))

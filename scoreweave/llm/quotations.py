@@ -100,9 +100,15 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     near = cut_lineage(units.groupBy("conv_id", "k1", "k2", "chars").agg(F.min("turn").alias("first")))
     anywhere = cut_lineage(near.groupBy("k1", "k2", "chars").agg(F.min(F.struct(F.col("conv_id").alias("conv"), F.col("first").alias("turn"))).alias("far")))
     own = passages.join(near, ["conv_id", "k1", "k2", "chars"], "left").withColumn("inside", F.col("first") < F.col("turn"))
-    both = own.join(anywhere, ["k1", "k2", "chars"], "left")
+    both = cut_lineage(own.join(anywhere, ["k1", "k2", "chars"], "left"))
+    # Where the smallest source is in the own conversation, but not before the quote, the smallest of another one.
+    late = both.where("far.conv = conv_id and not inside").select("k1", "k2", "chars", F.col("far.conv").alias("not_conv")).distinct()
+    other = near.join(bounded(late), ["k1", "k2", "chars"]).where("conv_id <> not_conv").groupBy("k1", "k2", "chars").agg(
+        F.min(F.struct(F.col("conv_id").alias("conv"), F.col("first").alias("turn"))).alias("other")
+    )
+    both = both.join(bounded(other), ["k1", "k2", "chars"], "left")
     source = F.when(F.col("inside"), F.struct(F.col("conv_id").alias("conv"), F.col("first").alias("turn"))).otherwise(
-        F.when(F.col("far.conv") != F.col("conv_id"), F.col("far"))
+        F.when(F.col("far.conv") != F.col("conv_id"), F.col("far")).otherwise(F.col("other"))
     )
     part = ["conv_id", "turn", "level", "stretch"]
     found = both.select(*part, "par", "rank", "k1", "k2", "chars", source.alias("source")).where("source is not null")

@@ -209,6 +209,12 @@ def test_quoted_paragraphs_and_sentences(spark):
     assert [(got[t]["parent_turn"], got[t]["n_quoted"], got[t]["text"]) for t in (1, 2)] == [(0, 1, "Agreed."), (0, 1, "Really")]
 
 
+def test_quote_repeated_later_in_its_own_conversation(spark):
+    rows = [(1, 0, "u", "> a common line\nyes"), (1, 1, "a", "a common line"), (2, 0, "u", "x"), (2, 3, "u", "a common line"), (3, 0, "u", "a common line")]
+    got = {(r["conv_id"], r["turn"]): r for r in link_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1, 0]["quoted_conv"], got[1, 0]["quoted_turn"], got[1, 0]["parent_turn"]) == (2, 3, None)
+
+
 def test_quotation_query(spark):
     source = spark.read.parquet(f"{SMALL}/conversations.parquet")
     got = brute.rows(op10_quotation_linking(spark, SMALL).select("conv_id", "turn", "role", "text"))

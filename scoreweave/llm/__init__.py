@@ -34,6 +34,7 @@ def load() -> None:
         decontaminate,
         jaccard_join,
         lattice,
+        merkle,
         packing,
         quality,
         quotations,

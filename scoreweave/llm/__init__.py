@@ -41,5 +41,6 @@ def load() -> None:
         substring,
         surrogates,
         token_counts,
+        toxicity,
         warc,
     )

@@ -36,6 +36,7 @@ def load() -> None:
         lattice,
         merkle,
         packing,
+        periodic_runs,
         quality,
         quotations,
         substring,

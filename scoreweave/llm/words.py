@@ -146,3 +146,25 @@ def windows(word_at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def joined(run: Run, kept: np.ndarray) -> list[bytes]:
+    """Each document's kept words joined by one space; `kept` marks words of the run."""
+    counts = np.zeros(len(kept) + 1, np.int64)
+    np.cumsum(kept, out=counts[1:])
+    doc_at = counts[run.word_at]
+    starts, ends = run.starts[kept], run.ends[kept]
+    last = np.zeros(len(starts), bool)
+    last[doc_at[1:][doc_at[1:] > doc_at[:-1]] - 1] = True
+    # Every word but a document's last takes the byte after it along, overwritten by a space.
+    data = np.append(run.data, np.uint8(0))
+    data[ends[~last]] = 0x20
+    change = np.zeros(len(data) + 1, np.int32)
+    change[starts] += 1
+    np.add.at(change, ends + ~last, -1)
+    out = data[np.cumsum(change[:-1]) > 0]
+    sizes = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends + ~last - starts, out=sizes[1:])
+    at = sizes[doc_at]
+    view = memoryview(out)
+    return [bytes(view[at[i] : at[i + 1]]) for i in range(run.docs)]

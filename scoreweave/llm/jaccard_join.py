@@ -20,9 +20,9 @@ from scoreweave.session import cut_lineage
 SHINGLE, PERCENT = 5, 75
 #: The frequency order reads a table of 2**SKETCH_BITS counters, whatever the corpus.
 SKETCH_BITS, BLOCK = 20, 1 << 14
-#: Postings of a join task, about; documents of one n-gram in a task; texts verified together; documents of a block;
-#: partial tables summed together.
-BUCKET, HOT, TOGETHER, BLOCK_DOCS, FAN_IN = 200_000, 100_000, 64, 256, 256
+#: Postings of a join task, about; documents of one n-gram in a task; texts verified together; documents and bytes of
+#: a block of bitmaps, at most; partial tables summed together.
+BUCKET, HOT, TOGETHER, BLOCK_DOCS, BLOCK_BYTES, FAN_IN = 200_000, 100_000, 64, 1024, 1 << 23, 256
 _BASE = 0xA0761D6478BD642F
 
 
@@ -51,6 +51,17 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return sums[at[1:]] - sums[at[:-1]]
 
 
+def _places(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's two counters, one in each half of the table."""
+    half = 1 << (SKETCH_BITS - 1)
+    return (shingles >> np.uint64(65 - SKETCH_BITS)).astype(np.int64), half + (shingles & np.uint64(half - 1)).astype(np.int64)
+
+
+def _frequency(counters: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """At least how often each shingle was counted: the lesser of its counters."""
+    return np.minimum(*(counters[place] for place in _places(shingles)))
+
+
 def _survey(size: int):
     """Per document its set's size and 128-bit signature; per task how often each counter's shingles occur."""
 
@@ -58,7 +69,8 @@ def _survey(size: int):
         counters = np.zeros(1 << SKETCH_BITS, np.int64)
         for run in runs(batches, lower=True):
             shingles, _, n = shingle_sets(run, size)
-            counters += np.bincount((shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counters))
+            for place in _places(shingles):
+                counters += np.bincount(place, minlength=len(counters))
             yield pa.RecordBatch.from_arrays(
                 [
                     run.table["_doc"],
@@ -115,7 +127,7 @@ def _prefixes(sketch, size: int, percent: int):
         for run in runs(batches, lower=True):
             shingles, docs, n = shingle_sets(run, size)
             s1, s2 = _sums(mix(shingles + np.uint64(1)), n), _sums(mix(shingles ^ np.uint64(_BASE)), n)
-            seen = counters[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            seen = _frequency(counters, shingles)
             order = np.lexsort((shingles, seen, docs))
             first = np.cumsum(n) - n
             kept = prefix_sizes(n, percent)
@@ -140,6 +152,8 @@ def _postings(sketch, buckets: int, hot: int):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = sketch.value
+        # What other shingles add to a counter grows with the corpus; only what stands out of it can be one frequent shingle.
+        usual = int(2 * counters.sum() // len(counters))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -148,7 +162,7 @@ def _postings(sketch, buckets: int, hot: int):
             ids, n = batch["_doc"].to_numpy(zero_copy_only=False), batch["n"].to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(batch.num_rows), sizes)
             pos = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            shares = 1 + counters[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] // hot
+            shares = 1 + np.maximum(0, _frequency(counters, token) - usual) // hot
             salt = (mix(ids.astype(np.uint64) + np.uint64(7))[of] % shares.astype(np.uint64)).astype(np.int64)
             bucket = (mix(token ^ mix(salt.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -279,40 +293,61 @@ def _verify(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return _texts_of(texts, roles).select("a", "part", "doc", "text").groupBy("a", "part").applyInArrow(_verified(size, percent), "a long, b long")
 
 
-def _crossed(size: int, percent: int):
-    """Links of a tile that join components: each document of one block against all of the other block."""
+def _bitmaps(size: int):
+    """Of each document its set as a bitmap of 2**level bits, about two to four a shingle, and the set's size."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, lower=True):
+            shingles, docs, n = shingle_sets(run, size)
+            level = np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1)))).astype(np.int64)
+            bit = (mix(shingles ^ np.uint64(_BASE)) >> (np.uint64(64) - level[docs].astype(np.uint64))).astype(np.int64)
+            at = np.concatenate([[0], np.cumsum(1 << (level - 3))])
+            bits = np.zeros(at[-1] * 8, np.uint8)
+            bits[at[docs] * 8 + bit] = 1
+            packed = np.packbits(bits, bitorder="little")
+            column = pa.array([packed[at[i] : at[i + 1]].tobytes() for i in range(run.docs)], pa.binary())
+            yield pa.RecordBatch.from_arrays([run.table["_doc"], pa.array(n), pa.array(level.astype(np.int32)), column], ["id", "n", "level", "bits"])
+
+    return each
+
+
+def _widened(bits: bytes, levels: int) -> np.ndarray:
+    """A bitmap, or one that holds it for sure so many levels higher: every bit repeated."""
+    own = np.frombuffer(bits, np.uint8)
+    if levels:
+        own = np.packbits(np.repeat(np.unpackbits(own, bitorder="little"), 1 << levels), bitorder="little")
+    return own.view(np.uint64)
+
+
+def _met(percent: int):
+    """Of a tile the pairs of different components that can be similar: a shingle's bit that the other lacks is a shingle it lacks."""
 
     def each(table: pa.Table) -> pa.Table:
-        batch = table.combine_chunks().to_batches()[0]
-        lo, hi = batch["lo"][0].as_py(), batch["hi"][0].as_py()
-        sets, docs, comps, blocks = [], [], [], []
-        for run in runs(iter([batch]), lower=True):
-            shingles, _, n = shingle_sets(run, size)
-            sets += np.split(shingles, np.cumsum(n)[:-1])
-            docs += run.table["doc"].to_pylist()
-            comps += run.table["component"].to_pylist()
-            blocks += run.table["block"].to_pylist()
-        docs, comps, blocks = np.array(docs), np.array(comps), np.array(blocks)
-        other = np.flatnonzero(blocks == hi)
-        sizes = np.array([len(sets[i]) for i in other])
-        at = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        known, where = np.unique(np.concatenate([sets[i] for i in other]), return_inverse=True) if len(other) else (np.zeros(0, np.uint64), None)
-        mark, links = np.zeros(len(known), np.int32), []
-        for x in np.flatnonzero(blocks == lo):
-            if not len(known) or not ((comps[other] != comps[x]) & _similar_size(sizes, len(sets[x]), percent)).any():
+        wanted, lo, hi = (table[c][0].as_py() for c in ("tier", "lo", "hi"))
+        table = table.sort_by([("doc", "ascending")])
+        doc, comp, n, level, block = (table[c].to_numpy() for c in ("doc", "component", "n", "level", "block"))
+        bits = np.stack([_widened(b.as_py(), wanted - own) for b, own in zip(table["bits"], level.tolist(), strict=True)])
+        size = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+        native = level == wanted
+        a, b = [], []
+        other = np.flatnonzero(block == hi)
+        for x in np.flatnonzero(block == lo):
+            # Two documents of a lower class meet in their own tile.
+            y = other[(comp[other] != comp[x]) & _similar_size(n[other], n[x], percent) & (native[other] | native[x])]
+            if lo == hi:
+                y = y[y > x]
+            if not len(y):
                 continue
-            spot = np.minimum(np.searchsorted(known, sets[x]), len(known) - 1)
-            spot = spot[known[spot] == sets[x]]
-            mark[spot] = 1
-            both = np.add.reduceat(mark[where], at)
-            mark[spot] = 0
-            near = 100 * both >= percent * (len(sets[x]) + sizes - both)
-            for y in other[near]:
-                if comps[y] != comps[x]:
-                    links.append((docs[x], docs[y]))
-                    comps[comps == comps[y]] = comps[x]
-        a, b = zip(*links, strict=True) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            least = -(-percent * (n[x] + n[y]) // (100 + percent))
+            both = np.bitwise_count(bits[x] & bits[y]).sum(axis=1).astype(np.int64)
+            # Every bit that the other's map lacks is at least one shingle that is not common.
+            mine = n[x] - (size[x] - both) if native[x] else np.full(len(y), n[x])
+            theirs = np.where(native[y], n[y] - (size[y] - both), n[y])
+            y = y[np.minimum(mine, theirs) >= least]
+            a.append(np.minimum(doc[x], doc[y]))
+            b.append(np.maximum(doc[x], doc[y]))
+        out = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)]
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return each
 
@@ -322,8 +357,10 @@ def _unsettled_links(texts: DataFrame, groups: DataFrame, comps: DataFrame, size
 
     Open groups are gathered by the component most of their documents are in.
     Such a family splits into that component and the others, both dealt into
-    blocks of BLOCK_DOCS documents; a block of others meets every block of the
-    family in a tile. A text travels once per tile and no pair is ever a row.
+    blocks; a block of others meets every block of the family in a tile. Tiles
+    hold bitmaps of sets, not texts, and one size class each: a document meets
+    those of its own class, and of higher ones if it is large enough to link
+    with them. Pairs that the bitmaps cannot rule out are verified as all are.
     """
     one = groups.groupBy("same").agg(F.first(F.struct("token", "shares", "members")).alias("g")).select("same", "g.*")
     # Groups of one dealt n-gram are one.
@@ -333,19 +370,33 @@ def _unsettled_links(texts: DataFrame, groups: DataFrame, comps: DataFrame, size
     parts = labelled.groupBy("key", "dealt", "component").agg(F.count("*").alias("n"))
     open_ = parts.groupBy("key", "dealt").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("top")).where("kinds > 1")
     homes = cut_lineage(open_.select("key", "dealt", F.col("top.component").alias("home")))
-    placed = cut_lineage(labelled.join(homes, ["key", "dealt"]).select("home", "id", "component").distinct()).withColumn("outside", F.col("component") != F.col("home"))
-    counts = cut_lineage(placed.groupBy("home").agg(
-        F.ceil(F.count_if("outside") / BLOCK_DOCS).cast("int").alias("outer"), F.ceil(F.count_if(~F.col("outside")) / BLOCK_DOCS).cast("int").alias("inner")
-    ))
+    placed = labelled.join(homes, ["key", "dealt"]).groupBy("home", "id").agg(F.first("component").alias("component"))
+    placed = cut_lineage(placed.withColumn("outside", F.col("component") != F.col("home")))
+    named = texts.join(bounded(placed.select(F.col("id").alias("_doc")).distinct()), "_doc", "left_semi")
+    maps = cut_lineage(named.mapInArrow(_bitmaps(size), "id long, n long, level int, bits binary").where("n > 0"))
+    sized = placed.join(maps.select("id", "n", "level"), "id")
+    # A set of class t has more than 2**(t - 2) shingles.
+    tiers = F.expr(f"filter(sequence(level, level + 7), t -> t = level or n * 100 >= {percent} * shiftleft(1L, t - 2))")
+    sized = sized.withColumn("tier", F.explode(tiers)).withColumn("native", F.col("tier") == F.col("level"))
+    sized = cut_lineage(sized.drop("n").distinct())
+    bytes_each = F.expr("shiftleft(1L, tier - 3)")
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_DOCS), F.floor(F.lit(BLOCK_BYTES) / bytes_each)))
+    counts = cut_lineage(
+        sized.groupBy("home", "tier")
+        .agg(F.count_if("outside").alias("out"), F.count_if(~F.col("outside")).alias("in"), F.max("native").alias("any"))
+        .where(F.col("any") & (F.col("out") > 0))
+        .select("home", "tier", F.ceil(F.col("out") / room).cast("int").alias("outer"), F.ceil(F.col("in") / room).cast("int").alias("inner"))
+    )
     # Blocks of others are 0, 1, ..; blocks of the home component follow them.
     block = F.when(F.col("outside"), F.expr("pmod(xxhash64(id), outer)")).otherwise(F.expr("outer + pmod(xxhash64(id), greatest(inner, 1))")).cast("int")
-    dealt = placed.join(counts, "home").withColumn("block", block)
+    dealt = sized.join(counts, ["home", "tier"]).withColumn("block", block)
     partners = F.when(F.col("outside"), F.expr("sequence(0, outer + inner - 1)")).otherwise(F.expr("sequence(0, outer - 1)"))
     tiles = dealt.withColumn("other", F.explode(partners)).select(
-        F.col("id").alias("doc"), "home", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+        "id", "level", "home", "tier", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     )
-    tiles = cut_lineage(tiles)
-    return _texts_of(texts, tiles).groupBy("home", "lo", "hi").applyInArrow(_crossed(size, percent), "a long, b long")
+    full = cut_lineage(tiles).join(maps, ["id", "level"]).withColumnRenamed("id", "doc")
+    pairs = cut_lineage(full.groupBy("home", "tier", "lo", "hi").applyInArrow(_met(percent), "a long, b long").distinct())
+    return _verify(texts, pairs, size, percent)
 
 
 def jaccard_components(
@@ -372,8 +423,9 @@ def jaccard_components(
     3. Per n-gram every class is paired with the smallest one, under length
        and positional filters, and each distinct pair is verified once.
     4. Where a group of an n-gram still lies in several components, its
-       documents are compared across components, block by block inside tasks.
-       Pairs inside a component would not change the result.
+       documents' bitmaps are compared across components, block by block
+       inside tasks; what they cannot rule out is verified. Pairs inside a
+       component would not change the result.
 
     N-grams that may be in over `hot` documents are dealt over several groups,
     whose leaders are paired; step 4 takes them together again, in blocks.

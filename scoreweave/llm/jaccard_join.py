@@ -293,42 +293,43 @@ def _verify(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return _texts_of(texts, roles).select("a", "part", "doc", "text").groupBy("a", "part").applyInArrow(_verified(size, percent), "a long, b long")
 
 
-def _bitmaps(size: int):
-    """Of each document its set as a bitmap of 2**level bits, about two to four a shingle, and the set's size."""
+def _bitmaps(size: int, percent: int):
+    """Of each document its set's size, and its set as a bitmap of 2**tier bits for every size class it can find partners in.
+
+    Its own class has two to four bits a shingle; a set of class t has more than 2**(t - 2) shingles.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, lower=True):
             shingles, docs, n = shingle_sets(run, size)
+            first = np.concatenate([[0], np.cumsum(n)])
             level = np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1)))).astype(np.int64)
-            bit = (mix(shingles ^ np.uint64(_BASE)) >> (np.uint64(64) - level[docs].astype(np.uint64))).astype(np.int64)
-            at = np.concatenate([[0], np.cumsum(1 << (level - 3))])
-            bits = np.zeros(at[-1] * 8, np.uint8)
-            bits[at[docs] * 8 + bit] = 1
-            packed = np.packbits(bits, bitorder="little")
-            column = pa.array([packed[at[i] : at[i + 1]].tobytes() for i in range(run.docs)], pa.binary())
-            yield pa.RecordBatch.from_arrays([run.table["_doc"], pa.array(n), pa.array(level.astype(np.int32)), column], ["id", "n", "level", "bits"])
+            spread = mix(shingles ^ np.uint64(_BASE))
+            rows = []
+            for i, doc in enumerate(run.table["_doc"].to_pylist()):
+                own = spread[first[i] : first[i + 1]]
+                tier = int(level[i])
+                while tier == level[i] or n[i] * 100 >= percent << (tier - 2):
+                    bits = np.zeros(1 << tier, np.uint8)
+                    bits[(own >> np.uint64(64 - tier)).astype(np.int64)] = 1
+                    rows.append((doc, int(n[i]), tier, tier == level[i], np.packbits(bits).tobytes()))
+                    tier += 1
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "tier", "native", "bits"])
 
     return each
 
 
-def _widened(bits: bytes, levels: int) -> np.ndarray:
-    """A bitmap, or one that holds it for sure so many levels higher: every bit repeated."""
-    own = np.frombuffer(bits, np.uint8)
-    if levels:
-        own = np.packbits(np.repeat(np.unpackbits(own, bitorder="little"), 1 << levels), bitorder="little")
-    return own.view(np.uint64)
-
-
 def _met(percent: int):
     """Of a tile the pairs of different components that can be similar: a shingle's bit that the other lacks is a shingle it lacks."""
 
     def each(table: pa.Table) -> pa.Table:
-        wanted, lo, hi = (table[c][0].as_py() for c in ("tier", "lo", "hi"))
+        lo, hi = (table[c][0].as_py() for c in ("lo", "hi"))
         table = table.sort_by([("doc", "ascending")])
-        doc, comp, n, level, block = (table[c].to_numpy() for c in ("doc", "component", "n", "level", "block"))
-        bits = np.stack([_widened(b.as_py(), wanted - own) for b, own in zip(table["bits"], level.tolist(), strict=True)])
+        doc, comp, n, native, block = (table[c].to_numpy() for c in ("doc", "component", "n", "native", "block"))
+        bits = np.stack([np.frombuffer(b.as_py(), np.uint64) for b in table["bits"]])
         size = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        native = level == wanted
         a, b = [], []
         other = np.flatnonzero(block == hi)
         for x in np.flatnonzero(block == lo):
@@ -341,9 +342,7 @@ def _met(percent: int):
             least = -(-percent * (n[x] + n[y]) // (100 + percent))
             both = np.bitwise_count(bits[x] & bits[y]).sum(axis=1).astype(np.int64)
             # Every bit that the other's map lacks is at least one shingle that is not common.
-            mine = n[x] - (size[x] - both) if native[x] else np.full(len(y), n[x])
-            theirs = np.where(native[y], n[y] - (size[y] - both), n[y])
-            y = y[np.minimum(mine, theirs) >= least]
+            y = y[np.minimum(n[x] - size[x], n[y] - size[y]) + both >= least]
             a.append(np.minimum(doc[x], doc[y]))
             b.append(np.maximum(doc[x], doc[y]))
         out = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)]
@@ -373,12 +372,8 @@ def _unsettled_links(texts: DataFrame, groups: DataFrame, comps: DataFrame, size
     placed = labelled.join(homes, ["key", "dealt"]).groupBy("home", "id").agg(F.first("component").alias("component"))
     placed = cut_lineage(placed.withColumn("outside", F.col("component") != F.col("home")))
     named = texts.join(bounded(placed.select(F.col("id").alias("_doc")).distinct()), "_doc", "left_semi")
-    maps = cut_lineage(named.mapInArrow(_bitmaps(size), "id long, n long, level int, bits binary").where("n > 0"))
-    sized = placed.join(maps.select("id", "n", "level"), "id")
-    # A set of class t has more than 2**(t - 2) shingles.
-    tiers = F.expr(f"filter(sequence(level, level + 7), t -> t = level or n * 100 >= {percent} * shiftleft(1L, t - 2))")
-    sized = sized.withColumn("tier", F.explode(tiers)).withColumn("native", F.col("tier") == F.col("level"))
-    sized = cut_lineage(sized.drop("n").distinct())
+    maps = cut_lineage(named.mapInArrow(_bitmaps(size, percent), "id long, n long, tier int, native boolean, bits binary").where("n > 0"))
+    sized = cut_lineage(placed.join(maps.select("id", "tier", "native"), "id").distinct())
     bytes_each = F.expr("shiftleft(1L, tier - 3)")
     room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_DOCS), F.floor(F.lit(BLOCK_BYTES) / bytes_each)))
     counts = cut_lineage(
@@ -392,9 +387,9 @@ def _unsettled_links(texts: DataFrame, groups: DataFrame, comps: DataFrame, size
     dealt = sized.join(counts, ["home", "tier"]).withColumn("block", block)
     partners = F.when(F.col("outside"), F.expr("sequence(0, outer + inner - 1)")).otherwise(F.expr("sequence(0, outer - 1)"))
     tiles = dealt.withColumn("other", F.explode(partners)).select(
-        "id", "level", "home", "tier", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+        "id", "home", "tier", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     )
-    full = cut_lineage(tiles).join(maps, ["id", "level"]).withColumnRenamed("id", "doc")
+    full = cut_lineage(tiles.distinct()).join(maps, ["id", "tier"]).withColumnRenamed("id", "doc")
     pairs = cut_lineage(full.groupBy("home", "tier", "lo", "hi").applyInArrow(_met(percent), "a long, b long").distinct())
     return _verify(texts, pairs, size, percent)
 

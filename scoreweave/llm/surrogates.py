@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,22 +36,32 @@ COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]
 
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 _NAME = r"[^\W\d_a-z][^\W\d_]+(?:-[^\W\d_a-z][^\W\d_]+)?"
+_HEX = r"[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: In order of precedence; each kind is one named group.
 ENTITIES = re.compile(
     r"(?P<email>[\w.%+-]*[\w%+-]@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]*[A-Za-z0-9])*\.[A-Za-z]{2,})"
     r"|(?i:\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b[ \t]*[:=][ \t]*[\"'])(?P<secret>[^\"'\s]{6,})(?=[\"'])"
+    r"|(?i:\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b[ \t]*[:=][ \t]*)(?P<bare>(?=[^\s\"',;]*[0-9])(?=[^\s\"',;]*[A-Za-z])[^\s\"',;<>]{6,})"
+    r"|\b(?P<access>AKIA[0-9A-Z]{16})\b"
+    rf"|(?<![\w:.])(?P<ip6>(?:{_HEX}:){{7}}{_HEX}|(?=[\w:]*[0-9])(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\w:])"
     r"|\b(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b"
-    rf"|(?<![\w.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?!\.?[0-9])"
+    rf"|(?<![\w.])(?<!ersion )(?<!ersion: )(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?!\.?[0-9])"
     r"|(?P<phone>\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
-    r"|(?<![\w.-])(?:1(?:[ .-]|(?=\()))?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-]))"
+    r"|(?<![\w.-])(?:1(?:[ .-]|(?=\()))?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"
+    r"|(?<![\w.-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8}(?![\w-]))"
     r"|(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"
     r"|(?<![\w.])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])"
-    rf"|\b(?P<title>{_TITLE})\b\.?[ ](?P<name>{_NAME}(?:[ ]{_NAME})?)"
+    rf"|\b(?P<title>(?:{_TITLE})\b\.?(?:[ ](?:{_TITLE})\b\.?)*)[ ](?P<name>{_NAME}(?:[ ]{_NAME})?)"
 )
 #: What any entity needs; most texts have none of it and skip the search.
-WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
-TRIGGER = re.compile(rf"[0-9@]|[\"']|\b(?:{_TITLE})\b")
+WORD = re.compile(rf"(?<!\w)(?:{_NAME}|(?:a|an|the|ein|eine|einen|der|die|das|un|une|le|la|el|una)(?= ))(?!\w)")
+TRIGGER = re.compile(rf"[0-9@]|[\"']|\bAKIA|\b(?:{_TITLE})\b")
+STACK = re.compile(_TITLE)
+#: Groups that name the same kind of entity as another.
+KINDS = {"bare": "secret", "access": "secret", "ip6": "ip"}
+#: A name after one of these is a word: "a Brown bear".
+ARTICLES = {"a", "an", "the", "ein", "eine", "einen", "der", "die", "das", "un", "une", "le", "la", "el", "una"}
 
 
 @dataclass(frozen=True)
@@ -62,7 +73,9 @@ class Mention:
     text: str
 
     def entities(self) -> list[tuple[str, str]]:
-        """What has a surrogate of its own: of a name, the given and the family name."""
+        """What has a surrogate of its own: of a name, the given and the family name, and of an address its host."""
+        if self.kind == "email":
+            return [("host", self.canonical.rpartition("@")[2]), ("email", self.canonical)]
         if self.kind != "name":
             return [(self.kind, self.canonical)]
         gender, script, said = self.canonical.split(":", 2)
@@ -99,7 +112,7 @@ def _untitled(text: str, named: list[Mention]) -> list[Mention]:
     out, before = [], None
     for w in WORD.finditer(text):
         folded = w[0].casefold()
-        if folded in families:
+        if folded in families and not (before and before[0] in ARTICLES and before.end() + 1 == w.start()):
             at, canonical = w.start(), families[folded]
             if before and before.end() + 1 == at and text[at - 1] == " ":
                 both = full.get(f"{before[0].casefold()} {folded}")
@@ -119,24 +132,32 @@ def find_entities(text: str) -> list[Mention]:
     out = []
     for m in ENTITIES.finditer(text):
         kind = "name" if m.lastgroup == "name" else next(k for k, v in m.groupdict().items() if v is not None)
-        said = m.group(kind)
+        said, span = m.group(kind), m.span(kind)
+        kind = KINDS.get(kind, kind)
         if kind == "name":
             if not said[0].isupper() or (m["title"].isupper() and not said.isupper()):
                 continue
-            canonical = _name(TITLES[m["title"]], said)
+            # Of several titles the first that shows a gender counts.
+            genders = [TITLES[t] for t in STACK.findall(m["title"])]
+            canonical = _name(next((g for g in genders if g != "n"), "n"), said)
+        elif kind == "ip" and ":" in said:
+            try:
+                canonical = ipaddress.IPv6Address(said).compressed
+            except ValueError:
+                continue
         elif kind == "email":
             canonical = said.lower()
         elif kind in ("phone", "card", "ssn"):
             canonical = "".join(c for c in said if c.isdigit())
             if kind == "phone":
                 # A number without country code has the form of those of country 1.
-                canonical = canonical if said.startswith("+") or len(canonical) == 11 else f"1{canonical}"
+                canonical = canonical if said.startswith(("+", "0")) or len(canonical) == 11 else f"1{canonical}"
                 canonical = f"+{COUNTRY.match(canonical)[0]}:{canonical}"
         elif kind == "iban":
             canonical = said.replace(" ", "")
         else:
             canonical = said
-        out.append(Mention(*m.span(kind), kind, canonical, said))
+        out.append(Mention(*span, kind, canonical, said))
     named = [m for m in out if m.kind == "name"]
     if not named:
         return out
@@ -194,12 +215,14 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     """The surrogate's canonical form."""
     draw = _Stream(key, kind, canonical, attempt)
     if kind == "email":
+        # The host has a surrogate of its own. From the fifth draw on the name grows by a digit a draw: short names cannot run out.
         name, _, host = canonical.rpartition("@")
-        head, _, top = host.rpartition(".")
-        # A host is drawn from itself alone: mail of one host stays mail of one host.
-        place = _Stream(key, "host", host, 0)
-        # From the fifth draw on the name grows by a digit a draw, so that short names cannot run out.
-        return f"{draw.shaped(name + '0' * max(0, attempt - 3))}@{place.shaped(head)}.{top}"
+        return f"{draw.shaped(name + '0' * max(0, attempt - 3))}@{host}"
+    if kind == "host":
+        head, _, top = canonical.rpartition(".")
+        return f"{draw.shaped(head + '0' * max(0, attempt - 3))}.{top}"
+    if kind == "secret" and re.fullmatch("AKIA[0-9A-Z]{16}", canonical):
+        return "AKIA" + draw.shaped(canonical[4:])
     if kind == "phone":
         country, _, digits = canonical.rpartition(":")
         keep = len(country) - 1 if country else 0
@@ -214,6 +237,14 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         body = draw.shaped(canonical[4:])
         number = "".join(str(int(c, 36)) for c in body + canonical[:2] + "00")
         return f"{canonical[:2]}{98 - int(number) % 97:02d}{body}"
+    if kind == "ip" and ":" in canonical:
+        # Groups that are 0 stay so, and a private or link-local address keeps its first group.
+        groups = [int(g, 16) for g in ipaddress.IPv6Address(canonical).exploded.split(":")]
+        private = groups[0] >> 9 == 0x7E or groups[0] >> 6 == 0x3FA
+        new = [g if g == 0 or (i == 0 and private) else 0x2000 + draw.below(0x1000) if i == 0 else 1 + draw.below(0xFFFF) for i, g in enumerate(groups)]
+        # Addresses of few groups cannot run out: later draws fill the last ones.
+        new = [g or (1 + draw.below(0xFFFF) if i >= 8 - attempt // 4 else 0) for i, g in enumerate(new)]
+        return ipaddress.IPv6Address(":".join(f"{g:x}" for g in new)).compressed
     if kind == "ip":
         private = re.match(r"10\.|192\.168\.|127\.", canonical)
         head = private[0] if private else ""
@@ -242,7 +273,10 @@ def rendered(mention: Mention, chosen: list[str]) -> str:
     if mention.kind == "name":
         words = zip(mention.text.split(" "), (c.split(":", 2)[2] for c in chosen), strict=True)
         return " ".join(new.upper() if old.isupper() else new for old, new in words)
-    return chosen[0].upper() if mention.kind == "email" and mention.text.isupper() else chosen[0]
+    if mention.kind == "email":
+        address = f"{chosen[1].rpartition('@')[0]}@{chosen[0]}"
+        return address.upper() if mention.text.isupper() else address
+    return chosen[0].upper() if ":" in mention.canonical and mention.kind == "ip" and mention.text.isupper() else chosen[0]
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,10 +355,11 @@ def _looked_up(assigned: DataFrame) -> DataFrame:
 def replace_personal_data(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
     """`docs` with `text_col` rewritten and `count_col`, the number of mentions replaced; all columns and rows stay.
 
-    E-mail addresses, secrets in quotes after their name, IBANs, IPv4
-    addresses, phone numbers, social security numbers, card numbers and names
-    after a title are replaced, and those names without one in the same text.
-    Given and family names have surrogates of their own. The same entity gets the same surrogate in
+    E-mail addresses, secrets after their name, access keys, IBANs, IPv4 and
+    IPv6 addresses, phone numbers, social security numbers, card numbers and
+    names after one or more titles are replaced, and those names without one in
+    the same text. Given and family names and the hosts of addresses have
+    surrogates of their own; names that never have a title are not found. The same entity gets the same surrogate in
     every document and format, different ones get different ones. A surrogate
     keeps country code, top domain, Luhn and check-digit validity, letter case,
     separators, script and gender. Null texts stay null. A column already

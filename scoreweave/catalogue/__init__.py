@@ -32,4 +32,5 @@ def load() -> None:
         meta,
         scoring,
         tables,
+        track,
     )

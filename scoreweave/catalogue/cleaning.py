@@ -165,3 +165,14 @@ def nan_to_zero_after_scale(spark, folder):
 def fill_target_mean(spark, folder):
     gaps = _gaps(spark, folder).select("o_orderkey", "o_orderstatus", "o_totalprice")
     return rounded(cleaning.fill_column_mean(gaps, "o_totalprice", ["o_orderstatus"]), 4)
+
+
+@register("""
+    WITH found AS (SELECT DISTINCT 0 AS c, c_mktsegment AS v FROM customer UNION ALL SELECT DISTINCT 1, c_name FROM customer),
+    later AS (SELECT c, v FROM found QUALIFY row_number() OVER (PARTITION BY c ORDER BY v) > 1),
+    numbered AS (SELECT c, v, row_number() OVER (ORDER BY c, v) - 1 AS position FROM later)
+    SELECT c_custkey, position FROM customer JOIN numbered ON (c = 0 AND v = c_mktsegment) OR (c = 1 AND v = c_name)""")
+def onehot_sparse(spark, folder):
+    """A column with a level per row, which no table could hold as columns."""
+    encoded = encoding.one_hot_sparse(table(spark, folder, "customer"), ["c_mktsegment", "c_name"])
+    return encoded.select("c_custkey", F.explode("indices").alias("position"))

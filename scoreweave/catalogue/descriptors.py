@@ -327,7 +327,9 @@ def px_tree(spark, folder):
 
 @register()
 def px_landmarks(spark, folder):
-    return _per_classified(spark, folder, lambda rows: landmark_summary(landmarks(rows)))
+    names = [s.name for s in ALL if s.task != REGRESSION]
+    rows = shared_prepared(spark, folder).filter(F.col("dataset_name").isin(*names))
+    return rounded(landmark_summary(landmarks(rows)), 6)
 
 
 @register()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scoreweave.catalogue import register
 from scoreweave.catalogue.common import cells_sql, r, raw_sql, rounded, shared_prepared, shared_split, SPLIT_SQL
+from scoreweave.learners.base import class_weight
 from scoreweave.learners.custom import Unfittable
 from scoreweave.learners.roster import roster
 from scoreweave.operators import knn
@@ -44,6 +45,19 @@ def knn_exact_classify(spark, folder):
     return rounded(out.join(reach, "qid"), 6, "share", "reach")
 
 
+@register(f"""
+    WITH {_split_ctes('emb_class')}, {_NEAREST},
+    votes AS (SELECT qid, z.label AS label, count(*) AS n FROM near GROUP BY qid, z.label)
+    SELECT qid AS row_id, label AS prediction, {r('n / 5.0::DOUBLE', 6)} AS share FROM votes
+    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY n DESC, label) = 1""")
+def fit_knn_predictions(spark, folder):
+    """The roster's nearest-neighbour learner, row by row."""
+    rows = shared_split(spark, folder).filter("dataset_name = 'emb_class'").select("split", "row_id", "features", "label")
+    model = roster("multiclass")["K-Nearest Neighbors"].fit(rows.filter("split = 'train'"))
+    out = model.predict(rows.filter("split <> 'train'"))
+    return rounded(out.select("row_id", "prediction", F.array_max("probability").alias("share")), 6, "share")
+
+
 @register(f"""
     WITH {_split_ctes('order_total')}, {_NEAREST}
     SELECT qid, {r('avg(z.label)', 4)} AS prediction FROM near GROUP BY qid""")
@@ -92,7 +106,6 @@ _register_fit("fit_bagging_regress", "order_total", "regression", "Bagging Regre
 _register_fit("fit_gbt", "doc_quality", "binary", "XGBoost")
 _register_fit("fit_gbt_regress", "event_value", "regression", "XGBoost Regressor")
 _register_fit("fit_linreg", "line_price", "regression", "Linear Regression")
-_register_fit("fit_naive_bayes", "doc_quality", "binary", "Naive Bayes")
 _register_fit("fit_vote", "doc_quality", "binary", "Voting Classifier")
 _register_fit("fit_vote_regress", "order_total", "regression", "Voting Regressor")
 _register_fit("fit_stack", "doc_quality", "binary", "Stacking Classifier")
@@ -102,6 +115,68 @@ _register_fit("fit_adaboost_regress", "order_total", "regression", "AdaBoost Reg
 _register_fit("fit_svr", "event_value", "regression", "SVR")
 
 
+@register(f"""
+    WITH {cells_sql('doc_quality')},
+    fit AS (SELECT label, feature, avg(value) AS m, var_pop(value) AS v FROM cells WHERE split = 'train' GROUP BY ALL),
+    lift AS (SELECT 1e-9::DOUBLE * max(v) AS e FROM (SELECT var_pop(value) AS v FROM cells WHERE split = 'train' GROUP BY feature)),
+    prior AS (SELECT label, ln(count(*) / sum(count(*)) OVER ()) AS p FROM (SELECT DISTINCT row_id, label FROM cells WHERE split = 'train') GROUP BY label),
+    logs AS (SELECT c.dataset_name, c.split, c.row_id, c.label, f.label AS k,
+        any_value(p) - 0.5::DOUBLE * sum(ln(2 * pi() * (v + e)) + pow(value - m, 2) / (v + e)) AS s
+      FROM cells c JOIN fit f USING (feature) JOIN lift ON true JOIN prior q ON q.label = f.label WHERE split <> 'train' GROUP BY ALL),
+    predictions AS (SELECT dataset_name, split, 'Naive Bayes' AS model_name, label, CAST(arg_max(k, s) AS INTEGER) AS prediction,
+        1 / (1 + exp(max(CASE WHEN k = 0 THEN s END) - max(CASE WHEN k = 1 THEN s END))) AS score FROM logs GROUP BY dataset_name, split, row_id, label),
+    counted AS (SELECT dataset_name, split, model_name, avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0 END) AS accuracy,
+      coalesce(2 * sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) / nullif(sum(label) + sum(prediction), 0)::DOUBLE, 0) AS f1_score
+      FROM predictions GROUP BY ALL),
+    tally AS (SELECT dataset_name, split, model_name, score, sum(label) AS p, sum(1 - label) AS q FROM predictions GROUP BY ALL),
+    run AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY split ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM tally),
+    area AS (SELECT dataset_name, split, model_name, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) AS auc_roc FROM run GROUP BY ALL)
+    SELECT dataset_name, split, model_name, {r('accuracy', 6)} AS accuracy, {r('f1_score', 6)} AS f1_score, {r('auc_roc', 4)} AS auc_roc
+    FROM counted JOIN area USING (dataset_name, split, model_name)""")
+def fit_naive_bayes(spark, folder):
+    scored = _fit("doc_quality", "binary", "Naive Bayes")(spark, folder)
+    return rounded(scored, 6, "accuracy", "f1_score", auc_roc=4)
+
+
+def _train_rows(spark, folder, dataset):
+    return shared_prepared(spark, folder).filter((F.col("dataset_name") == dataset) & (F.col("split") == "train")).select("row_id", "features", "label")
+
+
+def _moments_with(rows, error):
+    """Mean of error, and of error times each feature."""
+    cells = rows.withColumn("_e", error).select("_e", F.posexplode(F.concat(F.array(F.lit(1.0)), "features")).alias("at", "x"))
+    return cells.groupBy("at").agg(F.avg(F.col("_e") * F.col("x")).alias("slope"))
+
+
+@register(f"""
+    WITH {cells_sql('line_price')} SELECT CAST(0 AS INTEGER) AS at, 0.0::DOUBLE AS slope
+    UNION ALL SELECT DISTINCT feature + 1, 0.0::DOUBLE FROM cells""")
+def fit_linreg_normal_equations(spark, folder):
+    """What is left of the label after the fit goes with no feature, and its mean is 0."""
+    train = _train_rows(spark, folder, "line_price")
+    fitted = roster("regression")["Linear Regression"].fit(train).predict(train)
+    spread = train.agg(F.stddev_pop("label")).first()[0]
+    return rounded(_moments_with(fitted, (F.col("label") - F.col("prediction")) / F.lit(spread)), 6)
+
+
+@register(f"""
+    WITH {cells_sql('line_status')} SELECT CAST(0 AS INTEGER) AS at, 0.0::DOUBLE AS slope
+    UNION ALL SELECT DISTINCT feature + 1, 0.0::DOUBLE FROM cells""")
+def fit_logreg_gradient(spark, folder):
+    """The slope of the weighted, penalised likelihood is 0 in every coefficient."""
+    train = _train_rows(spark, folder, "line_status")
+    model = roster("binary")["Logistic Regression"].fit(train)
+    weight = class_weight(train, "balanced")
+    fitted = model.predict(train).withColumn("_w", weight)
+    slopes = _moments_with(fitted, F.col("_w") * (F.get("probability", F.lit(1)) - F.col("label")))
+    total, n = train.agg(F.sum(weight), F.count("*")).first()
+    inner = model.model
+    # The penalty 1 / (C n) of a mean loss, C = 1; the intercept has none.
+    penalty = [0.0, *[float(c) * inner.getRegParam() for c in inner.coefficients]]
+    pull = F.element_at(F.array(*[F.lit(p) for p in penalty]), F.col("at") + 1)
+    return rounded(slopes.withColumn("slope", F.col("slope") * n / total + pull), 4)
+
+
 @register("""
     SELECT 'doc_quality' AS dataset_name, 'Decision Tree' AS model_name, 'ok' AS status, '' AS reason, CAST(2 AS BIGINT) AS n_scores
     UNION ALL SELECT 'doc_quality', 'Broken', 'failed', 'ValueError: not trainable', NULL""")

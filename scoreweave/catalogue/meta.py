@@ -20,7 +20,7 @@ from scoreweave.plans.record import full_record
 from scoreweave.session import ensure_checkpoint_dir
 from scoreweave.sources import readers
 from scoreweave.sources.readers import table
-from scoreweave.sources.registry import BINARY, REGRESSION
+from scoreweave.sources.registry import BINARY, MULTICLASS, REGRESSION
 from scoreweave.sources.sinks import RunLog, write_table
 
 _BINARY_SETS = ("line_status", "doc_quality")
@@ -168,6 +168,37 @@ def target_scalers(spark, folder):
     return _by_metric(ready.scalers, "mean", "std")
 
 
+# Training rows too: their profiles, a row per model, without scores.
+_MF_EVERY = _MF.replace("mf AS", "every_mf AS").replace("WHERE split <> 'train' ", "").replace("per_feature", "every_feature")
+_BINARY_EVERY_SQL = f"""{_BINARY_SQL}, {_MF_EVERY},
+  every AS (SELECT dataset_name, split, model_name, accuracy, f1_score, auc_roc, n_samples, n_features, feature_std, mean_variance
+    FROM every_mf JOIN (SELECT DISTINCT dataset_name, model_name FROM counted) USING (dataset_name)
+    LEFT JOIN (SELECT * FROM counted JOIN area USING (dataset_name, split, model_name)) USING (dataset_name, split, model_name))"""
+
+
+def _binary_every_split(spark, folder):
+    return meta.meta_dataset(_profiles(spark, folder, _BINARY_SETS), _binary_scores(spark, folder), unscored=True)
+
+
+@register(f"""
+    WITH {_BINARY_EVERY_SQL} SELECT dataset_name, split, model_name, n_samples, n_features,
+      {', '.join(f'{r(c, 6)} AS {c}' for c in (*_BINARY_METRICS, 'feature_std', 'mean_variance'))} FROM every""")
+def meta_dataset_every_split(spark, folder):
+    return rounded(_binary_every_split(spark, folder), 6)
+
+
+@register(f"""
+    WITH {_BINARY_EVERY_SQL},
+    wide AS (SELECT *, [{', '.join(f'CAST({_z(c)} AS DOUBLE)' for c in _COLUMNS)}, {', '.join(f"CAST(model_name = '{m}' AS DOUBLE)" for m in ('Constant', 'Digest', 'Noisy'))}] AS f FROM every)
+    SELECT dataset_name, split, model_name, CAST(i AS INTEGER) AS feature, {r('v', 6)} AS value, {r('accuracy', 6)} AS accuracy_target FROM (
+      SELECT *, unnest(range(len(f))) AS i, unnest(f) AS v FROM wide)""")
+def meta_prepare_every_split(spark, folder):
+    """Training rows are scaled with the validation statistics and have no target."""
+    rows = meta.meta_prepare(_binary_every_split(spark, folder), BINARY).rows
+    out = rows.select("dataset_name", "split", "model_name", F.posexplode("features").alias("feature", "value"), "accuracy_target")
+    return rounded(out, 6, "accuracy_target", value=6)
+
+
 # A stand-in for the predicting model: a fixed affine map of the actual score.
 def _predicted(df, names):
     return df.withColumns({f"predicted_{m}": F.col(m) * 0.9173031 + 0.0517193 for m in names})
@@ -255,12 +286,36 @@ def _full_meta(spark, folder, names, scores):
     return meta.meta_dataset(full_record(matrix), scores)
 
 
-@register()
-def meta_search(spark, folder):
+def _searched(spark, folder):
+    """Trials of the accuracy search, and the prepared rows they come from."""
     ready = meta.meta_prepare(_full_meta(spark, folder, _BINARY_SETS, _binary_scores(spark, folder)), BINARY)
     train = ready.rows.filter("split = 'val'").select("row_id", "features", F.col("accuracy_target").alias("label"))
     n_iter, folds = meta.SEARCH[BINARY]
-    return meta.search(train, None, "xgb", meta.spaces(BINARY)["xgb"], n_iter, folds).trials
+    return meta.search(train, None, "xgb", meta.spaces(BINARY)["xgb"], n_iter, folds)
+
+
+@register()
+def meta_search(spark, folder):
+    return _searched(spark, folder).trials
+
+
+@register(f"""
+    WITH {_BINARY_SQL},
+    folds AS (SELECT DISTINCT CAST(CAST('0x' || substr(md5('{meta.SEARCH_SEED}:' || concat_ws('|', dataset_name, split, model_name)), 1, 8) AS BIGINT) % {meta.SEARCH[BINARY][1]} AS INTEGER) AS fold
+      FROM meta WHERE split = 'val')
+    SELECT 'xgb' AS family, fold, CAST({meta.SEARCH[BINARY][0]} AS BIGINT) AS candidates, CAST({meta.SEARCH[BINARY][0]} AS BIGINT) AS scored,
+      true AS plausible FROM folds""")
+def meta_search_folds(spark, folder):
+    """Every fold that has rows is scored under every setting drawn, with errors that accuracies can have; the winner has the least mean."""
+    found = _searched(spark, folder)
+    lowest = found.trials.groupBy("candidate").agg(F.avg("mae").alias("mean")).agg(F.min("mean")).first()[0]
+    right = F.lit(abs(lowest - found.cv_error) < 1e-12)
+    return found.trials.groupBy("family", "fold").agg(
+        F.count_distinct("candidate").alias("candidates"),
+        F.count("mae").alias("scored"),
+        (F.min("mae") >= 0).alias("low"),
+        (F.max("mae") <= 1).alias("high"),
+    ).select("family", "fold", "candidates", "scored", (F.col("low") & F.col("high") & right).alias("plausible"))
 
 
 @register()
@@ -269,6 +324,25 @@ def meta_predict(spark, folder):
     return meta.predict_scores(ready, meta.train_meta_models(ready, REGRESSION), REGRESSION)
 
 
+_CLASS_SETS = ("return_flag", "order_status", "emb_class")
+
+
+def _class_scores(spark, folder):
+    """Scores of rules on the multiclass tables, from hard labels."""
+    held = _held(spark, folder, _CLASS_SETS)
+    u, y = F.col("u"), F.col("label")
+    out = lambda p: (p.cast("double").alias("prediction"),)
+    rules = {"Constant": out(F.lit(0)), "Digest": out(F.floor(u * 3)), "Noisy": out(F.when(u < 0.7, y).otherwise(F.lit(1)))}
+    return metrics.evaluate(_rules(held, rules), MULTICLASS)
+
+
+@register()
+def meta_predict_multiclass(spark, folder):
+    """Five metrics of the multiclass task, predicted from the full record with the task's own space and budget."""
+    ready = meta.meta_prepare(_full_meta(spark, folder, _CLASS_SETS, _class_scores(spark, folder)), MULTICLASS)
+    return meta.predict_scores(ready, meta.train_meta_models(ready, MULTICLASS), MULTICLASS)
+
+
 # Trials of a search whose errors are known: the price of parts by size, as (setting, fold) errors.
 @register("""
     SELECT 'parts' AS family, CAST(c AS INTEGER) AS candidate, CAST(c AS VARCHAR) AS params, round(m, 6) AS cv_mae FROM (

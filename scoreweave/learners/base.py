@@ -6,8 +6,10 @@ Predicting adds ``prediction`` and, for classifiers, ``probability`` (array).
 
 from __future__ import annotations
 
+import importlib
 import json
 import uuid
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -45,26 +47,50 @@ class SparkModel:
         return out.select(*rows.columns, *extra)
 
     def save(self, path: str) -> None:
+        kind = type(self.model)
         self.model.write().overwrite().save(f"{path}/model")
-        _save_note(rows_session(), path, {"kind": type(self.model).__module__ + "." + type(self.model).__name__,
-                                              "classifier": self.classifier})
+        save_note(path, {"kind": "mllib", "class": f"{kind.__module__}.{kind.__name__}", "classifier": self.classifier})
 
 
-def rows_session():
-    from pyspark.sql import SparkSession
+# -- saved models ------------------------------------------------------------------
+#
+# A model is a folder with a note of its kind and settings; models it is made of
+# are folders within it.
 
+Loader = Callable[[SparkSession, str, dict], Model]
+_LOADERS: dict[str, Loader] = {}
+
+
+def loads(kind: str):
+    """Register the function that reads models of a kind: (spark, path, note) to the model."""
+
+    def keep(fn: Loader) -> Loader:
+        _LOADERS[kind] = fn
+        return fn
+
+    return keep
+
+
+def rows_session() -> SparkSession:
     return SparkSession.getActiveSession()
 
 
-def _save_note(spark, path: str, note: dict) -> None:
+def save_note(path: str, note: dict) -> None:
+    spark = rows_session()
     spark.createDataFrame([(json.dumps(note),)], "note string").coalesce(1).write.mode("overwrite").text(f"{path}/note")
 
 
-def load_spark_model(spark, path: str) -> SparkModel:
-    import importlib
+def load_model(spark: SparkSession, path: str) -> Model:
+    """Any saved model, with the models it is made of."""
+    from scoreweave.learners import batched, custom  # noqa: F401  they register their kinds
 
     note = json.loads(spark.read.text(f"{path}/note").first()[0])
-    module, name = note["kind"].rsplit(".", 1)
+    return _LOADERS[note["kind"]](spark, path, note)
+
+
+@loads("mllib")
+def _load_mllib(spark: SparkSession, path: str, note: dict) -> SparkModel:
+    module, name = note["class"].rsplit(".", 1)
     return SparkModel(getattr(importlib.import_module(module), name).load(f"{path}/model"), note["classifier"])
 
 
@@ -117,6 +143,14 @@ def n_classes(train: DataFrame) -> int:
     return int(train.agg(F.max("label")).first()[0]) + 1
 
 
+def quantile_cuts(rows: DataFrame, cuts: int = 31) -> list[np.ndarray]:
+    """Up to ``cuts`` ascending thresholds per feature, a value <= the first going lowest; as wide as the table, so it fits the driver."""
+    marks = [(k + 1) / (cuts + 1) for k in range(cuts)]
+    cells = rows.select(F.posexplode("features").alias("feature", "value"))
+    found = cells.groupBy("feature").agg(F.percentile_approx("value", marks, 10_000).alias("cuts"), F.max("value").alias("top"))
+    return [np.unique([c for c in r["cuts"] if c < r["top"]]) for r in found.orderBy("feature").collect()]
+
+
 # -- trees as column expressions -------------------------------------------------
 
 
@@ -168,7 +202,11 @@ def tree_expression(model, features: str = "features", leaf_value=None) -> Colum
 
     ``leaf_value`` maps a leaf node to its column, by default its prediction.
     """
-    nodes = tree_nodes(model)
+    return nodes_expression(tree_nodes(model), features, leaf_value)
+
+
+def nodes_expression(nodes: list[dict], features: str = "features", leaf_value=None) -> Column:
+    """The same from the preorder nodes of a tree."""
     value = leaf_value or (lambda node: F.lit(node["prediction"]))
     children: dict[int, list[int]] = {}
     for node in nodes:

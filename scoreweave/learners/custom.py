@@ -7,17 +7,21 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreweave.functions.hashing import fold_of
+from scoreweave.functions.hashing import fold_of, seeded
 from scoreweave.learners.base import (
     Learner,
     Model,
+    load_model,
+    loads,
     n_classes,
-    tree_expression,
+    nodes_expression,
+    quantile_cuts,
+    save_note,
+    tree_nodes,
     with_vector,
 )
 from scoreweave.operators import knn
@@ -40,6 +44,12 @@ class NearestModel:
 
     def save(self, path: str) -> None:
         self.train.write.mode("overwrite").parquet(f"{path}/rows")
+        save_note(path, {"kind": "nearest", "k": self.k, "classes": self.classes, "weights": self.weights, "p": self.p})
+
+
+@loads("nearest")
+def _load_nearest(spark, path: str, note: dict) -> NearestModel:
+    return NearestModel(spark.read.parquet(f"{path}/rows"), note["k"], note["classes"], note["weights"], note["p"])
 
 
 class NearestNeighbours:
@@ -91,6 +101,30 @@ class VotingModel:
         mean = F.transform(total, lambda v: v / share)
         return out.select(*rows.columns, mean.alias("probability")).withColumn("prediction", _argmax("probability"))
 
+    def save(self, path: str) -> None:
+        save_note(path, {"kind": "voting", "parts": _save_parts(path, self.models), "classifier": self.classifier})
+
+
+def _save_parts(path: str, models: Sequence[tuple[str, Model]]) -> list[str]:
+    for at, (_, model) in enumerate(models):
+        model.save(f"{path}/part-{at}")
+    return [name for name, _ in models]
+
+
+def _load_parts(spark, path: str, names: Sequence[str]) -> list[tuple[str, Model]]:
+    return [(name, load_model(spark, f"{path}/part-{at}")) for at, name in enumerate(names)]
+
+
+@loads("voting")
+def _load_voting(spark, path: str, note: dict) -> VotingModel:
+    return VotingModel(_load_parts(spark, path, note["parts"]), note["classifier"])
+
+
+@loads("stacking")
+def _load_stacking(spark, path: str, note: dict) -> StackingModel:
+    final = load_model(spark, f"{path}/final")
+    return StackingModel(_load_parts(spark, path, note["parts"]), final, note["classifier"], note["classes"])
+
 
 def _argmax(array: str) -> Column:
     return (F.array_position(array, F.array_max(array)) - 1).cast("double")
@@ -116,6 +150,11 @@ class StackingModel:
         extra = ["prediction", "probability"] if self.classifier else ["prediction"]
         return scored.withColumn("features", F.col("_own")).select(*rows.columns, *extra)
 
+    def save(self, path: str) -> None:
+        self.final.save(f"{path}/final")
+        parts = _save_parts(path, self.models)
+        save_note(path, {"kind": "stacking", "parts": parts, "classifier": self.classifier, "classes": self.classes})
+
 
 def _stack_inputs(models, rows: DataFrame, classifier: bool, classes: int | None) -> DataFrame:
     """Add ``_stacked``: class probabilities (of class 1 only for two classes) or predictions."""
@@ -157,14 +196,15 @@ CUT_EVERY = 10
 
 
 class BoostedStumps:
-    """Weighted vote of stumps; all stumps are one column expression."""
+    """Weighted vote of stumps (feature, cut, class at or below it, class above it, weight); all are one column expression."""
 
-    def __init__(self, stumps: list[tuple[Column, float]], classes: int):
+    def __init__(self, stumps: list[tuple[int, float, float, float, float]], classes: int):
         self.stumps, self.classes = stumps, classes
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        total = sum(alpha for _, alpha in self.stumps)
-        votes = F.array(*[F.struct(tree.alias("c"), F.lit(alpha).alias("a")) for tree, alpha in self.stumps])
+        total = sum(alpha for *_, alpha in self.stumps)
+        side = lambda f, cut, low, high: F.when(F.get("features", F.lit(f)) <= F.lit(cut), F.lit(low)).otherwise(F.lit(high))
+        votes = F.array(*[F.struct(side(*stump).alias("c"), F.lit(alpha).alias("a")) for *stump, alpha in self.stumps])
         out = rows.withColumn("_votes", votes)
         # Centred votes: a stump gives alpha to its class and -alpha/(K-1) to the others.
         k = self.classes
@@ -182,49 +222,105 @@ class BoostedStumps:
         out = out.withColumn("probability", F.transform("_powered", lambda v: v / scale))
         return out.withColumn("prediction", _argmax("_decision")).select(*rows.columns, "prediction", "probability")
 
+    def save(self, path: str) -> None:
+        save_note(path, {"kind": "stumps", "stumps": self.stumps, "classes": self.classes})
+
+
+@loads("stumps")
+def _load_stumps(spark, path: str, note: dict) -> BoostedStumps:
+    return BoostedStumps([tuple(s) for s in note["stumps"]], note["classes"])
+
 
 class AdaBoostClassifier:
-    """Multi-class exponential boosting of depth-1 trees (SAMME, Hastie et al. 2009)."""
+    """Multi-class exponential boosting of depth-1 trees (SAMME, Hastie et al. 2009).
+
+    The rows are binned and written once; a round is one job that adds up the
+    rows' weights per feature, bin and class. Weights follow from the stumps so
+    far, so nothing is written between rounds, and the best stump and its error
+    both follow from the sums.
+    """
 
     def __init__(self, rounds: int = 50, rate: float = 1.0, seed: int = 42):
         self.rounds, self.rate, self.seed = rounds, rate, seed
 
     def fit(self, train: DataFrame) -> BoostedStumps:
         k = max(2, n_classes(train))
-        n = train.count()
-        data = cut_lineage(train.select("row_id", "features", "label").withColumn("weight", F.lit(1.0 / n)))
-        stumps: list[tuple[Column, float]] = []
-        for step in range(self.rounds):
-            tree = DecisionTreeClassifier(
-                featuresCol="vector", labelCol="label", weightCol="weight", maxDepth=1, seed=self.seed + step
-            ).fit(with_vector(data))
-            guess = tree_expression(tree)
-            miss = (guess != F.col("label")).cast("double")
-            error = data.agg((F.sum(miss * F.col("weight")) / F.sum("weight")).alias("e")).first()["e"]
-            if error <= 0:
-                stumps.append((guess, 1.0))
+        cuts = quantile_cuts(train)
+        bins = max((len(c) for c in cuts), default=0) + 1
+
+        def bin_(batches):
+            for pdf in batches:
+                x = np.vstack(pdf["features"].to_numpy())
+                codes = np.stack([np.searchsorted(c, v) for c, v in zip(cuts, x.T, strict=True)], axis=1)
+                yield pd.DataFrame({"codes": list(codes.astype(np.int32)), "label": pdf["label"].astype(int)})
+
+        binned = cut_lineage(train.select("features", "label").mapInPandas(bin_, "codes array<int>, label int"))
+        found: list[tuple[int, int, float, float, float]] = []  # as the model's, with the bin instead of the cut
+        while len(found) < self.rounds:
+            sums = self._sums(binned, found, len(cuts), bins, k)
+            if not sums.any():
+                raise ValueError("no rows to fit on")
+            feature, at, low, high, error = _best_stump(sums)
+            if error <= 1e-12:
+                found.append((feature, at, low, high, 1.0))
                 break
             if error >= 1 - 1 / k:
                 break
-            alpha = self.rate * (math.log((1 - error) / error) + math.log(k - 1))
-            stumps.append((guess, alpha))
-            data = data.withColumn("weight", F.col("weight") * F.exp(F.lit(alpha) * miss))
-            if (step + 1) % CUT_EVERY == 0:
-                data = cut_lineage(data)
-        if not stumps:
+            found.append((feature, at, low, high, self.rate * (math.log((1 - error) / error) + math.log(k - 1))))
+        if not found:
             raise ValueError("the first stump is no better than chance")
-        return BoostedStumps(stumps, k)
+        # A stump that sends every row to one side has no threshold.
+        cut = lambda f, b: float(cuts[f][b]) if b < len(cuts[f]) else float("inf")
+        return BoostedStumps([(f, cut(f, b), low, high, alpha) for f, b, low, high, alpha in found], k)
+
+    @staticmethod
+    def _sums(binned: DataFrame, found: list, features: int, bins: int, k: int) -> np.ndarray:
+        """Weight per feature, bin and class; a task ships its non-zero sums."""
+
+        def add(batches):
+            total = np.zeros(features * bins * k)
+            for pdf in batches:
+                codes, y = np.vstack(pdf["codes"].to_numpy()), pdf["label"].to_numpy()
+                weight = np.ones(len(y))
+                for f, b, low, high, alpha in found:
+                    weight *= np.where(np.where(codes[:, f] <= b, low, high) != y, math.exp(alpha), 1.0)
+                cell = (np.arange(features) * bins + codes) * k + y[:, None]
+                total += np.bincount(cell.ravel(), np.repeat(weight, features), len(total))
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"cell": at, "w": total[at]})
+
+        parts = binned.mapInPandas(add, "cell bigint, w double").groupBy("cell").agg(F.sum("w").alias("w")).toPandas()
+        out = np.zeros(features * bins * k)
+        out[parts["cell"].to_numpy(int)] = parts["w"].to_numpy(float)
+        return out.reshape(features, bins, k)
+
+
+def _best_stump(sums: np.ndarray) -> tuple[int, int, float, float, float]:
+    """(feature, bin, class at or below, class above, error) of the stump with the least weighted Gini impurity."""
+    below = sums.cumsum(axis=1)
+    whole = below[:, -1:, :]
+    above = whole - below
+    left, right = below.sum(axis=2), above.sum(axis=2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pure = np.where(left > 0, (below**2).sum(axis=2) / left, 0.0) + np.where(right > 1e-12 * left, (above**2).sum(axis=2) / right, 0.0)
+    f, b = divmod(int(pure.argmax()), sums.shape[1])
+    low = int(below[f, b].argmax())
+    high = int(above[f, b].argmax()) if right[f, b] > 1e-12 * left[f, b] else low
+    return f, b, float(low), float(high), float(1 - (below[f, b, low] + above[f, b, high]) / whole[f].sum())
 
 
 class BoostedTrees:
-    """Weighted median of the trees' predictions."""
+    """Weighted median of the predictions of trees, given as their preorder nodes."""
 
-    def __init__(self, trees: list[tuple[Column, float]]):
+    def __init__(self, trees: list[tuple[list[dict], float]]):
         self.trees = trees
 
+    def save(self, path: str) -> None:
+        save_note(path, {"kind": "median", "trees": self.trees})
+
     def predict(self, rows: DataFrame) -> DataFrame:
         half = sum(w for _, w in self.trees) / 2
-        pairs = F.array_sort(F.array(*[F.struct(t.alias("y"), F.lit(w).alias("w")) for t, w in self.trees]))
+        pairs = F.array_sort(F.array(*[F.struct(nodes_expression(t).alias("y"), F.lit(w).alias("w")) for t, w in self.trees]))
         state = F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("double").alias("y"))
         median = F.aggregate(
             pairs,
@@ -238,6 +334,11 @@ class BoostedTrees:
         return rows.withColumn("prediction", median)
 
 
+@loads("median")
+def _load_median(spark, path: str, note: dict) -> BoostedTrees:
+    return BoostedTrees([(nodes, weight) for nodes, weight in note["trees"]])
+
+
 class AdaBoostRegressor:
     """Boosting of depth-3 trees by relative loss (AdaBoost.R2, Drucker 1997), with row weights."""
 
@@ -249,29 +350,30 @@ class AdaBoostRegressor:
     def fit(self, train: DataFrame) -> BoostedTrees:
         n = train.count()
         data = cut_lineage(train.select("row_id", "features", "label").withColumn("weight", F.lit(1.0 / n)))
-        trees: list[tuple[Column, float]] = []
+        trees: list[tuple[list[dict], float]] = []
         for step in range(self.rounds):
             tree = DecisionTreeRegressor(
                 featuresCol="vector", labelCol="label", weightCol="weight", maxDepth=3, seed=self.seed + step
             ).fit(with_vector(data))
-            guess = tree_expression(tree)
+            nodes = tree_nodes(tree)
+            guess = nodes_expression(nodes)
             gap = F.abs(guess - F.col("label"))
             worst = data.agg(F.max(gap).alias("m")).first()["m"]
             if worst == 0:
-                trees.append((guess, 1.0))
+                trees.append((nodes, 1.0))
                 break
             share = gap / F.lit(worst)
             loss = {"linear": share, "square": share * share, "exponential": 1 - F.exp(-share)}[self.loss]
             error = data.agg((F.sum(loss * F.col("weight")) / F.sum("weight")).alias("e")).first()["e"]
             if error <= 0:
-                trees.append((guess, 1.0))
+                trees.append((nodes, 1.0))
                 break
             if error >= 0.5:
                 if not trees:
-                    trees.append((guess, 1.0))
+                    trees.append((nodes, 1.0))
                 break
             beta = error / (1 - error)
-            trees.append((guess, self.rate * math.log(1 / beta)))
+            trees.append((nodes, self.rate * math.log(1 / beta)))
             data = data.withColumn("weight", F.col("weight") * F.pow(F.lit(beta), (1 - loss) * self.rate))
             if (step + 1) % CUT_EVERY == 0:
                 data = cut_lineage(data)
@@ -295,9 +397,48 @@ def _fourier(width: int, gamma: float, features: int, seed: int):
     return lift
 
 
+def _landmarked(kernel: str, gamma: float, degree: int, marks: list[list[float]]):
+    """Features whose inner products are the kernel's, exact between the landmark rows and close to it elsewhere (Nystroem).
+
+    The kernel between landmarks is inverted on its positive part; a sigmoid
+    kernel need not be positive, and what is not has no such features.
+    """
+    points = np.array(marks, float)
+
+    def value(x: np.ndarray) -> np.ndarray:
+        dots = gamma * (x @ points.T)
+        return np.tanh(dots) if kernel == "sigmoid" else dots**degree
+
+    own = value(points)
+    sizes, vectors = np.linalg.eigh((own + own.T) / 2)
+    kept = sizes > 1e-10 * max(float(sizes.max(initial=0.0)), 1e-300)
+    root = vectors[:, kept] / np.sqrt(sizes[kept])
+
+    @F.pandas_udf("array<double>")
+    def lift(x: pd.Series) -> pd.Series:
+        return pd.Series(list(value(np.vstack(x.to_numpy())) @ root))
+
+    return lift
+
+
+def _lifting(lifted: tuple | None):
+    """The feature map of a kernel with the settings in ``lifted``; none for the linear one."""
+    if lifted is None:
+        return None
+    kind, *settings = lifted
+    return _fourier(*settings) if kind == "rbf" else _landmarked(kind, *settings)
+
+
 class SvrModel:
-    def __init__(self, lift, model):
-        self.lift, self.model = lift, model
+    """A linear model on the features, or on what the kernel's map with the settings in ``lifted`` makes of them."""
+
+    def __init__(self, lifted: tuple | None, model):
+        self.lifted, self.model = lifted, model
+        self.lift = _lifting(lifted)
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        save_note(path, {"kind": "svr", "lifted": self.lifted})
 
     def predict(self, rows: DataFrame) -> DataFrame:
         lifted = rows.withColumn("_x", F.col("features"))
@@ -307,22 +448,31 @@ class SvrModel:
         return scored.select(*rows.columns, "prediction")
 
 
-class SupportVectorRegressor:
-    """Epsilon-insensitive regression, linear or with an approximated RBF kernel.
+@loads("svr")
+def _load_svr(spark, path: str, note: dict) -> SvrModel:
+    return SvrModel(tuple(note["lifted"]) if note["lifted"] else None, LinearRegressionModel.load(f"{path}/model"))
+
 
-    Fitted by reweighted least squares: rows outside the tube pull with the
-    weight that makes the quadratic touch the absolute loss at the current
-    error, rows inside do not pull. Each round is one distributed linear fit.
+class SupportVectorRegressor:
+    """Epsilon-insensitive regression; kernels through explicit features.
+
+    The RBF kernel takes random cosine features, the polynomial and the sigmoid
+    one the kernel values with ``width`` landmark rows, chosen by a hash of
+    their ids. Fitted by reweighted least squares: rows outside the tube pull
+    with the weight that makes the quadratic touch the absolute loss at the
+    current error, rows inside do not pull. Each round is one distributed
+    linear fit; rounds end once predictions move by less than ``tolerance`` of
+    the label's deviation on average, or after ``rounds``.
     """
 
     def __init__(
         self, c: float = 1.0, epsilon: float = 0.1, kernel: str = "rbf", gamma: str | float = "scale",
-        width: int = 128, rounds: int = 8, seed: int = 42,
+        degree: int = 3, width: int = 128, rounds: int = 30, tolerance: float = 1e-3, seed: int = 42,
     ):
-        if kernel not in ("rbf", "linear"):
-            raise ValueError(f"kernel {kernel!r} has no distributed form here")
-        self.c, self.epsilon, self.kernel, self.gamma = c, epsilon, kernel, gamma
-        self.width, self.rounds, self.seed = width, rounds, seed
+        if kernel not in ("rbf", "linear", "poly", "sigmoid"):
+            raise ValueError(f"unknown kernel {kernel!r}")
+        self.c, self.epsilon, self.kernel, self.gamma, self.degree = c, epsilon, kernel, gamma, degree
+        self.width, self.rounds, self.tolerance, self.seed = width, rounds, tolerance, seed
 
     def _gamma(self, train: DataFrame, d: int) -> float:
         if self.gamma == "auto":
@@ -332,15 +482,26 @@ class SupportVectorRegressor:
             return 1.0 / (d * spread) if spread else 1.0
         return float(self.gamma)
 
-    def fit(self, train: DataFrame) -> SvrModel:
+    def _lifted(self, train: DataFrame) -> tuple | None:
+        if self.kernel == "linear":
+            return None
         d = train.select(F.size("features")).first()[0]
-        lift = _fourier(self.width, self._gamma(train, d), d, self.seed) if self.kernel == "rbf" else None
+        gamma = self._gamma(train, d)
+        if self.kernel == "rbf":
+            return ("rbf", self.width, gamma, d, self.seed)
+        # At most `width` rows reach the driver.
+        marks = train.select("features").orderBy(seeded(F.col("row_id"), self.seed), "row_id").limit(self.width).collect()
+        return (self.kernel, gamma, self.degree, [list(r[0]) for r in marks])
+
+    def fit(self, train: DataFrame) -> SvrModel:
+        lifted = self._lifted(train)
+        lift = _lifting(lifted)
         base = train.select("row_id", "label", (lift("features") if lift else F.col("features")).alias("features"))
         base = cut_lineage(base)
         spread = base.agg(F.stddev_pop("label")).first()[0] or 1.0
         floor = 1e-3 * spread
         data = base.withColumn("target", F.col("label")).withColumn("weight", F.lit(self.c))
-        model = None
+        model, before = None, None
         for _ in range(self.rounds):
             total = data.agg(F.sum("weight")).first()[0]
             if not total:
@@ -350,6 +511,12 @@ class SupportVectorRegressor:
                 regParam=1.0 / total, elasticNetParam=0.0, standardization=False,
             ).fit(with_vector(data.filter("weight > 0")))
             scored = model.transform(with_vector(base))
+            if before is not None:
+                both = before.copy().setPredictionCol("_was").transform(scored)
+                gap = both.agg(F.avg(F.abs(F.col("prediction") - F.col("_was")))).first()[0]
+                if gap is not None and gap < self.tolerance * spread:
+                    break
+            before = model
             error = F.col("label") - F.col("prediction")
             excess = F.abs(error) - F.lit(self.epsilon)
             data = scored.select(
@@ -359,7 +526,7 @@ class SupportVectorRegressor:
                 (F.col("label") - F.signum(error) * self.epsilon).alias("target"),
                 F.when(excess > 0, self.c / F.greatest(excess, F.lit(floor))).otherwise(0.0).alias("weight"),
             )
-        return SvrModel(lift, model)
+        return SvrModel(lifted, model)
 
 
 class Unfittable:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from scoreweave.functions.scalar import HISTOGRAM_BINS, edge_bin, mean_or_zero
 from scoreweave.operators.order_stats import Point, exact_points, exact_quantiles
 from scoreweave.operators.profile import KEYS, bounds, cells, class_counts, covariance_matrix
-from scoreweave.session import cut_lineage
+from scoreweave.session import cut_lineage, measured
 
 # Trimmed share on each side, outlier reach in IQRs, normal-consistency factor of
 # the median deviation, and threshold of a notable correlation.
@@ -47,7 +47,7 @@ def general(matrix: DataFrame, profile: DataFrame, keys: Sequence[str] = KEYS) -
     keys = list(keys)
     size = profile.groupBy(*keys).agg(F.max("n").alias("nr_inst"), F.count("*").alias("nr_attr"))
     at_ends = (
-        matrix.join(F.broadcast(bounds(profile, keys)), keys)
+        matrix.join(measured(bounds(profile, keys)), keys)
         .select(*keys, F.posexplode(F.arrays_zip("features", "range")).alias("feature", "z"))
         .groupBy(*keys, "feature")
         .agg(
@@ -128,8 +128,8 @@ def column_measures(matrix: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
     pick = lambda name: F.max(F.when(F.col("point") == name, F.col("value"))).alias(name)
     ranks = cut_lineage(found.groupBy(*of).agg(*[pick(p) for p in ("q1", "median", "q3", "from", "to")]))
-    # A feature-sized table beside every cell.
-    placed = values.join(F.broadcast(ranks), of)
+    # A feature-sized table beside every cell, read back with its size known.
+    placed = values.join(ranks, of)
     v = F.col("value")
     trimmed = placed.groupBy(*of, "from", "to").agg(
         F.count("*").alias("_n"),

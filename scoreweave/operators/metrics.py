@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from scoreweave.functions.scalar import binary_search, min_max
 from scoreweave.operators.cleaning import with_small_row
+from scoreweave.session import cut_lineage, measured
 
 KEYS = ("dataset_name", "model_name", "split")
+#: Ways a range of scores is split at a time, as a power of two, and the distinct scores a range may keep.
 SEARCH_STEPS = 8
 SCORE_BUCKETS = 1 << SEARCH_STEPS
+RANGE_ROWS = 50_000
 
 
 def confusion(predictions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -68,37 +71,53 @@ def macro_scores(matrix: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
+def ranges(values: DataFrame, keys: Sequence[str], x: str, most: int | None = None) -> DataFrame:
+    """Add ``_range``, the lower end of the range that holds ``x``; no range has more than ``most`` rows of a group.
+
+    Values must be distinct within a group, and ranges of a group are in the
+    order of their lower ends. A range with too many rows is split at sketched
+    quantiles of its own, and its parts again, so rows per range stay bounded
+    however large or uneven a group is. Small groups stay one range.
+    """
+    keys, most = list(keys), most or RANGE_ROWS
+    placed = values.withColumn("_range", F.lit(float("-inf")))
+    steps = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
+    while True:
+        full = measured(placed.groupBy(*keys, "_range").count().filter(F.col("count") > most).drop("count"))
+        if full.isEmpty():
+            return placed
+        within = placed.join(full, [*keys, "_range"])
+        edges = measured(within.groupBy(*keys, "_range").agg(F.percentile_approx(x, steps, 4 * SCORE_BUCKETS).alias("_edges")))
+        at = binary_search(F.col("_edges"), F.col(x), SEARCH_STEPS)
+        lower = F.coalesce(F.get("_edges", at - 1), F.col("_range"))
+        # Values at an edge belong below it, so that the last range is never empty of greater ones.
+        placed = cut_lineage(placed.join(edges, [*keys, "_range"], "left").withColumn("_range", lower).select(*placed.columns))
+
+
 def auc(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Exact area under the ROC curve per group, ties at mid-rank.
 
     ``scored`` has ``score`` and ``positive`` (0/1). Equal scores are counted
     together before anything is ordered; the distinct scores are then spread
-    over sketch-bounded ranges, accumulated inside each range, and shifted by
-    the negatives of the ranges below. No group is ordered in a single task.
-    A group with one class only has no area: null.
+    over ranges of RANGE_ROWS at most (`ranges`), accumulated inside each range,
+    and shifted by the negatives of the ranges below. A group with one class
+    only has no area: null.
     """
     keys = list(keys)
     tallies = scored.groupBy(*keys, "score").agg(
         F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("q")
     )
-    steps = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
-    # One array of SCORE_BUCKETS - 1 doubles per group.
-    edges = scored.groupBy(*keys).agg(F.percentile_approx("score", steps, 4 * SCORE_BUCKETS).alias("_edges"))
-    placed = (
-        tallies.join(F.broadcast(edges), keys)
-        .withColumn("_range", binary_search(F.col("_edges"), F.col("score"), SEARCH_STEPS))
-        .drop("_edges")
-    )
+    placed = ranges(cut_lineage(tallies), keys, "score")
     below = Window.partitionBy(*keys, "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     inner = placed.withColumn("_q_below", F.coalesce(F.sum("q").over(below), F.lit(0)))
-    ranges = inner.groupBy(*keys, "_range").agg(
+    summed = inner.groupBy(*keys, "_range").agg(
         F.sum("p").alias("p"),
         F.sum("q").alias("q"),
         F.sum(F.col("p") * (F.col("_q_below") + F.col("q") / 2.0)).alias("wins"),
     )
-    # At most SCORE_BUCKETS rows per group from here on.
+    # A row per range from here on.
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifted = ranges.withColumn("_q_before", F.coalesce(F.sum("q").over(earlier), F.lit(0)))
+    shifted = summed.withColumn("_q_before", F.coalesce(F.sum("q").over(earlier), F.lit(0)))
     wins = F.sum(F.col("wins") + F.col("p") * F.col("_q_before"))
     pairs = F.sum("p").cast("double") * F.sum("q").cast("double")
     return shifted.groupBy(*keys).agg(F.try_divide(wins, pairs).alias("auc_roc"))
@@ -133,7 +152,7 @@ def score_column(predictions: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
         keys = list(keys)
         span = predictions.groupBy(*keys).agg(F.min("decision").alias("_lo"), F.max("decision").alias("_hi"))
         return (
-            predictions.join(F.broadcast(span), keys)
+            predictions.join(measured(span), keys)
             .withColumn("score", min_max(F.col("decision"), F.col("_lo"), F.col("_hi")))
             .drop("_lo", "_hi")
         )

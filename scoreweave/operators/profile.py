@@ -23,7 +23,7 @@ from scoreweave.functions.scalar import (
     mean_or_zero,
 )
 from scoreweave.operators.order_stats import exact_quantiles
-from scoreweave.session import cut_lineage
+from scoreweave.session import cut_lineage, measured
 from scoreweave.sources.registry import BINARY, MULTICLASS, REGRESSION
 
 KEYS = ("dataset_name", "split")
@@ -129,8 +129,8 @@ def binned_counts(matrix: DataFrame, profile: DataFrame, keys: Sequence[str] = K
     counts are written out: every measure below reads them several times.
     """
     keys = list(keys)
-    ranged = matrix.join(F.broadcast(bounds(profile, keys)), keys).join(
-        F.broadcast(label_bounds(matrix, keys)), keys
+    ranged = matrix.join(measured(bounds(profile, keys)), keys).join(
+        measured(label_bounds(matrix, keys)), keys
     )
     klass = F.when(
         F.col("task") == REGRESSION, edge_bin(F.col("label"), F.col("label_low"), F.col("label_high"))
@@ -306,7 +306,7 @@ def target_stats(matrix: DataFrame, keys: Sequence[str] = ("dataset_name",)) ->
     )
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     outliers = (
-        rows.join(F.broadcast(fences), keys)
+        rows.join(measured(fences), keys)
         .groupBy(*keys)
         .agg(
             F.count_if((F.col("label") < F.col("q1") - reach) | (F.col("label") > F.col("q3") + reach)).alias(

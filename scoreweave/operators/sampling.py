@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreweave.functions.hashing import prefix, seeded
-from scoreweave.session import cut_lineage
+from scoreweave.session import cut_lineage, measured
 
 DIGITS = 2  # 256 digest buckets per stratum, twice over: rank 1 row in 65,536
 
@@ -118,14 +118,14 @@ def assign_split(
     # At most two buckets per stratum hold a cut.
     edges = _holding(located, group, "_bucket")
     finer = (
-        slim.join(F.broadcast(edges), [*group, "_bucket"])
+        slim.join(measured(edges), [*group, "_bucket"])
         .groupBy(*group, "_bucket", "_fine", "_before", "_q_test", "_q_both")
         .agg(F.count("*").alias("_c"))
         .withColumnRenamed("_before", "_base")
     )
     rank = Window.partitionBy(*group, "_fine").orderBy("_h", "_key")
     ranked = (
-        slim.join(F.broadcast(_holding(finer, [*group, "_bucket"], "_fine").drop("_bucket")), [*group, "_fine"])
+        slim.join(measured(_holding(finer, [*group, "_bucket"], "_fine").drop("_bucket")), [*group, "_fine"])
         .withColumn("_rank", F.col("_before") + F.row_number().over(rank))
         .filter("_rank = _q_test or _rank = _q_both")
     )
@@ -138,7 +138,7 @@ def assign_split(
         )
     )
     here = F.struct(F.col("_h"), F.col(key).alias("_key"))
-    return keyed.join(F.broadcast(thresholds), group, "left").select(
+    return keyed.join(thresholds, group, "left").select(
         *df.columns,
         F.when(here <= F.col("_test"), "test").when(here <= F.col("_both"), "val").otherwise("train").alias("split"),
     )

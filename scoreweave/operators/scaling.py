@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreweave.functions.scalar import nan_to_null
 from scoreweave.operators.cleaning import with_small_row
+from scoreweave.session import measured
 
 
 def centred(value: Column, mean: Column, std: Column) -> Column:
@@ -80,7 +81,7 @@ def apply_arrays(matrix: DataFrame, stats: DataFrame, keys: Sequence[str] = ("da
         lambda z: centred(F.coalesce(z["features"], z["stats"]["mean"]), z["stats"]["mean"], z["stats"]["std"]),
     )
     return (
-        matrix.join(F.broadcast(stats), list(keys))
+        matrix.join(measured(stats), list(keys))
         .withColumn("features", scaled)
         .drop("stats")
         .select(*matrix.columns)

@@ -9,15 +9,14 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreweave.functions.hashing import fold_of
 from scoreweave.functions.scalar import nan_to_null
-from scoreweave.learners.base import Learner, Model, SparkLearner
+from scoreweave.learners.base import Learner, Model
+from scoreweave.learners.batched import Run, Setting, TreeLearner, fit_trees, trial_errors
 from scoreweave.learners.custom import AdaBoostRegressor, NearestNeighbours, SupportVectorRegressor
-from scoreweave.learners.roster import DEEPEST
 from scoreweave.operators.encoding import column_levels, indicator
 from scoreweave.operators.scaling import centred, restored
 from scoreweave.session import cut_lineage
@@ -31,9 +30,19 @@ METRICS = {
 KEYS = ("dataset_name", "split")
 
 
-def meta_dataset(meta_features: DataFrame, scores: DataFrame) -> DataFrame:
-    """Meta-features of a (dataset, split) beside the scores of each model that trained on it."""
-    return scores.join(meta_features, list(KEYS), "inner")
+def meta_dataset(meta_features: DataFrame, scores: DataFrame, unscored: bool = False) -> DataFrame:
+    """Meta-features of a (dataset, split) beside the scores of each model that trained on it.
+
+    With ``unscored``, splits without scores stay too, as training rows do: a
+    row per model of the dataset, its scores null. Preparing carries them along,
+    and neither the search nor the predictions use them.
+    """
+    if not unscored:
+        return scores.join(meta_features, list(KEYS), "inner")
+    models = scores.select("dataset_name", "model_name").distinct()
+    return meta_features.join(models, "dataset_name").join(scores, [*KEYS, "model_name"], "left").select(
+        *scores.columns, *[c for c in meta_features.columns if c not in KEYS]
+    )
 
 
 def feature_columns(meta: DataFrame, task: str) -> list[str]:
@@ -72,12 +81,14 @@ def meta_prepare(meta: DataFrame, task: str) -> Prepared:
         for c in columns
     ]
     dummies = [indicator("model_name", name).cast("double") for name in names]
-    per_split = Window.partitionBy("split")  # the meta-dataset: datasets x models rows
+    if "auc_roc" in metrics:
+        usual = clean.groupBy("split").agg(F.avg(nan_to_null(F.col("auc_roc"))).alias("_usual"))
+        clean = clean.join(usual, "split")
     targets = []
     for metric in metrics:
         value = F.col(metric)
         if metric == "auc_roc":
-            value = F.coalesce(nan_to_null(value), F.avg(nan_to_null(value)).over(per_split))
+            value = F.coalesce(nan_to_null(value), F.col("_usual"))
         if task == REGRESSION:
             value = centred(value, number(moments[f"{metric}__m"]), number(moments[f"{metric}__s"]))
         targets.append(value.alias(f"{metric}_target"))
@@ -162,37 +173,37 @@ def spaces(task: str) -> dict[str, dict[str, list]]:
     return NARROW_SPACES if task == MULTICLASS else WIDE_SPACES
 
 
+#: Families whose trials are all fitted in one job.
+TREE_FAMILIES = ("xgb", "rf", "lgbm")
+
+
+def tree_setting(family: str, params: dict) -> tuple[Setting, int]:
+    """How the trees of one setting grow, and how many there are."""
+    p = dict(params)
+    rounds = p.pop("n_estimators", 100)
+    if family == "xgb":
+        return Setting(p.get("learning_rate", 0.3), p.get("max_depth", 6), subsample=p.get("subsample", 1.0)), rounds
+    if family == "lgbm":
+        # This family grows the best leaf first, holds 20 rows in a leaf and has no penalty unless told otherwise.
+        return Setting(
+            p.get("learning_rate", 0.1), None, p.get("num_leaves", 31), p.get("subsample", 1.0),
+            p.get("colsample_bytree", 1.0), float(p.get("min_split_gain", 0.0)), min_leaf=20, l2=0.0,
+        ), rounds
+    tried = p.get("max_features", "auto")
+    return Setting(
+        1.0, p.get("max_depth"), min_leaf=p.get("min_samples_leaf", 1), min_split=p.get("min_samples_split", 2), l2=0.0,
+        forest=True, bootstrap=p.get("bootstrap", True), node_columns="all" if tried == "auto" else tried,
+    ), rounds
+
+
 def candidate(family: str, params: dict) -> Learner:
     """The learner for one setting."""
     p = dict(params)
-    if family in ("xgb", "lgbm"):
-        leaves = p.get("num_leaves")
-        depth = p.get("max_depth", 6) if leaves is None else max(2, leaves.bit_length())
-        share = p.get("colsample_bytree")
-        est = GBTRegressor(
-            maxIter=p.get("n_estimators", 100),
-            maxDepth=depth,
-            subsamplingRate=p.get("subsample", 1.0),
-            stepSize=p.get("learning_rate", 0.3),
-            featureSubsetStrategy="all" if share in (None, 1.0) else str(share),
-            minInfoGain=float(p.get("min_split_gain", 0.0)),
-            seed=42,
-        )
-        return SparkLearner(est, False)
-    if family == "rf":
-        est = RandomForestRegressor(
-            numTrees=p.get("n_estimators", 100),
-            maxDepth=min(p.get("max_depth") or DEEPEST, DEEPEST),
-            featureSubsetStrategy={"auto": "all"}.get(p.get("max_features", "auto"), p.get("max_features", "all")),
-            # A node of fewer rows than the split minimum stays a leaf: its halves would be below this.
-            minInstancesPerNode=p.get("min_samples_leaf", 1),
-            bootstrap=p.get("bootstrap", True),
-            seed=42,
-        )
-        return SparkLearner(est, False)
+    if family in TREE_FAMILIES:
+        return TreeLearner(*tree_setting(family, p))
     if family == "svr":
         return SupportVectorRegressor(
-            p.get("C", 1.0), p.get("epsilon", 0.1), p.get("kernel", "rbf"), p.get("gamma", "scale")
+            p.get("C", 1.0), p.get("epsilon", 0.1), p.get("kernel", "rbf"), p.get("gamma", "scale"), p.get("degree", 3)
         )
     if family == "knn":
         return NearestNeighbours(p.get("n_neighbors", 5), False, p.get("weights", "uniform"), p.get("p", 2))
@@ -245,11 +256,15 @@ def search(
 ) -> Searched:
     """Randomised search by cross-validated MAE, then a fit of the winner on all rows.
 
-    Every (setting, fold) is its own set of Spark jobs; ``parallelism`` of them
-    are in flight at once. A setting that cannot be fitted is a trial without
-    a score. ``train`` and ``test`` have row_id, features and label.
+    Trees of all (setting, fold) trials grow together in one job; of other
+    families every trial is its own set of Spark jobs, ``parallelism`` of them
+    in flight at once. A setting that cannot be fitted is a trial without a
+    score. ``train`` and ``test`` have row_id, features and label.
     """
     candidate(family, {})  # an unknown family fails here
+    if family in TREE_FAMILIES:
+        one = lambda df: None if df is None else df.withColumn("targets", F.array(F.col("label").cast("double")))
+        return search_trees(one(train), one(test), 1, family, space, n_iter, folds, seed)[0]
     settings = draw(space, n_iter, seed)
     folded = cut_lineage(
         train.select("row_id", "features", "label", fold_of(F.col("row_id"), seed, folds).alias("_fold"))
@@ -281,6 +296,53 @@ def search(
     return Searched(model, params, best["cv_mae"], test_error, trials)
 
 
+def search_trees(
+    train: DataFrame, test: DataFrame | None, n_targets: int, family: str, space: dict[str, list],
+    n_iter: int = 50, folds: int = 5, seed: int = SEARCH_SEED,
+) -> list[Searched]:
+    """The same search of a tree family for several targets at once: one job for all trials, one for the winners.
+
+    Rows have row_id, features and targets, an array of ``n_targets`` values,
+    null where a row has none; such a row is left out of that target's trials.
+    """
+    settings = draw(space, n_iter, seed)
+    folded = cut_lineage(train.select("row_id", "features", "targets", fold_of(F.col("row_id"), seed, folds).alias("_fold")))
+    present = sorted(row[0] for row in folded.select("_fold").distinct().collect())
+    grown: dict[Setting, list[tuple[int, int, str]]] = {}
+    for at, params in enumerate(settings):
+        setting, rounds = tree_setting(family, params)
+        grown.setdefault(setting, []).append((rounds, at, json.dumps(params)))
+    runs = [Run(s, tuple(t), target, fold) for target in range(n_targets) for fold in present for s, t in grown.items()]
+    if runs:
+        errors = cut_lineage(trial_errors(folded, runs))
+    else:
+        errors = train.sparkSession.createDataFrame([], "target int, candidate int, params string, fold int, mae double")
+    # A fold without a row of this target has no error, and says nothing about its settings.
+    named = errors.select("target", F.lit(family).alias("family"), "candidate", "params", "fold", nan_to_null(F.col("mae")).alias("mae"))
+    trials = [
+        named.filter((F.col("target") == target) & F.col("mae").isNotNull()).drop("target").withColumn("reason", F.lit(""))
+        for target in range(n_targets)
+    ]
+    best = [best_candidate(t).first() for t in trials]
+    winners = []
+    for target, row in enumerate(best):
+        if row is not None:
+            setting, rounds = tree_setting(family, json.loads(row["params"]))
+            winners.append(Run(setting, ((rounds, 0, ""),), target))
+    models = fit_trees(folded, winners) if winners else {}
+    out = []
+    for target, row in enumerate(best):
+        if row is None:
+            out.append(Searched(None, None, None, None, trials[target]))
+            continue
+        error = None
+        if test is not None:
+            labelled = test.withColumn("label", F.get("targets", F.lit(target))).filter("label is not null")
+            error = _mae(models[target], labelled)
+        out.append(Searched(models[target], json.loads(row["params"]), row["cv_mae"], error, trials[target]))
+    return out
+
+
 def best_candidate(trials: DataFrame) -> DataFrame:
     """The setting with the lowest mean fold error, among those that fitted on every fold."""
     means = trials.groupBy("family", "candidate", "params").agg(
@@ -304,22 +366,21 @@ def train_meta_models(
     space: dict[str, list] | None = None, parallelism: int = 4,
 ) -> dict[str, Searched]:
     """One searched model per metric, trained on validation rows and measured on test rows."""
-    budget = SEARCH[task]
-    out = {}
+    n_iter, folds = n_iter or SEARCH[task][0], folds or SEARCH[task][1]
+    space = space or spaces(task)[family]
     rows = cut_lineage(prepared.rows)
+    if family in TREE_FAMILIES:
+        targets = rows.select("split", "row_id", "features", F.array(*[f"{m}_target" for m in METRICS[task]]).alias("targets"))
+        parts = [targets.filter(F.col("split") == s).drop("split") for s in ("val", "test")]
+        found = search_trees(*parts, len(METRICS[task]), family, space, n_iter, folds)
+        return dict(zip(METRICS[task], found, strict=True))
+    out = {}
     for metric in METRICS[task]:
         labelled = rows.filter(F.col(f"{metric}_target").isNotNull()).select(
             "split", "row_id", "features", F.col(f"{metric}_target").alias("label")
         )
-        out[metric] = search(
-            labelled.filter("split = 'val'").drop("split"),
-            labelled.filter("split = 'test'").drop("split"),
-            family,
-            space or spaces(task)[family],
-            n_iter or budget[0],
-            folds or budget[1],
-            parallelism=parallelism,
-        )
+        parts = [labelled.filter(F.col("split") == s).drop("split") for s in ("val", "test")]
+        out[metric] = search(*parts, family, space, n_iter, folds, parallelism=parallelism)
     return out
 
 

@@ -12,7 +12,7 @@ from scoreweave.operators.encoding import indicator, levels
 from scoreweave.operators.sampling import assign_split
 from scoreweave.operators.scaling import apply_arrays, fit_arrays
 from scoreweave.session import cut_lineage
-from scoreweave.sources.registry import ALL, REGRESSION, Loaded, Spec, open_all
+from scoreweave.sources.registry import ALL, REGRESSION, Loaded, NoDatasets, Spec, open_all
 
 
 class Matrices:
@@ -23,9 +23,15 @@ class Matrices:
             name: (df, [*spec.categorical, *((spec.label,) if spec.text_label else ())])
             for name, (spec, df) in loaded.frames.items()
         }
-        self._levels = levels(texts)
-        self.specs: dict[str, Spec] = {name: spec for name, (spec, _) in loaded.frames.items()}
-        self.frames = {name: self._matrix(spec, df) for name, (spec, df) in loaded.frames.items()}
+        self._levels, wide = levels(texts)
+        # A table with too many levels for columns is left out by name; the others go on.
+        for name, n in wide.items():
+            loaded.failures[name] = f"{n} levels"
+        kept = {name: pair for name, pair in loaded.frames.items() if name not in wide}
+        if not kept:
+            raise NoDatasets("no dataset could be encoded: " + "; ".join(loaded.failures.values()))
+        self.specs: dict[str, Spec] = {name: spec for name, (spec, _) in kept.items()}
+        self.frames = {name: self._matrix(spec, df) for name, (spec, df) in kept.items()}
 
     def classes(self, name: str) -> list[str]:
         return self._levels[name].get(self.specs[name].label, [])

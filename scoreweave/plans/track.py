@@ -41,13 +41,12 @@ def run_track(
     for name in matrices.specs:
         fit_and_predict(table, name, learners or roster(task), fitted)
     for (dataset, model), trained in fitted.models.items():
-        if hasattr(trained, "save"):
-            log.log_model(trained, f"learner={dataset}.{model}".replace(" ", "-"), f"{out}/models")
+        log.log_model(trained, f"learner={dataset}.{model}".replace(" ", "-"), f"{out}/models")
     scores = cut_lineage(performance(fitted, task))
     log.log_metrics_table(scores, ("dataset_name", "model_name", "split"), metrics)
 
-    joined = cut_lineage(meta.meta_dataset(profiles, scores))
-    for split in ("val", "test"):
+    joined = cut_lineage(meta.meta_dataset(profiles, scores, unscored=True))
+    for split in ("train", "val", "test"):
         log.log_artifact(write_table(joined.filter(f"split = '{split}'"), f"{out}/joined_scores/{split}", "csv"))
 
     ready = meta.meta_prepare(joined, task)
@@ -60,8 +59,7 @@ def run_track(
         log.log_metric(f"{metric}.{family}.cv_error", found.cv_error)
         log.log_metric(f"{metric}.{family}.test_error", found.test_error)
         log.log_param(f"{metric}.{family}.chosen", found.params)
-        if hasattr(found.model, "save"):
-            log.log_model(found.model, f"predictor={metric}.{family}", f"{out}/models")
+        log.log_model(found.model, f"predictor={metric}.{family}", f"{out}/models")
 
     predicted = cut_lineage(meta.predict_scores(ready, models, task))
     for split in ("val", "test"):

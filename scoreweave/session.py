@@ -74,6 +74,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """``df`` written once, so that Spark plans with the size of its files.
+
+    For tables that are small as a rule, such as a row per table or feature:
+    they are broadcast as long as they are below the session's threshold, and
+    joined by a shuffle beyond it. Nothing here hints a broadcast.
+    """
+    return cut_lineage(df)
+
+
 def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 

@@ -181,7 +181,7 @@ def _tile_join(
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"qid": [], "rid": [], "powered": [], **{c: [] for c in carried}})
+            return pd.DataFrame({c: np.array([], dtype=object) for c in ("qid", "rid", "powered", *carried)})
         right = right.sort_values("rid", kind="stable")
         a, b = _stack(left["x"]), _stack(right["x"])
         found = []

@@ -213,7 +213,7 @@ def test_adaboost_equals_plain_rounds(spark, matrix):
 
     rng = np.random.default_rng(8)
     x = rng.integers(0, 8, size=(200, 3)).astype(float)
-    y = ((x[:, 0] + x[:, 1] > 7) + (x[:, 2] > 5)).astype(int)
+    y = (x[:, 0] + x[:, 1] > 7).astype(int) + (x[:, 2] > 5).astype(int)
     model = AdaBoostClassifier(12).fit(matrix(x, y, "multiclass"))
     w, total = np.ones(200), np.zeros((200, 3))
     for feature, cut, low, high, alpha in model.stumps:

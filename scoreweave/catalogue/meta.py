@@ -17,7 +17,7 @@ from scoreweave.functions.hashing import prefix
 from scoreweave.operators import metrics, profile
 from scoreweave.plans import meta, reports
 from scoreweave.plans.record import full_record
-from scoreweave.session import ensure_checkpoint_dir
+from scoreweave.session import cut_lineage, ensure_checkpoint_dir
 from scoreweave.sources import readers
 from scoreweave.sources.readers import table
 from scoreweave.sources.registry import BINARY, MULTICLASS, REGRESSION
@@ -280,10 +280,16 @@ def union_predictions(spark, folder):
     return rounded(reports.union_predictions(*sides), 6)
 
 
+_RECORDS: dict[tuple, object] = {}
+
+
 def _full_meta(spark, folder, names, scores):
-    """The whole meta-feature record of the held-out splits beside their scores."""
-    matrix = shared_prepared(spark, folder).filter(F.col("dataset_name").isin(*names) & (F.col("split") != "train"))
-    return meta.meta_dataset(full_record(matrix), scores)
+    """The whole meta-feature record of the held-out splits beside their scores; the record is written once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder, names)
+    if key not in _RECORDS:
+        matrix = shared_prepared(spark, folder).filter(F.col("dataset_name").isin(*names) & (F.col("split") != "train"))
+        _RECORDS[key] = cut_lineage(full_record(matrix))
+    return meta.meta_dataset(_RECORDS[key], scores)
 
 
 def _searched(spark, folder):

@@ -170,4 +170,5 @@ def test_one_hot_null_alignment_and_level_limit(spark):
     aligned = encoding.one_hot_align(left, right, "s", "m")[1]
     assert aligned.columns == ["i", "m_a", "m_b"] and sorted(map(tuple, aligned.collect())) == [(1, 0, 1), (2, 0, 0)]
     with pytest.raises(encoding.TooManyLevels):
-        encoding.levels({"t": (left, ["s"])}, limit=1)
+        encoding.column_levels(left, ["s"], limit=1)
+    assert encoding.levels({"t": (left, ["s"]), "u": (left.limit(1), ["s"])}, limit=1) == ({"u": {"s": ["a"]}}, {"t": 2})

@@ -118,7 +118,7 @@ _LEARNERS = (
     SELECT unnest({list(_LEARNERS)}) AS model_name, n AS n_rows, n AS n_equal FROM test""")
 def model_roundtrip(spark, folder):
     """Every learner of the task, saved, loaded and asked again. Small ones will do: it is the files that are tried."""
-    rows = shared_prepared(spark, folder).filter("dataset_name = 'doc_quality'")
+    rows = shared_prepared(spark, folder, "doc_quality")
     train = rows.filter("split = 'train'").select("row_id", "features", "label")
     held = rows.filter("split = 'test'").select("row_id", "features", "label")
     home, out = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}", None

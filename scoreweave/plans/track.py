@@ -34,7 +34,7 @@ def run_track(
     log = RunLog(spark, f"{out}/run_log")
     log.start_run()
     matrices = Matrices(load_all(spark, folder, specs or track(task)))
-    table = prepared_table(matrices.union(), fit_on=fit_on)
+    table = prepared_table(matrices, fit_on=fit_on)
 
     profiles = cut_lineage(full_record(table))
     fitted = Fitted()

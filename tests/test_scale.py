@@ -139,3 +139,29 @@ def test_measured_tables_are_broadcast_only_while_small(spark):
         assert "BroadcastHashJoin" not in joined._jdf.queryExecution().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_datasets_are_prepared_apart(spark, tmp_path):
+    """A query that works on one dataset reads and writes that dataset only; splits are those of all datasets together."""
+    from scoreweave.catalogue.common import shared_prepared
+    from scoreweave.plans.prepare import split_each, split_matrix
+
+    events = spark.range(200).select(
+        F.col("id").alias("event_id"), (F.col("id") * 1.5).alias("value"), F.format_string('{"k": %d}', F.col("id") % 7).alias("props"),
+        F.when(F.col("id") % 3 == 0, "view").otherwise("error").alias("event_type"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")  # there is no other table in the folder
+    rows = shared_prepared(spark, str(tmp_path), "event_value")
+    assert rows.filter("dataset_name = 'event_value' and task = 'regression'").count() == 200
+    assert {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()} == {"train": 120, "val": 40, "test": 40}
+
+    both = {
+        name: spark.range(90).select(
+            F.lit(name).alias("dataset_name"), F.lit(task).alias("task"), F.concat(F.lit(name), "id").alias("row_id"),
+            (F.col("id") % 3).cast("double").alias("label"), F.array(F.col("id").cast("double")).alias("features"),
+        )
+        for name, task in (("a", "multiclass"), ("b", "regression"))
+    }
+    apart = split_each(both)
+    together = split_matrix(both["a"].unionByName(both["b"]))
+    assert sorted(apart["a"].unionByName(apart["b"]).collect()) == sorted(together.collect())

@@ -165,3 +165,25 @@ def test_datasets_are_prepared_apart(spark, tmp_path):
     apart = split_each(both)
     together = split_matrix(both["a"].unionByName(both["b"]))
     assert sorted(apart["a"].unionByName(apart["b"]).collect()) == sorted(together.collect())
+
+
+@pytest.mark.parametrize("apart", [None, "g"])
+@pytest.mark.parametrize("p", [1, 2, float("inf")])
+def test_equal_vectors_are_searched_once(spark, monkeypatch, apart, p):
+    """Few different vectors: tiles see k copies of each, and the result is that of the plain search."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 4, (600, 2)).astype(float)
+    rows = spark.createDataFrame(
+        [(f"r{i:03d}", [float(v) for v in x[i]], float(i % 5), i % 3) for i in range(600)],
+        "row_id string, features array<double>, label double, g int",
+    )
+    picked = rows.filter("label < 2")
+    sizes = []
+    inner = knn._search
+    monkeypatch.setattr(knn, "_search", lambda q, r, n, *a: sizes.append((q.count(), n)) or inner(q, r, n, *a))
+    got = knn.knn_join(picked, rows, 4, p=p, apart=apart).orderBy("qid", "rank").collect()
+    at_most = 16 * 4 * (3 if apart else 1)
+    assert sizes[0][0] <= at_most / 4 and sizes[0][1] <= at_most
+    monkeypatch.setattr(knn, "COPIES", 601)
+    plain = knn.knn_join(picked, rows, 4, p=p, apart=apart).orderBy("qid", "rank").collect()
+    assert sizes[1] == (240, 600) and got == plain

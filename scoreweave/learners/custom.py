@@ -7,7 +7,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, LinearRegressionModel
+import pyarrow as pa
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -388,16 +389,10 @@ def _fourier(width: int, gamma: float, features: int, seed: int):
     rng = np.random.default_rng(seed)
     w = rng.normal(scale=math.sqrt(2 * gamma), size=(features, width))
     b = rng.uniform(0, 2 * math.pi, size=width)
-
-    @F.pandas_udf("array<double>")
-    def lift(x: pd.Series) -> pd.Series:
-        z = math.sqrt(2.0 / width) * np.cos(np.vstack(x.to_numpy()) @ w + b)
-        return pd.Series(list(z))
-
-    return lift
+    return lambda x: math.sqrt(2.0 / width) * np.cos(x @ w + b)
 
 
-def _landmarked(kernel: str, gamma: float, degree: int, marks: list[list[float]]):
+def _landmark_map(kernel: str, gamma: float, degree: int, marks: list[list[float]]):
     """Features whose inner products are the kernel's, exact between the landmark rows and close to it elsewhere (Nystroem).
 
     The kernel between landmarks is inverted on its positive part; a sigmoid
@@ -414,43 +409,79 @@ def _landmarked(kernel: str, gamma: float, degree: int, marks: list[list[float]]
     kept = sizes > 1e-10 * max(float(sizes.max(initial=0.0)), 1e-300)
     root = vectors[:, kept] / np.sqrt(sizes[kept])
 
+    return lambda x: value(x) @ root
+
+
+def _landmarked(*settings):
+    """The same as a column function."""
+    lift = _landmark_map(*settings)
+
     @F.pandas_udf("array<double>")
-    def lift(x: pd.Series) -> pd.Series:
-        return pd.Series(list(value(np.vstack(x.to_numpy())) @ root))
+    def lifted(x: pd.Series) -> pd.Series:
+        return pd.Series(list(lift(np.vstack(x.to_numpy()))))
 
-    return lift
+    return lifted
 
 
 def _lifting(lifted: tuple | None):
-    """The feature map of a kernel with the settings in ``lifted``; none for the linear one."""
+    """The feature map of a kernel with the settings in ``lifted``, from rows to rows; the linear one keeps them."""
     if lifted is None:
-        return None
+        return lambda x: x
     kind, *settings = lifted
-    return _fourier(*settings) if kind == "rbf" else _landmarked(kind, *settings)
+    return _fourier(*settings) if kind == "rbf" else _landmark_map(kind, *settings)
 
 
 class SvrModel:
     """A linear model on the features, or on what the kernel's map with the settings in ``lifted`` makes of them."""
 
-    def __init__(self, lifted: tuple | None, model):
-        self.lifted, self.model = lifted, model
-        self.lift = _lifting(lifted)
+    def __init__(self, lifted: tuple | None, coefficients: Sequence[float], intercept: float):
+        self.lifted, self.coefficients, self.intercept = lifted, np.array(coefficients, float), float(intercept)
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
-        save_note(path, {"kind": "svr", "lifted": self.lifted})
+        save_note(path, {"kind": "svr", "lifted": self.lifted, "coefficients": list(self.coefficients), "intercept": self.intercept})
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        lifted = rows.withColumn("_x", F.col("features"))
-        if self.lift is not None:
-            lifted = lifted.withColumn("features", self.lift("_x"))
-        scored = self.model.transform(with_vector(lifted)).withColumn("features", F.col("_x"))
-        return scored.select(*rows.columns, "prediction")
+        lift, coefficients, intercept = _lifting(self.lifted), self.coefficients, self.intercept
+
+        @F.pandas_udf("double")
+        def guess(x: pd.Series) -> pd.Series:
+            return pd.Series(lift(np.vstack(x.to_numpy())) @ coefficients + intercept if len(x) else [], dtype=float)
+
+        return rows.withColumn("prediction", guess("features"))
 
 
 @loads("svr")
 def _load_svr(spark, path: str, note: dict) -> SvrModel:
-    return SvrModel(tuple(note["lifted"]) if note["lifted"] else None, LinearRegressionModel.load(f"{path}/model"))
+    lifted = tuple(note["lifted"]) if note["lifted"] else None
+    if "coefficients" not in note:  # saved when the linear model was one of MLlib
+        model = LinearRegressionModel.load(f"{path}/model")
+        return SvrModel(lifted, model.coefficients.toArray(), model.intercept)
+    return SvrModel(lifted, note["coefficients"], note["intercept"])
+
+
+#: Rows lifted at a time.
+LIFT_BLOCK = 4096
+
+
+def _penalised(sums: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept from the weighted sums of products of (features, 1, target).
+
+    The penalty of a fit is 1 / (sum of weights), in units of the target's
+    deviation, as MLlib's normal solver takes it. A feature without spread
+    gets no coefficient.
+    """
+    total = sums[-2, -2]
+    mean = sums / total
+    x, t = mean[:-2, -2], mean[-2, -1]
+    spread = math.sqrt(max(mean[-1, -1] - t * t, 0.0))
+    out = np.zeros(len(x))
+    if spread == 0:
+        return out, float(t)
+    cov, with_target = mean[:-2, :-2] - np.outer(x, x), mean[:-2, -1] - x * t
+    varied = np.flatnonzero(np.diag(cov) > 0)
+    lifted = cov[np.ix_(varied, varied)] + np.eye(len(varied)) / (total * spread)
+    out[varied] = np.linalg.solve(lifted, with_target[varied])
+    return out, float(t - x @ out)
 
 
 class SupportVectorRegressor:
@@ -460,9 +491,11 @@ class SupportVectorRegressor:
     one the kernel values with ``width`` landmark rows, chosen by a hash of
     their ids. Fitted by reweighted least squares: rows outside the tube pull
     with the weight that makes the quadratic touch the absolute loss at the
-    current error, rows inside do not pull. Each round is one distributed
-    linear fit; rounds end once predictions move by less than ``tolerance`` of
-    the label's deviation on average, or after ``rounds``.
+    current error, rows inside do not pull. Each round is one pass over the
+    rows that lifts them, finds their errors and adds up the products the next
+    fit follows from; lifted rows are not kept. Rounds end once predictions
+    move by less than ``tolerance`` of the label's deviation on average, or
+    after ``rounds``.
     """
 
     def __init__(
@@ -495,38 +528,59 @@ class SupportVectorRegressor:
 
     def fit(self, train: DataFrame) -> SvrModel:
         lifted = self._lifted(train)
-        lift = _lifting(lifted)
-        base = train.select("row_id", "label", (lift("features") if lift else F.col("features")).alias("features"))
-        base = cut_lineage(base)
+        base = cut_lineage(train.select("features", "label"))
         spread = base.agg(F.stddev_pop("label")).first()[0] or 1.0
-        floor = 1e-3 * spread
-        data = base.withColumn("target", F.col("label")).withColumn("weight", F.lit(self.c))
         model, before = None, None
         for _ in range(self.rounds):
-            total = data.agg(F.sum("weight")).first()[0]
-            if not total:
+            sums, gap = self._sums(base, lifted, model, before, 1e-3 * spread)
+            if before is not None and gap < self.tolerance * spread:
+                break
+            if sums is None:
                 break  # every row is inside the tube
-            model = LinearRegression(
-                featuresCol="vector", labelCol="target", weightCol="weight", solver="normal",
-                regParam=1.0 / total, elasticNetParam=0.0, standardization=False,
-            ).fit(with_vector(data.filter("weight > 0")))
-            scored = model.transform(with_vector(base))
-            if before is not None:
-                both = before.copy().setPredictionCol("_was").transform(scored)
-                gap = both.agg(F.avg(F.abs(F.col("prediction") - F.col("_was")))).first()[0]
-                if gap is not None and gap < self.tolerance * spread:
-                    break
-            before = model
-            error = F.col("label") - F.col("prediction")
-            excess = F.abs(error) - F.lit(self.epsilon)
-            data = scored.select(
-                "row_id",
-                "label",
-                "features",
-                (F.col("label") - F.signum(error) * self.epsilon).alias("target"),
-                F.when(excess > 0, self.c / F.greatest(excess, F.lit(floor))).otherwise(0.0).alias("weight"),
-            )
-        return SvrModel(lifted, model)
+            before, model = model, _penalised(sums)
+        if model is None:
+            raise ValueError("no rows to fit on")
+        return SvrModel(lifted, *model)
+
+    def _sums(self, base: DataFrame, lifted: tuple | None, model: tuple | None, before: tuple | None, floor: float):
+        """Weighted sums of products of (features, 1, target) under ``model``, none if no row pulls; and how far it is from the one before."""
+        lift, c, epsilon = _lifting(lifted), self.c, self.epsilon
+
+        def add(batches):
+            total, moved, rows = None, 0.0, 0
+            for batch in batches:
+                x = batch.column("features").flatten().to_numpy(zero_copy_only=False).astype(float)
+                y = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
+                x = x.reshape(len(y), -1) if len(y) else np.zeros((0, 0))
+                for start in range(0, len(y), LIFT_BLOCK):
+                    z, label = lift(x[start : start + LIFT_BLOCK]), y[start : start + LIFT_BLOCK]
+                    weight, target = np.full(len(label), c), label
+                    if model is not None:
+                        guess = z @ model[0] + model[1]
+                        error = label - guess
+                        excess = np.abs(error) - epsilon
+                        weight = np.where(excess > 0, c / np.maximum(excess, floor), 0.0)
+                        target = label - np.sign(error) * epsilon
+                        if before is not None:
+                            moved += float(np.abs(guess - (z @ before[0] + before[1])).sum())
+                    wide = np.column_stack([z, np.ones(len(label)), target])
+                    part = (wide * weight[:, None]).T @ wide
+                    total = part if total is None else total + part
+                    rows += len(label)
+            if rows:
+                cells = np.concatenate([total.ravel(), [moved, rows]])
+                yield pa.RecordBatch.from_pydict({"cell": np.arange(len(cells)), "w": cells})
+
+        parts = base.mapInArrow(add, "cell bigint, w double").groupBy("cell").agg(F.sum("w").alias("w")).toPandas()
+        if parts.empty:
+            return None, math.inf
+        # As large as the model squared.
+        cells = parts.sort_values("cell")["w"].to_numpy(float)
+        if not np.isfinite(cells).all():
+            raise ValueError("features and labels must be finite")
+        width = math.isqrt(len(cells) - 2)
+        sums = cells[:-2].reshape(width, width)
+        return (sums if sums[-2, -2] > 0 else None), cells[-2] / cells[-1]
 
 
 class Unfittable:

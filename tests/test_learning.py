@@ -77,6 +77,36 @@ def test_kernels(spark, matrix, kernel):
         assert np.allclose(z @ z.T, (0.5 * x[order] @ x[order].T) ** 2, atol=1e-6)
 
 
+def test_support_vectors_take_one_pass_a_round(spark, matrix):
+    """Reweighted least squares in plain numpy gives the same model, and a round starts one job that meets the rows."""
+    from scoreweave.learners.custom import SupportVectorRegressor
+
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=(200, 2)), np.ones(200)])
+    y = 3 * x[:, 0] - x[:, 1] + rng.normal(size=200)
+    rows = matrix(x, y, "regression").cache()
+    sc = spark.sparkContext
+    sc.setJobGroup("svr", "svr")
+    model = SupportVectorRegressor(0.5, 0.1, "linear", rounds=6, tolerance=0.0).fit(rows)
+    jobs = sc.statusTracker().getJobIdsForGroup("svr")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    # A round that is exchanged adaptively has a job for each of its two stages.
+    assert len(jobs) <= 2 * 6 + 4, jobs
+    weight, target, fit = np.full(200, 0.5), y, np.zeros(3)
+    for _ in range(6):
+        keep = x[:, :2]
+        mean, at = np.average(keep, 0, weight), np.average(target, 0, weight)
+        spread = np.sqrt(np.average((target - at) ** 2, 0, weight))
+        cov = (keep - mean).T @ ((keep - mean) * weight[:, None]) / weight.sum()
+        slope = np.linalg.solve(cov + np.eye(2) / (weight.sum() * spread), (keep - mean).T @ (weight * (target - at)) / weight.sum())
+        fit = keep @ slope + at - mean @ slope
+        excess = np.abs(y - fit) - 0.1
+        weight = np.where(excess > 0, 0.5 / np.maximum(excess, 1e-3 * y.std()), 0.0)
+        target = y - np.sign(y - fit) * 0.1
+    got = {int(r["row_id"]): r["prediction"] for r in model.predict(rows).collect()}
+    assert np.allclose([got[i] for i in range(200)], fit, atol=1e-8)
+
+
 def test_model_round_trip_and_run_log(spark, matrix, tmp_path):
     table = _table(matrix, "binary")
     train, held = table.filter("split = 'train'"), table.filter("split = 'test'")

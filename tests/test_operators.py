@@ -97,6 +97,41 @@ def test_discrete_mutual_information(spark, matrix):
         assert got[f] == pytest.approx(_ross(x[:, f], y), abs=1e-8)
 
 
+def _kraskov(x, y, k=3):
+    x, y = (v / (v.std() or 1.0) for v in (x, y))
+    dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+    r = np.sort(np.round(np.maximum(dx, dy), 10), axis=1)[:, k]
+    inside = lambda d, i: max(1, (d[i] < r[i]).sum() if r[i] > 0 else (d[i] == 0).sum())
+    psi = np.mean([_psi(inside(dx, i)) + _psi(inside(dy, i)) for i in range(len(x))])
+    return max(0.0, _psi(len(x)) + _psi(k) - psi)
+
+
+@pytest.mark.parametrize("cell", [16, 8192])
+def test_continuous_mutual_information(spark, matrix, monkeypatch, cell):
+    """Planes with ties, copies, lines and far points, in many cells and in one."""
+    monkeypatch.setattr(mutual_info, "CELL", cell)
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 4000, 500) / 64
+    y[:40] = 7.25
+    y[-1] = 900
+    x = np.stack([y + rng.integers(0, 640, 500) / 64, rng.integers(0, 2, 500), np.where(y == 7.25, 1.0, rng.integers(0, 9, 500)), np.ones(500)], 1)
+    x[-2, 0] = -700
+    got = {r["feature"]: r["mi"] for r in mutual_info.continuous_terms(matrix(x, y, "regression")).collect()}
+    for f in range(4):
+        assert got[f] == pytest.approx(_kraskov(x[:, f], y), abs=1e-8)
+
+
+def test_neighbours_in_a_cell_are_met_from_near_to_far():
+    rng = np.random.default_rng(1)
+    x, y = rng.random(8000), rng.random(8000)
+    near, taken = mutual_info._kth_in_cell(x, y, x, y, np.full(8000, np.inf), 4)
+    some = rng.integers(0, 8000, 50)
+    d = np.sort(np.maximum(np.abs(x - x[some, None]), np.abs(y - y[some, None])), axis=1)[:, :4]
+    assert np.array_equal(near[:, some].T, d)
+    # All pairs would be 8000 a point.
+    assert taken < 400 * 8000
+
+
 def test_auc_ties_and_single_class(spark):
     rows = [("a", 0.9, 1), ("a", 0.8, 0), ("a", 0.8, 1), ("a", 0.3, 0), ("a", 0.1, 0), ("b", 0.5, 1)]
     df = spark.createDataFrame(rows, "g string, score double, label int")

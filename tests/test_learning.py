@@ -77,6 +77,25 @@ def test_kernels(spark, matrix, kernel):
         assert np.allclose(z @ z.T, (0.5 * x[order] @ x[order].T) ** 2, atol=1e-6)
 
 
+def test_trees_get_rows_on_every_core(spark, matrix, monkeypatch):
+    """Rows that lie in one task are dealt evenly, small tables stay; the forest's estimator meets them so."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from scoreweave.learners import base
+
+    monkeypatch.setattr(base, "ROWS_PER_TASK", 50)
+    rng = np.random.default_rng(5)
+    rows = matrix(rng.normal(size=(400, 2)), rng.normal(size=400), "regression").coalesce(1)
+    tasks = lambda df: [r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    met = []
+    fit = RandomForestRegressor._fit
+    monkeypatch.setattr(RandomForestRegressor, "_fit", lambda self, df: met.append(tasks(df)) or fit(self, df))
+    roster("regression", depth=3, trees=3)["Random Forest Regressor"].fit(rows)
+    assert len(met[0]) == min(8, spark.sparkContext.defaultParallelism) and max(met[0]) <= 60 and sum(met[0]) == 400
+    assert tasks(base.spread(rows.limit(60))) == [60]
+    assert base.spread(rows.filter("false")).count() == 0
+
+
 def test_support_vectors_take_one_pass_a_round(spark, matrix):
     """Reweighted least squares in plain numpy gives the same model, and a round starts one job that meets the rows."""
     from scoreweave.learners.custom import SupportVectorRegressor
@@ -90,8 +109,8 @@ def test_support_vectors_take_one_pass_a_round(spark, matrix):
     model = SupportVectorRegressor(0.5, 0.1, "linear", rounds=6, tolerance=0.0).fit(rows)
     jobs = sc.statusTracker().getJobIdsForGroup("svr")
     sc.setLocalProperty("spark.jobGroup.id", None)
-    # A round that is exchanged adaptively has a job for each of its two stages.
-    assert len(jobs) <= 2 * 6 + 4, jobs
+    # A round that is exchanged adaptively has a job for each of its two stages; some come before the rounds.
+    assert len(jobs) <= 2 * 6 + 10, jobs
     weight, target, fit = np.full(200, 0.5), y, np.zeros(3)
     for _ in range(6):
         keep = x[:, :2]

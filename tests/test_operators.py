@@ -3,9 +3,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from scoreweave.functions.scalar import edge_bin
 from scoreweave.operators import bundle, encoding, knn, metrics, mutual_info, profile, sampling, scaling
 from scoreweave.operators.cleaning import fill_mode, impute_mean
 from scoreweave.operators.order_stats import exact_quantiles
@@ -207,3 +209,69 @@ def test_one_hot_null_alignment_and_level_limit(spark):
     with pytest.raises(encoding.TooManyLevels):
         encoding.column_levels(left, ["s"], limit=1)
     assert encoding.levels({"t": (left, ["s"]), "u": (left.limit(1), ["s"])}, limit=1) == ({"u": {"s": ["a"]}}, {"t": 2})
+
+
+def test_concentration_counts_rows_where_they_lie(spark, matrix, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (3000, 3)).astype(float)
+    x[:, 1] = (x[:, 0] + (rng.random(3000) < 0.2)) % 6
+    rows = matrix(x, np.zeros(3000))
+    of = profile.column_profile(rows)
+    plans = []
+    written = bundle.cut_lineage
+    monkeypatch.setattr(bundle, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    monkeypatch.setattr(bundle, "measured", lambda df: written(df))
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        got = bundle.feature_concentration(rows, of).first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert "SortMergeJoin" not in plans[0] and "BroadcastHashJoin" in plans[0]
+    taus = []
+    for i, j in [(i, j) for i in range(3) for j in range(3) if i != j]:
+        table = np.zeros((6, 6))
+        np.add.at(table, (x[:, i].astype(int), x[:, j].astype(int)), 1 / 3000)
+        base = (table.sum(0) ** 2).sum()
+        taus.append(((table**2 / table.sum(1, keepdims=True)).sum() - base) / (1 - base))
+    assert np.isclose(got["attr_conc_mean"], np.mean(taus)) and np.isclose(got["attr_conc_sd"], np.std(taus, ddof=1))
+
+
+@pytest.mark.parametrize("most", [1, 1 << 20])
+def test_pairs_are_counted_over_batches(monkeypatch, most):
+    monkeypatch.setattr(bundle, "PAIR_BLOCK", 2)
+    monkeypatch.setattr(bundle, "PAIR_BYTES", most)
+    rng = np.random.default_rng(6)
+    bins = {"a": rng.integers(0, 10, (40, 5)), "b": rng.integers(0, 10, (40, 3))}
+    batches = [
+        pa.RecordBatch.from_pydict({
+                "k": ["a", "b"] * 10,
+                "features": [list(map(float, bins[k][at + i])) for i in range(10) for k in "ab"],
+                **{c: [[v] * bins[k].shape[1] for _ in range(10) for k in "ab"] for c, v in (("low", 0.0), ("high", 10.0))},
+            })
+        for at in range(0, 40, 10)
+    ]
+    got = [tuple(r.values()) for out in bundle._pair_counts(["k"])(iter(batches)) for r in out.to_pylist()]
+    want = {}
+    for k, rows in bins.items():
+        for i, j in [(i, j) for i in range(rows.shape[1]) for j in range(rows.shape[1]) if i != j]:
+            for x, y in rows[:, [i, j]].tolist():
+                want[k, i, j, x, y] = want.get((k, i, j, x, y), 0) + 1
+    sums = {}
+    for *key, n in got:
+        sums[tuple(key)] = sums.get(tuple(key), 0) + n
+    assert sums == want and (most == 1 or len(got) == len(want))
+    with pytest.raises(ValueError):
+        list(bundle._pair_counts(["k"])(iter([pa.RecordBatch.from_pydict({"k": ["a"], "features": [[1.0, None]], "low": [[0.0, 0.0]], "high": [[1.0, 1.0]]})])))
+
+
+def test_edge_bins_of_columns_are_those_of_rows(spark):
+    rng = np.random.default_rng(7)
+    low, high = np.array([0.1, -3.0, 5.0, 0.0]), np.array([0.7, 1e9, 5.0, 1.0])
+    at = rng.integers(0, 11, (400, 4)) / 10
+    x = np.clip(low + at * (high - low) + rng.choice([0.0, 1e-16, -1e-16], (400, 4)), low, high)
+    x[0, 3] = np.nan
+    got = bundle._edge_bins(x, low, high)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, a double, b double, c double, d double")
+    cut = [edge_bin(F.col(c), F.lit(float(m)), F.lit(float(n))) for c, m, n in zip("abcd", low, high, strict=True)]
+    assert [list(r) for r in got] == [list(r) for r in df.orderBy("i").select(*cut).collect()]

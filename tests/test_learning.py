@@ -261,3 +261,20 @@ def test_adaboost_equals_plain_rounds(spark, matrix):
         total += np.where(np.arange(3) == guess[:, None], alpha, -alpha / 2)
     got = {r["row_id"]: r["prediction"] for r in model.predict(matrix(x, y, "multiclass")).collect()}
     assert all(got[str(i)] == total[i].argmax() for i in range(200))
+
+
+def test_meta_dataset_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    names = [(f"d{i}", split, model) for i in range(3) for split in ("val", "test") for model in ("A", "B")]
+    columns = "dataset_name string, split string, model_name string, accuracy double, f1_score double, auc_roc double, n_samples double"
+    rows = spark.createDataFrame([(*n, 0.5, 0.1 * i, None if i == 3 else 0.7, float(i)) for i, n in enumerate(names)], columns)
+    ready = meta.meta_prepare(rows.mapInArrow(each, columns), "binary")
+    got = {tuple(r["row_id"].split("|")): r for r in ready.rows.collect()}
+    assert sorted(got) == sorted(names) and seen.value == len(names)
+    assert {len(r["features"]) for r in got.values()} == {3} and {r["auc_roc_target"] for r in got.values()} == {0.7}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -92,25 +93,35 @@ def _scale(counts: np.ndarray) -> np.ndarray:
 def _vectors(bits: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            slots, of, counts = features(batch["text"], bits)
+            slots, of, _ = features(batch["text"], bits)
             key, n = np.unique(of << bits | slots, return_counts=True)
-            docs, scale = key >> bits, _scale(counts)
-            at = pa.array(np.searchsorted(docs, np.arange(batch.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in ((key & ((1 << bits) - 1)), n * scale[docs])]
-            yield pa.RecordBatch.from_arrays([batch["_order"], batch["label"], *lists], ["_order", "label", "at", "x"])
+            at = np.searchsorted(key >> bits, np.arange(batch.num_rows + 1))
+            packed = [_pack(key[a:b] & ((1 << bits) - 1), n[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["_order"], batch["label"], pa.array(packed, pa.binary())], ["_order", "label", "grams"])
 
     return each
 
 
+def _pack(slots: np.ndarray, counts: np.ndarray) -> bytes:
+    """A text's slots and how often each occurs, compressed: the task of an epoch gets the whole sample in few batches."""
+    return zlib.compress(np.stack([np.diff(slots, prepend=0), counts]).astype(np.int32).tobytes(), 1)
+
+
+def _unpack(grams: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The slots, and the weight of each."""
+    steps, counts = np.frombuffer(zlib.decompress(grams), np.int32).astype(np.int64).reshape(2, -1)
+    return np.cumsum(steps), counts * _scale(counts.sum())
+
+
 def _epoch(state: Model, bits: int):
     """One pass over the sample in a fixed order; memory is the model and one batch."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = state
         for batch in batches:
-            for label, at, x in zip(batch["label"].to_pylist(), batch["at"], batch["x"], strict=True):
-                at = np.append(at.values.to_numpy(), 1 << bits)
-                model.learn(at, np.append(x.values.to_numpy(), 1.0), label)
+            for label, grams in zip(batch["label"].to_pylist(), batch["grams"], strict=True):
+                at, x = _unpack(grams.as_buffer())
+                model.learn(np.append(at, 1 << bits), np.append(x, 1.0), label)
         yield pa.RecordBatch.from_arrays([pa.array([model.z.tobytes()]), pa.array([model.n.tobytes()])], ["z", "n"])
 
     return each
@@ -148,7 +159,7 @@ def fit(
     # At most `sample` rows of three numbers, so the broadcast is bounded.
     chosen = texts.join(F.broadcast(known), "_id").select("_order", "label", "text")
     one_each = chosen.groupBy("_order").agg(F.min(F.struct("text", "label")).alias("v")).select("_order", "v.label", "v.text")
-    vectors = cut_lineage(one_each.mapInArrow(_vectors(bits), "_order long, label double, at array<long>, x array<double>"))
+    vectors = cut_lineage(one_each.mapInArrow(_vectors(bits), "_order long, label double, grams binary"))
     model = Model.empty(bits)
     ordered = vectors.repartition(1).sortWithinPartitions("_order")
     for _ in range(epochs):

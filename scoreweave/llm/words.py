@@ -13,8 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Text bytes worked on at once.
-RUN_BYTES = 2 << 20
+#: Text bytes worked on at once. Several arrays of as many 64-bit numbers lie beside them, in every Python worker.
+RUN_BYTES = 1 << 19
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)

@@ -1,10 +1,11 @@
 """WARC round trip, vectors, classifier, surrogates and quotations."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scoreweave.llm.lattice import embedding_components, nearest_e8, neighbours
-from scoreweave.llm.quality import fit, op3_quality_classifier, score
+from scoreweave.llm.quality import _scale, _unpack, _vectors, features, fit, op3_quality_classifier, score
 from scoreweave.llm.quotations import link_replies, op10_quotation_linking
 from scoreweave.llm.storage import shared_folder
 from scoreweave.llm.surrogates import DEMO_KEY, assign_surrogates, find_entities, op4_pii_surrogates, replace_personal_data, surrogate
@@ -315,3 +316,21 @@ def test_registered(name):
     import __spark_entry__ as entry
 
     assert sum(q.startswith(name) for q in entry.queries()) == 1
+
+
+def test_quality_vectors_are_small():
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(50)] + ["", "one", "same same same"]
+    n = len(texts)
+    batch = pa.RecordBatch.from_pydict({"_order": list(range(n)), "label": [1.0] * n, "text": texts})
+    out = pa.Table.from_batches(_vectors(18)(iter([batch])))
+    grams = 0
+    for text, packed in zip(texts, out["grams"].to_pylist(), strict=True):
+        slots, _, counts = features(pa.array([text]))
+        at, times = np.unique(slots, return_counts=True)
+        got_at, got_x = _unpack(packed)
+        assert np.array_equal(got_at, at) and np.array_equal(got_x, times * _scale(counts))
+        grams += len(at)
+    # All vectors of a sample can lie in one Arrow batch.
+    assert out.nbytes < 4 * grams

@@ -138,6 +138,76 @@ def test_tree_grows_past_five_levels(spark, matrix):
     assert (shape["leaves"], shape["nodes"]) == (24, 23) and abs(shape["leaves_corrob_mean"] - 1 / 24) < 1e-9
 
 
+def _mllib_shape(spark, rows, depth, seed=42):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from scoreweave.learners.base import saved_nodes, with_vector
+
+    model = DecisionTreeClassifier(featuresCol="vector", labelCol="label", maxDepth=depth, seed=seed).fit(with_vector(rows))
+    nodes = saved_nodes(spark, model)
+    return sorted(zip(nodes["depth"], nodes["leaf"], nodes["prediction"], nodes["feature"], nodes["n_rows"], strict=True)), model.featureImportances.toArray()
+
+
+@pytest.mark.parametrize(("codes", "depth", "classes"), [(1 << 20, 30, 3), (64, 30, 2), (64, 4, 3), (1, 30, 2), (64, 0, 2)])
+def test_deep_tree_is_mllibs(spark, matrix, monkeypatch, codes, depth, classes):
+    """Split over all tasks, within one, or both: the same nodes, also with ties, copies and a constant feature."""
+    from scoreweave.learners import deep
+
+    monkeypatch.setattr(deep, "TASK_CODES", codes)
+    rng = np.random.default_rng(depth + classes)
+    x = np.stack([np.round(rng.normal(size=260), 2), rng.integers(0, 3, 260), np.zeros(260), np.round(rng.normal(size=260), 1)], axis=1)
+    rows = matrix(x.tolist(), rng.integers(0, classes, 260).tolist()).repartition(3)
+    got = [tuple(r) for r in deep.tree_nodes(rows, depth)[0].select("depth", "leaf", "prediction", "feature", "n_rows", "gain").collect()]
+    want, importance = _mllib_shape(spark, rows, depth)
+    assert sorted(r[:5] for r in got) == want
+    weights = np.zeros(4)
+    for r in got:
+        if not r[1]:
+            weights[r[3]] += r[5] * r[4]
+    assert np.allclose(weights / (weights.sum() or 1.0), importance)
+
+
+@pytest.mark.parametrize("n", [12_000, 40_000])
+def test_deep_tree_takes_the_same_thresholds_of_many_rows(spark, n):
+    from scoreweave.learners import deep
+
+    rows = spark.range(n).repartition(3).selectExpr(
+        "array(CAST(xxhash64(id) % 9973 AS DOUBLE) / 7, CAST(id % 3 AS DOUBLE), CAST(xxhash64(id, 1) % 40 AS DOUBLE)) AS features",
+        "CAST(xxhash64(id) % 9973 / 7 + xxhash64(id, 2) % 900 > 0 AS DOUBLE) AS label",
+    )
+    got = [tuple(r) for r in deep.tree_nodes(rows, 7)[0].select("depth", "leaf", "prediction", "feature", "n_rows").collect()]
+    assert sorted(got) == _mllib_shape(spark, rows, 7)[0] and len(got) > 30
+
+
+def test_deep_tree_takes_no_job_per_level(spark, matrix):
+    """Levels of small nodes are grown within tasks: a tree of many levels runs no more jobs than one of a single split."""
+    from scoreweave.learners.landmarks import tree_shape
+
+    rng = np.random.default_rng(5)
+    x, noise = rng.normal(size=(300, 3)), rng.integers(0, 2, 300)
+    jobs, depth = {}, {}
+    for name, y in (("flat", x[:, 0] > np.median(x[:, 0])), ("deep", noise)):
+        spark.sparkContext.setJobGroup(name, name)
+        depth[name] = tree_shape(matrix(x.tolist(), [int(v) for v in y])).first()["leaves_branch_mean"]
+        jobs[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert depth["deep"] > depth["flat"] + 4 and jobs["deep"] <= jobs["flat"] + 2
+
+
+def test_deep_tree_refuses_what_it_cannot_learn_from(spark, matrix):
+    from scoreweave.learners.deep import checked
+
+    fine = matrix([[0.0], [1.0]], [0, 1])
+    for label in ("CAST(NULL AS DOUBLE)", "CAST('NaN' AS DOUBLE)", "-1.0D", "0.5D", "1e9D"):
+        with pytest.raises(ValueError):
+            checked(fine.selectExpr("features", f"IF(row_id = '1', {label}, label) AS label"))
+    for features in ("array(CAST(NULL AS DOUBLE))", "array(CAST('NaN' AS DOUBLE))", "array(0.0D, 1.0D)", "CAST(NULL AS array<double>)"):
+        with pytest.raises(ValueError):
+            checked(fine.selectExpr("label", f"IF(row_id = '1', {features}, features) AS features"))
+    with pytest.raises(ValueError):
+        checked(fine.limit(0))
+
+
 def _landmark_rows(spark, seed, n, classes, name):
     rng = np.random.default_rng(seed)
     y = rng.integers(0, classes, n)

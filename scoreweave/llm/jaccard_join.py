@@ -148,7 +148,11 @@ def _prefixes(sketch, size: int, percent: int):
 
 
 def _postings(sketch, buckets: int, hot: int):
-    """Postings of a batch, one row per bucket. N-grams that may be in more than `hot` documents are dealt over several."""
+    """Postings of a batch, one row per bucket. N-grams that may be in more than `hot` documents are dealt over several.
+
+    An n-gram travels as half its hash. Two that are taken for one make a larger group, whose pairs are verified as all are.
+    Ids travel in halves too, as the upper ones are mostly alike and compress to nothing.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = sketch.value
@@ -170,10 +174,13 @@ def _postings(sketch, buckets: int, hot: int):
             bounds = pa.array(np.append(at, len(order)).astype(np.int32))
             lists = [
                 pa.ListArray.from_arrays(bounds, pa.array(x[order]))
-                for x in (signed(token), ids[of], n[of].astype(np.int32), pos.astype(np.int32), salt.astype(np.int32), shares.astype(np.int32))
+                for x in (
+                    (token >> np.uint64(32)).astype(np.uint32).view(np.int32), (ids >> 32).astype(np.int32)[of], ids.astype(np.int32)[of],
+                    n[of].astype(np.int32), pos.astype(np.int32), salt.astype(np.int32), shares.astype(np.int32),
+                )
             ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[order][at]), *lists], ["bucket", "token", "doc", "n", "pos", "salt", "shares"]
+                [pa.array(bucket[order][at]), *lists], ["bucket", "token", "upper", "lower", "n", "pos", "salt", "shares"]
             )
 
     return each
@@ -197,7 +204,8 @@ def _bucket_join(percent: int):
 
     def each(table: pa.Table) -> pa.Table:
         column = lambda name, kind=np.int64: np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks]).astype(kind)
-        token, doc, n, pos, salt, shares = (column(x) for x in ("token", "doc", "n", "pos", "salt", "shares"))
+        token, upper, lower, n, pos, salt, shares = (column(x) for x in ("token", "upper", "lower", "n", "pos", "salt", "shares"))
+        doc = (upper << 32) + (lower & 0xFFFFFFFF)
         order = np.lexsort((doc, salt, token))
         token, doc, n, pos, salt, shares = (x[order] for x in (token, doc, n, pos, salt, shares))
         new = np.ones(len(token), bool)
@@ -438,7 +446,7 @@ def jaccard_components(
     buckets = max(1, int(total) // bucket)
     spread = classes.mapInArrow(
         _postings(sketch, buckets, hot),
-        "bucket long, token array<long>, doc array<long>, n array<int>, pos array<int>, salt array<int>, shares array<int>",
+        "bucket long, token array<int>, upper array<int>, lower array<int>, n array<int>, pos array<int>, salt array<int>, shares array<int>",
     )
     found = cut_lineage(spread.groupBy("bucket").applyInArrow(_bucket_join(percent), _FOUND))
     pairs = found.where("kind = 'pair'").select("a", "b")

@@ -106,6 +106,31 @@ def test_jaccard(spark, bucket, hot):
     assert brute.rows(jaccard_components(df, bucket=bucket, hot=hot)) == sorted(brute.jaccard(rows), key=str)
 
 
+def test_jaccard_postings_are_narrow():
+    """Ids of any size come back from their halves, a posting takes 28 bytes, and n-grams taken for one lose no pair."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from scoreweave.llm import jaccard_join as j
+
+    ids = [-(2**62) - 5, -1, 3, 2**31 + 1, 2**40 + 7]
+    near = (9 << 32) + 1  # the same upper half as the n-gram after it
+    tokens = [[near, 5 << 32], [near, 7 << 32], [5 << 32, near + 1], [near + 1, 8 << 32], [8 << 32, 6 << 32]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(ids), pa.array([8] * 5), pa.array(tokens, pa.list_(pa.int64()))], ["_doc", "n", "prefix"]
+    )
+    (made,) = j._postings(SimpleNamespace(value=np.ones(1 << j.SKETCH_BITS, np.int64)), 1, 100)(iter([batch]))
+    lists = [c.flatten() for c in made.columns[1:]]
+    assert {len(v) for v in lists} == {10} and sum(v.nbytes for v in lists) == 28 * 10
+    found = j._bucket_join(10)(pa.Table.from_batches([made])).to_pylist()
+    pairs = {(r["a"], r["b"]) for r in found if r["kind"] == "pair"}
+    together = [set(r["members"]) for r in found if r["kind"] == "group"]
+    for a, b in ((0, 1), (0, 2), (2, 3), (3, 4)):
+        assert (ids[a], ids[b]) in pairs or any({ids[a], ids[b]} <= g for g in together)
+
+
 def test_jaccard_query_and_edges(spark):
     assert brute.rows(op6_jaccard_join(spark, SMALL)) == sorted(brute.jaccard(documents(spark)), key=str)
     assert jaccard_components(frame(spark, [])).count() == 0

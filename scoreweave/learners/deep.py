@@ -27,7 +27,7 @@ BINS, THRESHOLD_ROWS = 32, 10_000
 #: Classes that may be inferred from labels.
 CLASSES = 100
 #: Bin codes (cells times features) of a subtree that one task grows; counters of histograms made at a time.
-TASK_CODES, COUNTERS = 1 << 18, 1 << 22
+TASK_CODES, COUNTERS = 1 << 20, 1 << 22
 #: An impurity below this is none.
 PURE = float(np.finfo(float).eps)
 

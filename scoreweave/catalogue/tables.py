@@ -163,5 +163,5 @@ def split_by_threshold(spark, folder):
     WITH {raw_sql()}, {SPLIT_SQL}
     SELECT dataset_name, split, count(*) AS n FROM parted GROUP BY ALL""")
 def split_sizes(spark, folder):
-    parts = shared_split(spark, folder)
+    parts = shared_split(spark, folder, ids=False)
     return parts.groupBy("dataset_name", "split").agg(F.count("*").alias("n"))

@@ -1,5 +1,7 @@
 """Helpers that keep groups, levels and neighbours out of single tasks, against plain versions."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from scoreweave.operators import encoding, knn, metrics
 from scoreweave.operators.numbering import consecutive
 from scoreweave.plans.prepare import Matrices
+from scoreweave.session import cut_lineage
 from scoreweave.sources import registry
 
 
@@ -167,6 +170,49 @@ def test_datasets_are_prepared_apart(spark, tmp_path):
     assert sorted(apart["a"].unionByName(apart["b"]).collect()) == sorted(together.collect())
 
 
+def test_rows_are_written_once(spark, tmp_path, monkeypatch):
+    """One table a dataset, without ids where none are asked for, is all the preparation writes of its rows; scaling on reading is that of `apply_arrays`."""
+    from scoreweave.catalogue import common
+    from scoreweave.operators.scaling import apply_arrays, fit_arrays
+    from scoreweave.plans import prepare
+
+    value = F.when(F.col("id") % 11 == 0, float("nan")).when(F.col("id") % 13 > 0, F.col("id") * 1.5)
+    props = F.when(F.col("id") % 5 > 0, F.format_string('{"k": %d}', F.col("id") % 7))
+    kind = F.when(F.col("id") % 4 > 0, F.element_at(F.array(F.lit("view"), F.lit("error"), F.lit("signup")), (F.col("id") % 3 + 1).cast("int")))
+    events = spark.range(300).select((F.col("id") % 250).alias("event_id"), value.alias("value"), props.alias("props"), kind.alias("event_type"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    written = []
+
+    def noted(df, *more):
+        out = cut_lineage(df, *more)
+        written.append((out.count(), out.columns))
+        return out
+
+    monkeypatch.setattr(prepare, "cut_lineage", noted)
+    bare = common.shared_prepared(spark, str(tmp_path), "event_value", ids=False)
+    assert [(n, c) for n, c in written if n >= 300] == [(300, ["label", "_f0", "_f1", "split"])]
+    assert "row_id" not in bare.columns
+    rows = common.shared_split(spark, str(tmp_path), "event_value")
+    want = apply_arrays(rows, fit_arrays(rows))
+    got = common.shared_prepared(spark, str(tmp_path), "event_value")
+    # The order in which tasks' sums are merged may move the last digit.
+    near = lambda df: sorted(str([*[r[c] for c in ("split", "label")], [round(v, 9) for v in r["features"]]]) for r in df.collect())
+    assert near(bare) == near(got) == near(want)
+    assert got.columns == want.columns
+
+
+def test_shuffles_of_a_written_table_are_removed(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = lambda: {f for f in map(str, files.getAllFiles().mkString("\n").split("\n")) if "/shuffle_" in f}
+    before = left()
+    out = cut_lineage(spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count())
+    deadline = time.time() + 20
+    while left() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not left() - before
+    assert out.count() == 1000 and not spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "true"
+
+
 @pytest.mark.parametrize("apart", [None, "g"])
 @pytest.mark.parametrize("p", [1, 2, float("inf")])
 def test_equal_vectors_are_searched_once(spark, monkeypatch, apart, p):

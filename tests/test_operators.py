@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scoreweave.functions.scalar import edge_bin
 from scoreweave.operators import bundle, encoding, knn, metrics, mutual_info, profile, sampling, scaling
 from scoreweave.operators.cleaning import fill_mode, impute_mean
-from scoreweave.operators.order_stats import exact_quantiles
+from scoreweave.operators.order_stats import Point, exact_counted_points, exact_quantiles
 
 
 @pytest.mark.parametrize("kind", ["normal", "ties", "heavy", "constant", "one"])
@@ -29,6 +29,47 @@ def test_exact_quantiles(spark, kind):
     assert got == pytest.approx(dict(zip(ps, np.quantile(values, ps), strict=True)), rel=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["spread", "hot", "constant", "one"])
+def test_exact_points_of_counted_values(spark, kind):
+    """Values with counts give the ranks of the rows they stand for."""
+    rng = np.random.default_rng(4)
+    values, counts = {
+        "spread": (np.unique(rng.normal(size=4000)), rng.integers(1, 5, 4000)),
+        "hot": (np.arange(-50.0, 50.0), np.where(np.arange(100) == 50, 9000, 1)),
+        "constant": (np.array([7.0]), np.array([40])),
+        "one": (np.array([4.5]), np.array([1])),
+    }[kind]
+    rows = [("a", float(v), int(c)) for v, c in zip(values, counts)] + [("a", None, 3)]
+    ps = [0.0, 0.2, 0.25, 0.5, 0.75, 1.0]
+    points = [Point(p, p, p * (F.col("_n") - 1)) for p in ps]
+    got = {r["point"]: r["value"] for r in exact_counted_points(spark.createDataFrame(rows, "k string, v double, c bigint"), ["k"], "v", "c", points).collect()}
+    assert got == pytest.approx(dict(zip(ps, np.quantile(np.repeat(values, counts[: len(values)]), ps), strict=True)), rel=1e-12)
+
+
+def test_column_measures_read_rows_once(spark):
+    rng = np.random.default_rng(6)
+    x = np.stack([rng.lognormal(size=900), rng.integers(0, 3, 900).astype(float), np.full(900, 0.1)], axis=1)
+    plain = spark.createDataFrame([("d", "train", [float(v) for v in row]) for row in x], "dataset_name string, split string, features array<double>").repartition(5)
+    read = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    got = {r["feature"]: r.asDict() for r in bundle.column_measures(plain.mapInPandas(noted, plain.schema)).collect()}
+    assert read.value == len(x)
+    for f in range(3):
+        v, row = x[:, f], got[f]
+        assert row["n"] == 900 and row["mean"] == pytest.approx(v.mean()) and row["median"] == pytest.approx(np.median(v))
+        assert row["mad"] == pytest.approx(1.4826 * np.median(np.abs(v - np.median(v)))) and row["t_mean"] == pytest.approx(np.sort(v)[180:720].mean())
+    assert got[0]["sd"] == pytest.approx(x[:, 0].std(ddof=1)) and got[0]["g_mean"] == pytest.approx(np.exp(np.log(x[:, 0]).mean()))
+    off = x[:, 0] - x[:, 0].mean()
+    assert got[0]["skewness"] == pytest.approx((off**3).mean() / off.std() ** 3 * (899 / 900) ** 1.5)
+    assert got[0]["kurtosis"] == pytest.approx((off**4).mean() / off.std() ** 4 * (899 / 900) ** 2 - 3)
+    assert got[2]["sd"] == 0 and got[2]["mean"] == 0.1 and got[2]["skewness"] is None and got[2]["kurtosis"] is None
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 97, 1000])
 def test_split_is_exact_and_repeatable(spark, n):
     df = spark.range(n).select(F.col("id").cast("string").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("c"))

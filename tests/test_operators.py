@@ -70,6 +70,23 @@ def test_column_measures_read_rows_once(spark):
     assert got[2]["sd"] == 0 and got[2]["mean"] == 0.1 and got[2]["skewness"] is None and got[2]["kurtosis"] is None
 
 
+def test_record_profiles_a_table_once(spark, monkeypatch):
+    """Column profiles, co-moments and binned counts are made once for all parts of the record (co-moments also by class)."""
+    from scoreweave.plans.record import full_record
+
+    rng = np.random.default_rng(9)
+    rows = [(t, t, s, float(rng.integers(0, 2)) if t == "binary" else float(rng.normal()), [float(v) for v in rng.normal(size=3)]) for t in ("binary", "regression") for s in ("val", "test") for _ in range(40)]
+    table = spark.createDataFrame(rows, "dataset_name string, task string, split string, label double, features array<double>")
+    made = []
+    for name in ("column_profile", "comoments", "binned_counts"):
+        monkeypatch.setattr(profile, name, lambda *a, name=name, make=getattr(profile, name), **b: (made.append(name), make(*a, **b))[1])
+    out = {(r["dataset_name"], r["split"]): r.asDict() for r in full_record(table).collect()}
+    assert sorted(made) == ["binned_counts", "column_profile", "comoments", "comoments"]
+    assert len(out) == 4 and all(r["n_samples"] == 40 and r["nr_inst"] == 40 for r in out.values())
+    x = np.array([r[4] for r in rows if r[0] == "binary" and r[2] == "val"])
+    assert out["binary", "val"]["mad_mean"] == pytest.approx(np.mean(1.4826 * np.median(np.abs(x - np.median(x, axis=0)), axis=0)))
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 97, 1000])
 def test_split_is_exact_and_repeatable(spark, n):
     df = spark.range(n).select(F.col("id").cast("string").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("c"))

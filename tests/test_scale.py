@@ -183,8 +183,8 @@ def test_rows_are_written_once(spark, tmp_path, monkeypatch):
     events.write.parquet(f"{tmp_path}/events.parquet")
     written = []
 
-    def noted(df, *more):
-        out = cut_lineage(df, *more)
+    def noted(df, *more, **how):
+        out = cut_lineage(df, *more, **how)
         written.append((out.count(), out.columns))
         return out
 
@@ -201,6 +201,18 @@ def test_rows_are_written_once(spark, tmp_path, monkeypatch):
     assert got.columns == want.columns
 
 
+def test_rows_of_one_task_are_read_by_several(spark):
+    """A learner works on as many cores as there are tasks that read rows, also where a source was a single row group."""
+    from scoreweave.plans.prepare import write_each
+
+    rows = spark.range(300_000).coalesce(1).select(
+        F.lit("a").alias("dataset_name"), F.lit("binary").alias("task"), F.md5(F.col("id").cast("string")).alias("row_id"), F.rand(3).alias("label"),
+    )
+    written = write_each({"a": rows}, {"a": "binary"})["a"]
+    sizes = written.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1 and sum(r["count"] for r in sizes) == 300_000 and max(r["count"] for r in sizes) < 200_000
+
+
 def test_shuffles_of_a_written_table_are_removed(spark):
     files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     left = lambda: {f for f in map(str, files.getAllFiles().mkString("\n").split("\n")) if "/shuffle_" in f}

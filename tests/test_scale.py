@@ -4,12 +4,13 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scoreweave.operators import encoding, knn, metrics
 from scoreweave.operators.numbering import consecutive
 from scoreweave.plans.prepare import Matrices
-from scoreweave.session import cut_lineage
+from scoreweave.session import cut_lineage, dealt
 from scoreweave.sources import registry
 
 
@@ -213,6 +214,15 @@ def test_rows_of_one_task_are_read_by_several(spark):
     assert len(sizes) > 1 and sum(r["count"] for r in sizes) == 300_000 and max(r["count"] for r in sizes) < 200_000
 
 
+def test_dealt_rows_stay_in_several_tasks(spark):
+    """Adaptive execution merges small shuffles by their bytes; a step that takes long keeps its tasks, and a window needs no other shuffle."""
+    rows = spark.range(4000).select((F.col("id") % 200).alias("k"), "id")
+    numbered = dealt(rows, "k").withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id")))
+    tasks = numbered.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 2 * spark.sparkContext.defaultParallelism and sum(r["count"] for r in tasks) == 4000
+    assert numbered.agg(F.max("n")).first()[0] == 20
+
+
 def test_shuffles_of_a_written_table_are_removed(spark):
     files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     left = lambda: {f for f in map(str, files.getAllFiles().mkString("\n").split("\n")) if "/shuffle_" in f}
